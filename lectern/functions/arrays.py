@@ -12,7 +12,11 @@ from pyspark.sql import Column, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` to a lambda variable so ``body`` can use it many times for one evaluation."""
+    """Bind ``value`` to a lambda variable so ``body`` can use it many times for one evaluation.
+
+    A derived column used inside another column's lambda must be bound this way
+    too: projections may be merged, and the expression would run per element.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

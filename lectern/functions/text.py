@@ -19,6 +19,9 @@ NON_WS = "[^" + WS[1:]
 # ASCII word boundary, whatever letters surround it.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
+# The same boundary where a word character is known to follow or precede.
+BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
 # Token and number shapes.
 WORD = r"[A-Za-z](?:[A-Za-z0-9\-']*[A-Za-z0-9])?|[0-9]+(?:\.[0-9]+)?%?"
 NUMBER = r"^[0-9]+(?:\.[0-9]+)?%?$"
@@ -89,8 +92,8 @@ def normalise_line(line: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """Key that makes the same header on different pages equal; expects a tidy line."""
-    lowered = F.regexp_replace(F.lower(line), f"{EDGE}page{WS}+[0-9]+{EDGE}", "page #")
-    return squeeze_strip(F.regexp_replace(lowered, f"{EDGE}[0-9]+{EDGE}", "#"))
+    lowered = F.regexp_replace(F.lower(line), f"{BEFORE}page{WS}+[0-9]+{AFTER}", "page #")
+    return squeeze_strip(F.regexp_replace(lowered, f"{BEFORE}[0-9]+{AFTER}", "#"))
 
 
 def is_page_number(line: Column) -> Column:
@@ -101,43 +104,68 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def char_count(text: Column, char_class: str) -> Column:
+    """Characters of one class, counted by dropping their runs: no match list is built."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, char_class + "+", ""))
+
+
 def visible_length(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(NON_WS))
+    return F.char_length(F.regexp_replace(text, WS + "+", ""))
+
+
+def residue(text: Column) -> Column:
+    """What is left without letters and digits: the only place other classes need counting."""
+    return F.regexp_replace(text, r"[\p{L}\p{N}]+", "")
+
+
+def corrupt_count(rest: Column) -> Column:
+    return char_count(rest, SUSPICIOUS) + char_count(rest, BROKEN) * 2 + char_count(rest, CONTROL) * 2
 
 
 def corrupt_ratio(text: Column) -> Column:
-    bad = (
-        F.regexp_count(text, F.lit(SUSPICIOUS))
-        + F.regexp_count(text, F.lit(BROKEN)) * 2
-        + F.regexp_count(text, F.lit(CONTROL)) * 2
-    )
+    bad = let(residue(text), corrupt_count)
     return F.least(F.lit(1.0), _ratio(bad, F.char_length(text)))
 
 
 def greek_ratio(text: Column) -> Column:
-    return _ratio(F.regexp_count(text, F.lit(r"\p{IsGreek}")), visible_length(text))
+    greek = r"\p{IsGreek}"
+    return F.when(text.rlike(greek), _ratio(char_count(text, greek), visible_length(text))).otherwise(F.lit(0.0))
 
 
 def readable_ratio(text: Column) -> Column:
-    return _ratio(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")), visible_length(text))
+    def ratio(rest: Column) -> Column:
+        size = F.char_length(text)
+        blanks = F.char_length(rest) - visible_length(rest)
+        return _ratio(size - F.char_length(rest), size - blanks)
+
+    return let(residue(text), ratio)
 
 
 def latin_ratio(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\p{IsLatin}")) / F.greatest(F.lit(1), F.char_length(text))
+    return char_count(text, r"\p{IsLatin}") / F.greatest(F.lit(1), F.char_length(text))
 
 
 # English words whose presence clears a Greek-looking line.
 CLEARING_WORDS = "the and of to in for with is are case study".split()
 
 
-def encoding_noise(text: Column) -> Column:
+def encoding_noise(line: Column) -> Column:
     """Line that looks like a font-encoding accident; expects a tidy line."""
-    english = text.rlike(f"(?i){EDGE}(?:{'|'.join(CLEARING_WORDS)}){EDGE}")
-    return (F.char_length(text) >= 12) & (
-        (corrupt_ratio(text) > 0.08)
-        | (readable_ratio(text) < 0.48)
-        | ((greek_ratio(text) > 0.22) & (latin_ratio(text) < 0.18) & ~english)
-    )
+
+    def test(text: Column) -> Column:
+        english = text.rlike(f"(?i){BEFORE}(?:{'|'.join(CLEARING_WORDS)}){AFTER}")
+        size = F.char_length(text)
+
+        def suspect(rest: Column) -> Column:
+            blanks = F.char_length(rest) - visible_length(rest)
+            return (corrupt_count(rest) / size > 0.08) | ((size - F.char_length(rest)) / (size - blanks) < 0.48)
+
+        return F.when(
+            size >= 12,
+            let(residue(text), suspect) | ((greek_ratio(text) > 0.22) & (latin_ratio(text) < 0.18) & ~english),
+        ).otherwise(F.lit(False))
+
+    return let(line, test)
 
 
 def words(text: Column) -> Column:
@@ -157,7 +185,7 @@ def collapse_line_phrase(line: Column) -> Column:
                 F.sequence(F.floor(n / 2).cast("int"), F.lit(2), F.lit(-1)),
                 F.lit(0),
                 lambda acc, k: F.when(acc > 0, acc)
-                .when(F.slice(low, 1, k) == F.slice(low, k + 1, k), k)
+                .when((F.get(low, k) == F.get(low, F.lit(0))) & (F.slice(low, 1, k) == F.slice(low, k + 1, k)), k)
                 .otherwise(0),
             )
 

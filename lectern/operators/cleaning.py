@@ -25,6 +25,16 @@ HEADER_MIN, HEADER_MAX = 4, 140
 PAGE_MARK = "\x1e\f\x1e"
 
 
+def header_key(line: Column) -> Column:
+    """Key of a tidy line when it can be short enough for a header, else null.
+
+    Only digits and odd blanks make a key shorter than its line, so other long
+    lines skip the work.
+    """
+    could_be = (F.char_length(line) <= HEADER_MAX) | line.rlike("[0-9" + T.WS[1:].replace(" ", ""))
+    return F.when(could_be, T.line_key(line))
+
+
 def tighten(text: Column) -> Column:
     """No white space before punctuation."""
     return F.regexp_replace(text, T.WS + "+([.,;:!?])", "$1")
@@ -63,18 +73,17 @@ def clean_lines(text: Column) -> Column:
     """
     def classify(lines: Column) -> Column:
         keys = F.filter(
-            F.transform(lines, lambda l: T.line_key(T.tidy_line(l))),
-            lambda k: F.char_length(k).between(HEADER_MIN, HEADER_MAX),
+            F.transform(lines, lambda l: l["raw_key"]), lambda k: F.char_length(k).between(HEADER_MIN, HEADER_MAX)
         )
 
         def with_repeats(repeats: Column) -> Column:
             def line(raw: Column, i: Column) -> Column:
                 return let(
-                    T.collapse_line_phrase(T.tidy_line(raw)),
+                    T.collapse_line_phrase(raw["tidy"]),
                     lambda t: F.struct(
                         i.alias("no"),
                         t.alias("text"),
-                        T.line_key(t).alias("key"),
+                        F.when(t == raw["tidy"], raw["raw_key"]).otherwise(header_key(t)).alias("key"),
                         F.when(t == "", "blank")
                         .when(T.is_page_number(t), "page_number")
                         .when(t.rlike(FURNITURE), "furniture")
@@ -87,10 +96,11 @@ def clean_lines(text: Column) -> Column:
 
             def drop_copies(rows: Column) -> Column:
                 def copied(r: Column) -> Column:
-                    return (
+                    return F.coalesce(
                         (r["kind"] == "text")
-                        & F.array_contains(repeats, r["key"])
                         & (F.char_length(r["text"]) <= HEADER_MAX)
+                        & F.array_contains(repeats, r["key"]),
+                        F.lit(False),
                     )
 
                 firsts = F.transform(keep_first(F.filter(rows, copied), lambda r: r["key"]), lambda r: r["no"])
@@ -118,7 +128,10 @@ def clean_lines(text: Column) -> Column:
 
         return let(repeated_values(keys, 3), with_repeats)
 
-    return let(F.split(text, "\n"), classify)
+    def keyed(raw: Column) -> Column:
+        return let(T.tidy_line(raw), lambda t: F.struct(t.alias("tidy"), header_key(t).alias("raw_key")))
+
+    return let(F.transform(F.split(text, "\n"), keyed), classify)
 
 
 def _count(lines: Column, *kinds: str) -> Column:
@@ -167,12 +180,17 @@ def quality(original: Column, cleaned: Column, corrupt: Column, repeated: Column
             ),
         )
 
-    ratios = F.struct(
-        T.corrupt_ratio(cleaned).alias("suspicious"),
-        T.greek_ratio(cleaned).alias("greek"),
-        T.readable_ratio(cleaned).alias("readable"),
-    )
-    return let(ratios, judge)
+    size = F.char_length(cleaned)
+
+    def ratios(rest: Column) -> Column:
+        visible = size - (F.char_length(rest) - T.visible_length(rest))
+        return F.struct(
+            F.least(F.lit(1.0), F.when(size > 0, T.corrupt_count(rest) / size).otherwise(0.0)).alias("suspicious"),
+            T.greek_ratio(cleaned).alias("greek"),
+            F.when(visible > 0, (size - F.char_length(rest)) / visible).otherwise(0.0).alias("readable"),
+        )
+
+    return let(let(T.residue(cleaned), ratios), judge)
 
 
 def joined_text(lines: Column) -> Column:
@@ -229,24 +247,21 @@ def page_lines(pages: Column, references: str = REFERENCES) -> Column:
                     F.split(T.unix_newlines(p["raw_text"]), "\n"),
                     lambda l: let(
                         T.tidy_line(l),
-                        lambda t: F.struct(p["page_no"].alias("page_no"), t.alias("text"), T.line_key(t).alias("key")),
+                        lambda t: F.struct(p["page_no"].alias("page_no"), t.alias("text"), header_key(t).alias("key")),
                     ),
                 ),
             )
         )
-        per_page = F.flatten(
-            F.transform(
-                ps,
-                lambda p: F.array_distinct(
-                    F.filter(
-                        F.transform(F.split(T.unix_newlines(p["raw_text"]), "\n"), lambda l: T.line_key(T.tidy_line(l))),
-                        lambda k: F.char_length(k).between(HEADER_MIN, HEADER_MAX),
-                    )
-                ),
+
+        def headers_of(lines: Column) -> Column:
+            short = F.filter(lines, lambda l: F.char_length(l["key"]).between(HEADER_MIN, HEADER_MAX))
+            once = F.array_distinct(
+                F.transform(short, lambda l: F.concat(l["page_no"].cast("string"), F.lit(":"), l["key"]))
             )
-        )
+            per_page = F.transform(once, lambda k: F.regexp_replace(k, "^[0-9]+:", ""))
+            return F.when(F.size(ps) >= 2, repeated_values(per_page, need)).otherwise(F.array().cast("array<string>"))
+
         need = F.greatest(F.lit(2), F.ceil(F.size(ps) * 0.55).cast("int"))
-        headers = F.when(F.size(ps) >= 2, repeated_values(per_page, need)).otherwise(F.array().cast("array<string>"))
 
         def mark(lines: Column, heads: Column) -> Column:
             numbered = F.transform(lines, lambda l, i: l.withField("no", i))
@@ -254,7 +269,9 @@ def page_lines(pages: Column, references: str = REFERENCES) -> Column:
 
             def kinds(rows: Column, at: Column) -> Column:
                 def header(r: Column) -> Column:
-                    return (r["text"] != "") & ~T.is_page_number(r["text"]) & F.array_contains(heads, r["key"])
+                    return F.coalesce(
+                        F.array_contains(heads, r["key"]) & (r["text"] != "") & ~T.is_page_number(r["text"]), F.lit(False)
+                    )
 
                 firsts = F.transform(keep_first(F.filter(rows, header), lambda r: r["key"]), lambda r: r["no"])
                 return let(
@@ -273,7 +290,7 @@ def page_lines(pages: Column, references: str = REFERENCES) -> Column:
 
             return let(cut, lambda at: let(numbered, lambda rows: kinds(rows, at)))
 
-        return let(split, lambda lines: let(headers, lambda heads: mark(lines, heads)))
+        return let(split, lambda lines: let(headers_of(lines), lambda heads: mark(lines, heads)))
 
     return let(pages, classify)
 
@@ -304,8 +321,8 @@ def clean_documents(docs: DataFrame, references: str = REFERENCES) -> DataFrame:
         .withColumn("_lines", page_lines(F.col("_pages"), references))
     )
 
-    def page(p: Column) -> Column:
-        mine = F.filter(F.col("_lines"), lambda l: l["page_no"] == p["page_no"])
+    def page(p: Column, every: Column) -> Column:
+        mine = F.filter(every, lambda l: l["page_no"] == p["page_no"])
 
         def build(lines: Column) -> Column:
             shown = F.array_join(
@@ -324,7 +341,9 @@ def clean_documents(docs: DataFrame, references: str = REFERENCES) -> DataFrame:
 
         return let(mine, build)
 
-    df = df.withColumn("_built", F.transform("_pages", page))
+    df = df.withColumn(
+        "_built", let(F.col("_lines"), lambda every: F.transform("_pages", lambda p: page(p, every)))
+    )
     # Pages per document are few, so running offsets fold inside the row.
     placed = F.aggregate(
         F.transform(
@@ -384,7 +403,7 @@ def running_headers(pages: DataFrame, unit: str, page: str, text: str, share: fl
     """
     keys = F.array_distinct(
         F.filter(
-            F.transform(F.split(T.unix_newlines(F.col(text)), "\n"), lambda l: T.line_key(T.tidy_line(l))),
+            F.transform(F.split(T.unix_newlines(F.col(text)), "\n"), lambda l: header_key(T.tidy_line(l))),
             lambda k: F.char_length(k).between(HEADER_MIN, HEADER_MAX),
         )
     )
@@ -400,7 +419,7 @@ def running_headers(pages: DataFrame, unit: str, page: str, text: str, share: fl
 def repeated_lines(docs: DataFrame, key: str, text: str, times: int = 3) -> DataFrame:
     """Line keys seen at least ``times`` times inside one document."""
     keys = F.filter(
-        F.transform(F.split(T.unix_newlines(F.col(text)), "\n"), lambda l: T.line_key(T.tidy_line(l))),
+        F.transform(F.split(T.unix_newlines(F.col(text)), "\n"), lambda l: header_key(T.tidy_line(l))),
         lambda k: F.char_length(k).between(HEADER_MIN, HEADER_MAX),
     )
     return docs.select(key, F.explode(repeated_values(keys, times)).alias("line_key"))

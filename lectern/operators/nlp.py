@@ -275,7 +275,7 @@ def normalise_term(term: Column) -> Column:
 def concept_candidates(sentences: Column, phrases: Column, n: int = 40) -> Column:
     """Concepts with weight, evidence, sections, score and validity, best first."""
 
-    def mentions(s: Column) -> Column:
+    def mentions(s: Column, phrases: Column) -> Column:
         def mention(term: Column, weight: int) -> Column:
             return F.struct(
                 normalise_term(term).alias("norm"), term.alias("term"), F.lit(weight).alias("weight"),
@@ -288,7 +288,8 @@ def concept_candidates(sentences: Column, phrases: Column, n: int = 40) -> Colum
             F.transform(named, lambda e: mention(e["text"], 3)), F.transform(held, lambda p: mention(p, 1))
         )
 
-    every = F.filter(F.flatten(F.transform(sentences, mentions)), lambda m: m["norm"].isNotNull())
+    found = let(phrases, lambda ps: F.flatten(F.transform(sentences, lambda s: mentions(s, ps))))
+    every = F.filter(found, lambda m: m["norm"].isNotNull())
 
     def concept(g: Column) -> Column:
         items = g["items"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.arrays import let
 from lectern.operators import nlp
 from lectern.plans import sql as Q
 from lectern.plans.registry import query
@@ -199,8 +200,8 @@ def phrase_sentence_join(spark, sf):
     docs = _tagged_only(spark, sf).withColumn(
         "top", F.transform(nlp.keywords(F.col("sentences")), lambda k: k["value"])
     )
-    rows = docs.select("doc_id", "top", F.explode("sentences").alias("s")).withColumn("low", F.lower("s.text"))
-    held = F.filter("top", lambda p: F.contains(F.col("low"), p))
+    rows = docs.select("doc_id", "top", F.explode("sentences").alias("s"))
+    held = let(F.lower("s.text"), lambda low: F.filter("top", lambda p: F.contains(low, p)))
     return rows.select("doc_id", F.col("s.no").alias("sent_no"), F.explode(held).alias("phrase"))
 
 
