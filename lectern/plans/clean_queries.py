@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.arrays import let
 from lectern.operators import cleaning as C
 from lectern.plans import sql as Q
 from lectern.plans.registry import query
@@ -173,9 +174,16 @@ def clean_text_reliably(spark, sf):
 
 
 def cleaned(spark, sf):
-    """Documents cleaned with sentence-final line ends as page breaks every fifth line."""
-    paged = F.regexp_replace("text", r"((?:[^\n]*\n){5})", "$1\f")
-    return C.clean_documents(S.documents(spark, sf).select("doc_id", "source", paged.alias("raw_text")))
+    """Documents cleaned with every five lines as one page."""
+    lines = F.split(T.unix_newlines(F.col("text")), "\n")
+    pages = let(
+        lines,
+        lambda ls: F.transform(
+            F.sequence(F.lit(0), F.size(ls) - 1, F.lit(5)),
+            lambda at, i: F.struct((i + 1).alias("page_no"), F.array_join(F.slice(ls, at + 1, 5), "\n").alias("raw_text")),
+        ),
+    )
+    return C.clean_documents(S.documents(spark, sf).select("doc_id", "source", F.col("text").alias("raw_text"), pages.alias("pages")))
 
 
 @query("clean_document")

@@ -20,6 +20,21 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+# Spark guards an inner explode with a filter that evaluates the exploded array a
+# second time below the projection that builds it. Here those arrays are whole
+# document analyses, so the guard costs more than everything it saves.
+SKIPPED_RULE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the operators rely on: UTC dates and arrays built once."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rules = [r for r in (spark.conf.get("spark.sql.optimizer.excludedRules", "") or "").split(",") if r]
+    if SKIPPED_RULE not in rules:
+        spark.conf.set("spark.sql.optimizer.excludedRules", ",".join([*rules, SKIPPED_RULE]))
     return spark
 
 
