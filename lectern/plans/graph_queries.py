@@ -89,12 +89,18 @@ def bfs(spark, sf):
     return G.bfs(edges(spark, sf), nodes(spark, sf), "region:1", 2)
 
 
-@query("shortest_path", f"""WITH {_E}, p AS (SELECT 'customer:5' || '>' || a.other || '>' || c.other || '>' || d.other || '>' || 'supplier:7' AS path, 4 AS length
-  FROM b a JOIN b c ON c.node = a.other JOIN b d ON d.node = c.other JOIN b z ON z.node = d.other AND z.other = 'supplier:7' WHERE a.node = 'customer:5' AND d.other LIKE 'nation:%' AND c.other LIKE 'region:%'),
-q AS (SELECT 'customer:5>' || a.other || '>supplier:7' AS path, 2 AS length FROM b a JOIN b z ON z.node = a.other AND z.other = 'supplier:7' WHERE a.node = 'customer:5')
-SELECT path, length FROM (SELECT *, row_number() OVER (ORDER BY length, path) AS rn FROM (SELECT * FROM p UNION ALL SELECT * FROM q)) WHERE rn = 1""")
+@query(
+    "shortest_path",
+    f"""WITH {_E} SELECT min('customer:0>' || p.other || '>' || q.other || '>' || r.other || '>' || t.other) AS path, 4 AS length
+FROM b p JOIN b q ON q.node = p.other JOIN b r ON r.node = q.other JOIN b t ON t.node = r.other
+WHERE p.node = 'customer:0' AND q.other LIKE 'region:%' AND r.other LIKE 'nation:%' AND r.other <> p.other
+  AND t.other = (SELECT min(src) FROM e WHERE src LIKE 'supplier:%' AND dst LIKE 'nation:%7')
+HAVING count(*) > 0""",
+)
 def shortest_path(spark, sf):
-    found = G.shortest_path(edges(spark, sf), "customer:5", "supplier:7")
+    suppliers = edges(spark, sf).filter(F.col("src").startswith("supplier:") & F.col("dst").rlike("^nation:.*7$"))
+    goal = suppliers.agg(F.min("src").alias("id")).first()["id"]
+    found = G.shortest_path(edges(spark, sf), "customer:0", goal)
     return found.select(F.array_join("path", ">").alias("path"), "length")
 
 
@@ -238,7 +244,7 @@ _REL = """rel AS (SELECT DISTINCT replace(p.p_name, ' ', '_') AS src, CASE p.p_s
 
 def ancestors(spark, sf):
     return relations(spark, sf).filter(F.col("type") == "is_a").select(
-        F.col("src").alias("concept_id"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.col("dst").alias("ancestor_id")), F.struct(F.lit(1), F.col("src")))).alias("x")
+        F.col("src").alias("concept_id"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.col("dst").alias("ancestor_id")), F.struct(F.lit(1).alias("pos"), F.col("src").alias("ancestor_id")))).alias("x")
     ).groupBy("concept_id", "x.pos").agg(F.min("x.ancestor_id").alias("ancestor_id"))
 
 
