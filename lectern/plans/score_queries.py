@@ -159,7 +159,7 @@ def case_texts(spark, sf):
         F.lit(" per month. A 70-seat restaurant sells at a price of $4 per pint. Best case is "), (F.col("id") % 7 + 1).cast("string"),
         F.lit(" barrels per seat. One barrel holds 31 gallons. One gallon holds 8 pints."),
     )
-    return S.owned_items(spark, sf).select(F.col("id").alias("doc_id"), text.alias("text"))
+    return S.spread(S.owned_items(spark, sf)).select(F.col("id").alias("doc_id"), text.alias("text"))
 
 
 @query(
