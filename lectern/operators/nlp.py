@@ -120,6 +120,18 @@ def keywords(sentences: Column, n: int = 12) -> Column:
     return top_n(run_counts(words), lambda r: F.struct((-r["n"]).alias("a"), r["first"].alias("b")), n)
 
 
+def text_keywords(sentences: Column, n: int = 12) -> Column:
+    """The same key words straight from the sentence texts, without tagging any token."""
+
+    def content(s: Column) -> Column:
+        # Tokens start with a letter or a digit, and ":" follows "9": numbers sort below it.
+        low = F.transform(F.filter(T.tokens(s["text"]), lambda w: w >= F.lit(":")), F.lower)
+        return F.filter(low, lambda w: (F.char_length(w) >= 3) & ~T.is_stop_word(w))
+
+    words = F.flatten(F.transform(sentences, content))
+    return top_n(run_counts(words), lambda r: F.struct((-r["n"]).alias("a"), r["first"].alias("b")), n)
+
+
 def study_keywords(text: Column, n: int = 12) -> Column:
     """Words of four letters and more used at least twice, by count then alphabet."""
     words = F.filter(

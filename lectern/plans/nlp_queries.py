@@ -57,8 +57,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rk
 SELECT doc_id, CAST(rk AS INTEGER) AS rank, word, CAST(n AS INTEGER) AS n FROM r WHERE rk <= 12""".replace("min((sent_no, tok_no))", "min(row(sent_no, tok_no))"),
 )
 def keyword_counts(spark, sf):
-    docs = _tagged_only(spark, sf)
-    top = docs.select("doc_id", F.posexplode(nlp.keywords(F.col("sentences"))).alias("i", "k"))
+    docs = sentence_docs(spark, sf)
+    top = docs.select("doc_id", F.posexplode(nlp.text_keywords(F.col("sentences"))).alias("i", "k"))
     return top.select("doc_id", (F.col("i") + 1).alias("rank"), F.col("k.value").alias("word"), "k.n")
 
 
@@ -197,8 +197,8 @@ SELECT s.doc_id, s.sent_no, phrase FROM sentences s JOIN r ON r.doc_id = s.doc_i
 )
 def phrase_sentence_join(spark, sf):
     """Which of the document's twelve top terms each sentence holds."""
-    docs = _tagged_only(spark, sf).withColumn(
-        "top", F.transform(nlp.keywords(F.col("sentences")), lambda k: k["value"])
+    docs = sentence_docs(spark, sf).withColumn(
+        "top", F.transform(nlp.text_keywords(F.col("sentences")), lambda k: k["value"])
     )
     rows = docs.select("doc_id", "top", F.explode("sentences").alias("s"))
     held = let(F.lower("s.text"), lambda low: F.filter("top", lambda p: F.contains(low, p)))
