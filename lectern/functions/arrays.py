@@ -22,7 +22,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def tagged_of(items: Column, key: Callable[[Column], Column]) -> Column:
     """Sorted (key, index) pairs of an array."""
-    return F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+    return F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
 
 
 def keep_first(items: Column, key: Callable[[Column], Column]) -> Column:
@@ -33,7 +33,7 @@ def keep_first(items: Column, key: Callable[[Column], Column]) -> Column:
             tagged_of(source, key),
             lambda s: F.filter(s, lambda t, j: (j == 0) | ~t["k"].eqNullSafe(F.get(s, j - 1)["k"])),
         )
-        order = F.array_sort(F.transform(firsts, lambda t: t["i"]))
+        order = F.sort_array(F.transform(firsts, lambda t: t["i"]))
         return F.transform(order, lambda i: F.get(source, i))
 
     return let(items, pick)
@@ -41,7 +41,7 @@ def keep_first(items: Column, key: Callable[[Column], Column]) -> Column:
 
 def run_counts(items: Column) -> Column:
     """Distinct values with count and first position: array<struct<value, n, first>>."""
-    tagged = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("value"), i.alias("i"))))
+    tagged = F.sort_array(F.transform(items, lambda x, i: F.struct(x.alias("value"), i.alias("i"))))
 
     def runs(s: Column) -> Column:
         starts = F.filter(
@@ -67,14 +67,14 @@ def repeated_values(items: Column, times: Column | int) -> Column:
     """Distinct values that occur at least ``times`` times."""
     need = times if isinstance(times, Column) else F.lit(times)
     return let(
-        F.array_sort(items),
+        F.sort_array(items),
         lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + need - 1))),
     )
 
 
 def top_n(items: Column, order: Callable[[Column], Column], n: int) -> Column:
     """First ``n`` elements by ``order`` (a struct of sort keys, ascending)."""
-    ranked = F.array_sort(F.transform(items, lambda x: F.struct(order(x).alias("o"), x.alias("x"))))
+    ranked = F.sort_array(F.transform(items, lambda x: F.struct(order(x).alias("o"), x.alias("x"))))
     return F.transform(F.slice(ranked, 1, n), lambda t: t["x"])
 
 
@@ -118,4 +118,4 @@ def grouped(items: Column, key: Callable[[Column], Column]) -> Column:
             ),
         )
 
-    return F.array_sort(let(items, lambda source: let(tagged_of(source, key), lambda s: runs(s, source))))
+    return F.sort_array(let(items, lambda source: let(tagged_of(source, key), lambda s: runs(s, source))))

@@ -70,7 +70,7 @@ def _of_type(s: Column, *kinds: str) -> Column:
 
 def longest_entities(entities: Column, n: int = 2) -> Column:
     """Longest entities, ties in order of discovery."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(entities, lambda e, i: F.struct((-F.char_length(e["text"])).alias("a"), i.alias("i"), e.alias("e")))
     )
     return F.transform(F.slice(ranked, 1, n), lambda r: r["e"])
@@ -181,7 +181,7 @@ def nearest_number(text: Column, metric: Column, numbers: Column) -> Column:
         return F.replace(raw, F.lit("%"), F.lit("")).try_cast("double")
 
     def pick(places: Column) -> Column:
-        ranked = F.array_sort(
+        ranked = F.sort_array(
             F.transform(
                 numbers,
                 lambda n, i: F.struct(

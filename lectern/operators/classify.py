@@ -107,7 +107,7 @@ DOMAIN_PHRASES = {
 
 def best_and_margin(scored: Column) -> Column:
     """Best of array<struct<name, score>>: struct<name, score, margin>; ties keep list order."""
-    ranked = F.array_sort(F.transform(scored, lambda s, i: F.struct((-s["score"]).alias("neg"), i.alias("i"), s.alias("s"))))
+    ranked = F.sort_array(F.transform(scored, lambda s, i: F.struct((-s["score"]).alias("neg"), i.alias("i"), s.alias("s"))))
     return let(
         ranked,
         lambda r: F.struct(

@@ -188,7 +188,7 @@ def merge_properties(rows: DataFrame) -> DataFrame:
     """Node rows(id, pos, label, props map): later fields win, property maps merge by key."""
     pairs = rows.select("id", "pos", F.explode_outer("props").alias("k", "v"))
     merged = pairs.filter(F.col("k").isNotNull()).groupBy("id", "k").agg(F.max_by("v", "pos").alias("v"))
-    props = merged.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
+    props = merged.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("props"))
     last = rows.groupBy("id").agg(F.max_by("label", "pos").alias("label"))
     return last.join(props, "id", "left")
 

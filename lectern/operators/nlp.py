@@ -243,7 +243,7 @@ def with_scores(docs: DataFrame) -> DataFrame:
 def top_sentences(sentences: Column, n: int = 8) -> Column:
     """Best sentences by score, back in document order."""
     best = top_n(sentences, lambda s: F.struct((-s["score"]).alias("a"), s["no"].alias("b")), n)
-    return F.array_sort(F.transform(best, lambda s: F.struct(s["no"].alias("no"), s["text"].alias("text"))))
+    return F.sort_array(F.transform(best, lambda s: F.struct(s["no"].alias("no"), s["text"].alias("text"))))
 
 
 def document_entities(sentences: Column) -> Column:

@@ -202,7 +202,7 @@ SELECT user_id, name, round(score, 2) AS score, round(score - nxt, 2) AS margin
 def best_and_margin(spark, sf):
     """Leading order class per owner; classes per owner are few, so they fold into one small array."""
     scores = S.owned_items(spark, sf).groupBy("user_id", F.col("title").alias("name")).agg(F.sum("score").alias("score"))
-    listed = scores.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("name", "score"))).alias("s"))
+    listed = scores.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("name", "score"))).alias("s"))
     best = listed.select("user_id", K.best_and_margin(F.col("s")).alias("b"))
     return best.select("user_id", "b.name", F.round("b.score", 2).alias("score"), F.round("b.margin", 2).alias("margin"))
 

@@ -231,7 +231,7 @@ def chat_context(spark, sf):
     from lectern.operators.listings import last_n
 
     recent = last_n(turns, ["note_id"], [F.col("turn")], 10)
-    history = recent.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("history"))
+    history = recent.groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("turn", "question", "answer"))).alias("history"))
     docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), "text", "source", "lang")
     j = history.join(docs, "note_id")
     return j.select(

@@ -44,7 +44,7 @@ def batch_limits(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
 
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = requests.select("key", "id", us.alias("us")).withColumn("slot", F.floor(F.col("us") / window))
-    slots = rows.groupBy("key", "slot").agg(F.array_sort(F.collect_list(F.struct("us", "id"))).alias("r"))
+    slots = rows.groupBy("key", "slot").agg(F.sort_array(F.collect_list(F.struct("us", "id"))).alias("r"))
     slots = cut_lineage(slots.withColumn("times", F.transform("r", lambda x: x["us"])))
     none = F.array().cast("array<bigint>")
 
