@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import packing, repair
+from lectern.llm import decontamination, packing, pseudonyms, quality, repair, sharding
 from lectern.llm.shared import documents
 
 QUERIES: dict = {}
@@ -34,3 +34,38 @@ def op4_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces with their sequence and offset."""
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document."""
+    found = decontamination.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("item_ids")
+
+
+#: Key of the registered query; a user passes a secret of their own.
+DEMO_KEY = b"replace this key"
+
+
+@query
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with personal numbers, dates and addresses replaced."""
+    return pseudonyms.pseudonymise_documents(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
+
+
+@query
+def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_documents(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the written, shuffled shards."""
+    rows = sharding.write_shards(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id", sharding.sizes().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -137,3 +137,12 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.nda
         else:
             total[inside] += hashes[at[inside] + k] * _PLACE[k]
     return mix(total ^ _PLACE[63 - width] * length.astype(np.uint64)), before
+
+
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every ``size`` consecutive words, across texts too."""
+    n = max(0, len(hashes) - size + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(size):
+        total += hashes[k : k + n] * _PLACE[k]
+    return mix(total)
