@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontamination, packing, pseudonyms, quality, repair, sharding
+from lectern.llm import decontamination, fingerprints, packing, pseudonyms, quality, repair, secrets, sharding
 from lectern.llm.shared import documents
 
 QUERIES: dict = {}
@@ -69,3 +69,18 @@ def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", sharding.sizes().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
+ORACLES["op5_linked_secrets"] = secrets.oracle_sql()
+
+
+@query
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and its successor."""
+    return fingerprints.match_documents(documents(spark, sf_dir))
