@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontamination, fingerprints, packing, pseudonyms, quality, repair, secrets, sharding
+from lectern.llm import decontamination, fingerprints, linededup, ngramjoin, packing, pseudonyms, quality, repair, secrets, sharding
 from lectern.llm.shared import documents
 
 QUERIES: dict = {}
@@ -84,3 +84,15 @@ ORACLES["op5_linked_secrets"] = secrets.oracle_sql()
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited text and its successor."""
     return fingerprints.match_documents(documents(spark, sf_dir))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that are similar to an earlier line."""
+    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op2_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document."""
+    return ngramjoin.near_duplicates(documents(spark, sf_dir))
