@@ -124,14 +124,24 @@ class Encoder:
         return ids, before[firsts]
 
 
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, rule: str) -> Encoder:
+    """One encoder per worker process, which keeps what it has learned from task to task."""
+    if (path, rule) not in _ENCODERS:
+        _ENCODERS[path, rule] = Encoder(path, rule)
+    return _ENCODERS[path, rule]
+
+
 def encoded(rows: Iterator[tuple], path: str, rule: str, end_id: int) -> Iterator[tuple]:
     """Per chunk of an (ids, bytes, offsets) stream: document ids, token ids and the number before each text.
 
     ``end_id`` closes every text, so no text is without a token.
     """
-    encoder = Encoder(path, rule)
+    own = encoder(path, rule)
     for ids, data, offsets in rows:
-        tokens, before = encoder.encode(data, offsets)
+        tokens, before = own.encode(data, offsets)
         n = len(ids)
         out = np.empty(len(tokens) + n, np.uint32)
         ends = before[1:] + np.arange(n)
