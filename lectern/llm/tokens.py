@@ -16,10 +16,12 @@ from lectern.llm import words
 from lectern.llm.shared import ragged
 
 #: Slots of a worker's table of pieces, and the pieces and ids it remembers before it starts afresh.
-SLOT_BITS = 21
+SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
-POOL_PIECES = 3 << 18
-POOL_IDS = 4 << 20
+POOL_PIECES = 3 << 19
+POOL_IDS = 8 << 20
+#: Unknown pieces that go through the tokenizer as one text.
+JOINED = 512
 
 # A blank opens a new piece of a byte-level vocabulary if a visible character follows. Lead
 # bytes of code points that may be white space (U+0085, U+00A0, U+1680, U+2000.., U+3000) do
@@ -60,6 +62,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = RULES[rule]
+        if rule == "spaces":
+            # White space goes, so pieces may be told apart by a control character between blanks.
+            self.glue, self.joins = b" \x01 ", lambda piece: b"\x01" not in piece
+            self.mark = self._ids([b"\x01"])[0][0]
+        else:
+            # A byte-level token has as many bytes as letters, so sums of widths find the borders.
+            self.glue, self.joins = b"", lambda piece: piece[0] == 0x20 and len(piece) > 1 and bool(_VISIBLE[piece[1]])
+            self.width = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+            for token, number in self.tokenizer.get_vocab().items():
+                self.width[number] = len(token)
         self._forget()
 
     def _forget(self) -> None:
@@ -75,22 +87,52 @@ class Encoder:
         mask = np.uint64(SLOTS - 1)
         return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(SLOT_BITS)) & mask).astype(np.int64)
 
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces (all joinable or none), and how many each has; long texts go through the tokenizer faster."""
+        groups = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)]
+        if not self.joins(pieces[0]):
+            found = self._ids(pieces)
+            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+        ids, counts = [], []
+        for group, own in zip(groups, self._ids([self.glue.join(g) for g in groups]), strict=True):
+            if self.glue:
+                marks = np.flatnonzero(own == self.mark)
+                if len(marks) != len(group) - 1:
+                    raise ValueError("the separator of joined pieces is not a token of its own")
+                counts.append(np.diff(np.concatenate(([-1], marks, [len(own)]))) - 1)
+                ids.append(own[own != self.mark])
+            else:
+                ends = np.cumsum(self.width[own])
+                counts.append(np.diff(np.searchsorted(ends, np.cumsum([len(p) for p in group]), "left") + 1, prepend=0))
+                ids.append(own)
+        return np.concatenate(ids), np.concatenate(counts)
+
     def _learn(self, pieces: list[bytes]) -> np.ndarray:
         """Encode pieces, append their ids to the pool, return their entries."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        while self.used + total > len(self.ids):
+        joined = np.array([self.joins(p) for p in pieces])
+        entries = np.empty(len(pieces), np.int64)
+        for side in (True, False):
+            places = np.flatnonzero(joined == side)
+            if len(places):
+                ids, lengths = self._encode_pieces([pieces[k] for k in places.tolist()])
+                entries[places] = self._remember(ids, lengths)
+        return entries
+
+    def _remember(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(found) > len(self.starts):
+        while self.known + len(lengths) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        span = slice(self.known, self.known + len(found))
+        self.ids[self.used : self.used + len(ids)] = ids
+        span = slice(self.known, self.known + len(lengths))
         self.starts[span] = self.used + np.cumsum(lengths) - lengths
         self.lengths[span] = lengths
-        self.used += total
-        self.known += len(found)
+        self.used += len(ids)
+        self.known += len(lengths)
         return np.arange(span.start, span.stop)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
