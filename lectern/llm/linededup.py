@@ -100,20 +100,22 @@ def removed_lines(texts: DataFrame, width: int = WIDTH, share: int = SHARE) -> D
                 rows = setjoin.passes(bits.value, sets.signature) & (np.diff(sets.firsts) > 0)
                 if not rows.any():
                     continue
-                grams = setjoin.pack_sets(sets, rows & seen.first(sets.signature))
+                first_seen = rows & seen.first(sets.signature)
                 kept = pa.array(np.flatnonzero(rows))
+                packed = [pa.array(np.diff(sets.firsts)), setjoin.pack_bitmaps(sets, first_seen), setjoin.pack_sets(sets, first_seen)]
                 owner = pa.array(first + units.owner[rows])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(owner), batch.column("tie").take(owner), pa.array(units.number[rows]), pa.array(sets.signature[rows].view(np.int64)), grams.take(kept)],
-                    names=["key", "tie", "line", "unit", "grams"],
+                    [batch.column("key").take(owner), batch.column("tie").take(owner), pa.array(units.number[rows]), pa.array(sets.signature[rows].view(np.int64)), *(x.take(kept) for x in packed)],
+                    names=["key", "tie", "line", "unit", "n", "bits", "grams"],
                 )
 
-    lines = staged(texts.select("key", "tie", "text").mapInArrow(look_again, "key long, tie long, line long, unit long, grams binary"), "lines")
+    lines = staged(texts.select("key", "tie", "text").mapInArrow(look_again, "key long, tie long, line long, unit long, n long, bits binary, grams binary"), "lines")
     place = F.struct("key", "tie", "line")
     first = lines.groupBy("unit").agg(F.min(place).alias("first"))
-    sets = lines.where(F.col("grams").isNotNull()).select("unit", "grams")
-    members = found.blocks.join(first, "unit").select("leader", "unit", "chunks", "first.key", "first.tie", "first.line").join(sets, "unit")
-    groups = setjoin.pair_groups(members)
+    chosen = lines.where(F.col("bits").isNotNull())
+    blocks = setjoin.refine(found.blocks, chosen.select("unit", "n", "bits"), share)
+    sets = chosen.select("unit", "grams").join(first, "unit").select("unit", "grams", "first.*")
+    groups = setjoin.pair_groups(blocks, sets)
     matched = groups.groupBy("leader", "low", "high").applyInArrow(_matches(share), "unit long").distinct()
     judged = first.join(matched.withColumn("matched", F.lit(True)), "unit", "left")
     gone = lines.select("unit", *["key", "tie", "line"]).join(judged, "unit").where(F.col("matched") | (place > F.col("first")))

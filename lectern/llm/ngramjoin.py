@@ -116,13 +116,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_
                 wanted = setjoin.passes(bits.value, sets.signature) & (np.diff(sets.firsts) > 0)
                 wanted &= seen.first(sets.signature)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, n), pa.array(np.diff(sets.firsts).astype(np.int64)), pa.array(sets.signature.view(np.int64)), setjoin.pack_sets(sets, wanted)],
-                    names=["doc_id", "n_shingles", "unit", "grams"],
+                    [batch.column("doc_id").slice(first, n), pa.array(np.diff(sets.firsts)), pa.array(sets.signature.view(np.int64)), setjoin.pack_bitmaps(sets, wanted), setjoin.pack_sets(sets, wanted)],
+                    names=["doc_id", "n_shingles", "unit", "bits", "grams"],
                 )
 
-    measured = staged(texts.mapInArrow(measure, "doc_id long, n_shingles long, unit long, grams binary"), "shingle-sets")
-    sets = measured.where(F.col("grams").isNotNull()).select("unit", "grams")
-    groups = setjoin.pair_groups(found.blocks.join(sets, "unit"))
+    measured = staged(texts.mapInArrow(measure, "doc_id long, n_shingles long, unit long, bits binary, grams binary"), "shingle-sets")
+    chosen = measured.where(F.col("bits").isNotNull())
+    blocks = setjoin.refine(found.blocks, chosen.select("unit", F.col("n_shingles").alias("n"), "bits"), share)
+    groups = setjoin.pair_groups(blocks, chosen.select("unit", "grams"))
     links = staged(groups.groupBy("leader", "low", "high").applyInArrow(_links(share), "src long, dst long").distinct(), "links")
     nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     components = connected_components(links, nodes)

@@ -10,7 +10,8 @@ are one unit, and copies within a task are sent once.
 Rarity comes from counts in a fixed number of hash buckets, summed over all units: any global
 order gives exact results, a good one keeps common passages out of the runs. Runs of buckets
 that stand out are split by salt, and the leaders of the parts meet in a second, small step.
-Blocks are cut into chunks, and every pair of chunks is a group of its own.
+Large blocks are cut into chunks, and every pair of chunks is a group of its own. Bitmaps of the
+sets, a bit or two per shingle, first rule out the units that cannot be similar to any other.
 """
 
 from __future__ import annotations
@@ -167,15 +168,19 @@ class Rarity:
         beyond = np.maximum(0, counts - 2 * int(counts.mean()))
         # Half-octave levels up to 2**31, of six bits.
         level = np.minimum(63, np.round(2 * np.log2(counts + 1.0))).astype(np.uint8)
-        return cls(level, np.minimum(1 + beyond // RUN_ROWS, 2**15).astype(np.int16))
+        return cls(level, np.minimum(1 + beyond // RUN_ROWS, 2**14 - 1).astype(np.int16))
 
 
-#: Kinds of posting: a shingle, a shingle of a split run, a unit's own signature.
+#: Kinds of posting, the two low bits of a run's number: a shingle, a shingle of a split run, a unit's own signature.
 PLAIN, SPLIT, OWN = 0, 1, 2
-_POSTINGS = pa.schema([("run", pa.int64()), ("unit", pa.int64()), ("gram", pa.int64()), ("kind", pa.int8())])
+#: A run's number: 48 bits of hash, 14 bits of salt, the kind. Equal hashes only add candidates.
+_HASHED = np.uint64(2**64 - 2**16)
+_POSTINGS = pa.schema([("run", pa.int64()), ("unit", pa.int64())])
 _PAIRS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
 #: Kinds of row a run makes: (leader, unit); (shingle, leader of a split part); (unit that has copies, itself).
 BLOCK, PART, COPIED = 0, 1, 2
+#: Postings that are read at once.
+READ_ROWS = 1 << 18
 
 
 def _postings(make: UnitMaker, rarity, share: int, copies: bool):
@@ -190,64 +195,73 @@ def _postings(make: UnitMaker, rarity, share: int, copies: bool):
                 wanted = np.where(first, size - required(size, share) + 1, 0)
                 at = np.repeat(sets.firsts[:-1] - (np.cumsum(wanted) - wanted), wanted) + np.arange(int(wanted.sum()))
                 grams, unit = sets.grams[at], np.repeat(sets.signature, wanted)
-                bucket = ((grams << np.uint64(6)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-                split = salts[bucket] > 1
-                salt = (words.mix(unit) % salts[bucket].astype(np.uint64)) * split
-                run = words.mix(grams + salt * np.uint64(0x9E3779B97F4A7C15))
-                kind = np.where(split, SPLIT, PLAIN).astype(np.int8)
+                parts = salts[((grams << np.uint64(6)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
+                run = words.mix(grams) & _HASHED
+                split = parts > 1
+                if split.any():
+                    run[split] |= (words.mix(unit[split]) % parts[split] << np.uint64(2)) | np.uint64(SPLIT)
                 if copies:
                     # A unit tells of itself once, and once more for all its copies in the task.
                     copy = ~first & (size > 0)
-                    own = np.flatnonzero(first | (copy & again.first(np.where(copy, sets.signature, np.uint64(0)))))
-                    run = np.concatenate([run, words.mix(~sets.signature[own])])
-                    grams, unit = np.concatenate([grams, np.zeros(len(own), np.uint64)]), np.concatenate([unit, sets.signature[own]])
-                    kind = np.concatenate([kind, np.full(len(own), OWN, np.int8)])
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (run, unit, np.where(kind == SPLIT, grams, 0).astype(np.uint64))] + [pa.array(kind)], schema=_POSTINGS)
+                    own = sets.signature[first | (copy & again.first(np.where(copy, sets.signature, np.uint64(0))))]
+                    run = np.concatenate([run, (words.mix(~own) & _HASHED) | np.uint64(OWN)])
+                    unit = np.concatenate([unit, own])
+                yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(unit.view(np.int64))], schema=_POSTINGS)
 
     return post
 
 
 def _read_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over sorted postings: only the current run's leader is held."""
-    last_run = leader = last_unit = None
-    paired = True
-    for batch in batches:
-        run, unit, gram = (np.asarray(batch.column(k)) for k in range(3))
-        kind = np.asarray(batch.column(3))
-        if not len(run):
-            continue
-        begins = np.ones(len(run), bool)
-        begins[1:] = run[1:] != run[:-1]
-        same_unit = np.zeros(len(run), bool)
-        same_unit[1:] = ~begins[1:] & (unit[1:] == unit[:-1])
-        if run[0] == last_run:
-            begins[0], same_unit[0] = False, unit[0] == last_unit
-        at = np.flatnonzero(begins)
-        number = np.cumsum(begins)  # 0: the run that the batch before began
-        leaders = np.concatenate(([leader if leader is not None else 0], unit[at]))
-        own = leaders[number]
+    """Postings sorted by run become rows of ``_PAIRS``. Salts bound what one run holds."""
+    held: list[np.ndarray] = []
+    count = 0
+
+    def read(run: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        size = np.diff(np.append(at, len(run)))
+        leader = np.minimum.reduceat(unit, at)
+        own, kind = np.repeat(leader, size), run & 3
         out = []
-        gives = ~begins & ~same_unit & (kind != OWN)
+        gives = (unit != own) & (kind != OWN)
         if gives.any():
-            pairs = np.unique(np.stack([own[gives], unit[gives]], 1), axis=0)
-            heads = np.unique(pairs[:, 0])
-            out += [(BLOCK, pairs[:, 0], pairs[:, 1]), (BLOCK, heads, heads)]
-        split = kind == SPLIT
+            pairs = _distinct_pairs(own[gives], unit[gives])
+            heads = np.unique(pairs[0])
+            out += [(BLOCK, *pairs), (BLOCK, heads, heads)]
+        split = run[at] & 3 == SPLIT
         if split.any():
-            heads = begins & split
-            out += [(BLOCK, unit[heads], unit[heads]), (PART, gram[heads], unit[heads])]
-        copied = ~begins & (kind == OWN)
+            heads = leader[split]
+            out += [(BLOCK, heads, heads), (PART, run[at][split] >> 16, heads)]
+        copied = (size > 1) & (run[at] & 3 == OWN)
         if copied.any():
-            found = np.unique(unit[copied])
-            out.append((COPIED, found, found))
-        last_run, last_unit, leader = run[-1], unit[-1], own[-1]
+            out.append((COPIED, leader[copied], leader[copied]))
         for k, a, b in out:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int8)), pa.array(a), pa.array(b)], schema=_PAIRS)
 
+    for batch in batches:
+        held.append(np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))]))
+        count += batch.num_rows
+        if count >= READ_ROWS:
+            run, unit = np.concatenate(held, 1)
+            done = int(np.searchsorted(run, run[-1]))  # the last run may go on
+            if done:
+                yield from read(run[:done], unit[:done])
+            held, count = [np.stack([run[done:], unit[done:]])], 0
+    if held:
+        run, unit = np.concatenate(held, 1)
+        if len(run):
+            yield from read(run, unit)
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return a[new], b[new]
+
 
 @dataclass
 class Candidates:
-    """``blocks``: leader, unit, chunks of the block. ``copied``: units with copies. ``rarity``: broadcast."""
+    """``blocks``: leader, unit. ``copied``: units with copies. ``rarity``: broadcast."""
 
     blocks: DataFrame
     copied: DataFrame
@@ -259,8 +273,8 @@ def find_candidates(texts: DataFrame, make: UnitMaker, share: int = SHARE, copie
     """Blocks that hold every pair of similar units of a ``text`` column."""
     context = texts.sparkSession.sparkContext
     rarity = context.broadcast(Rarity.of(count_shingles(texts, make)))
-    posted = texts.select("text").mapInArrow(_postings(make, rarity, share, copies), "run long, unit long, gram long, kind byte")
-    rows = posted.repartition(F.col("run")).sortWithinPartitions("run", "unit").mapInArrow(_read_runs, "kind byte, a long, b long").distinct()
+    posted = texts.select("text").mapInArrow(_postings(make, rarity, share, copies), "run long, unit long")
+    rows = posted.repartition(F.col("run")).sortWithinPartitions("run").mapInArrow(_read_runs, "kind byte, a long, b long").distinct()
     rows = staged(rows, "runs")
     plain = rows.where(F.col("kind") == BLOCK).select(F.col("a").alias("leader"), F.col("b").alias("unit"))
     parts = rows.where(F.col("kind") == PART)
@@ -268,11 +282,7 @@ def find_candidates(texts: DataFrame, make: UnitMaker, share: int = SHARE, copie
     first = parts.groupBy("a").agg(F.min("b").alias("first"))
     moved = parts.join(first, "a").select(F.col("b").alias("leader"), "first").distinct()
     blocks = plain.unionByName(plain.join(moved, "leader").select(F.col("first").alias("leader"), "unit")).distinct()
-    weight = F.sum(F.expr("shiftleft(1L, cast(unit & 63 AS int))"))
-    sized = blocks.groupBy("leader").agg(F.count("*").alias("units"), weight.alias("shingles")).where(F.col("units") > 1)
-    chunks = F.greatest(F.ceil(F.col("units") / CHUNK_UNITS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
-    blocks = staged(blocks.join(sized.select("leader", chunks.alias("chunks")), "leader"), "blocks")
-    return Candidates(blocks, rows.where(F.col("kind") == COPIED).select(F.col("a").alias("unit")), rarity, make)
+    return Candidates(staged(blocks, "blocks"), rows.where(F.col("kind") == COPIED).select(F.col("a").alias("unit")), rarity, make)
 
 
 def unit_filter(units: DataFrame) -> np.ndarray:
@@ -290,24 +300,86 @@ def passes(bits: np.ndarray, signatures: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
-def pair_groups(members: DataFrame) -> DataFrame:
-    """Rows (leader, chunks, unit, ...) once for every pair of chunks that their own chunk is in."""
-    chunk = F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int")
-    spread = members.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return spread.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("other", "chunks")
+def pair_groups(blocks: DataFrame, units: DataFrame) -> DataFrame:
+    """Blocks with the columns of ``units``, dealt so that every two units of a block meet in a group (leader, low, high).
+
+    A block is one group unless it is too large; then it is cut into chunks, and every pair of chunks is a group.
+    """
+    weight = F.sum(F.expr("shiftleft(1L, cast(unit & 63 AS int))"))
+    sized = blocks.groupBy("leader").agg(F.count("*").alias("n"), weight.alias("weight")).where(F.col("n") > 1)
+    chunks = F.greatest(F.ceil(F.col("n") / CHUNK_UNITS), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int")
+    members = blocks.join(sized.select("leader", chunks.alias("chunks")), "leader").join(units, "unit")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return members.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("other", "chunk", "chunks")
+
+
+def pack_bitmaps(sets: Ordered, wanted: np.ndarray) -> pa.Array:
+    """Per wanted unit a bitmap of its hashed shingles, of a power of two of bits, at least one per shingle."""
+    n = np.diff(sets.firsts)
+    bits = np.where(wanted, 1 << np.maximum(6, bit_length(np.maximum(n - 1, 0))), 0)
+    places = np.concatenate(([0], np.cumsum(bits)))
+    owner = np.repeat(np.arange(len(n)), np.where(wanted, n, 0))
+    grams = sets.grams[np.repeat(wanted, n)]
+    flags = np.zeros(int(places[-1]), bool)
+    flags[places[owner] + (words.mix(grams) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    return _binary(np.packbits(flags, bitorder="little"), places // 8, wanted)
+
+
+def may_be_similar(n: np.ndarray, bitmaps: list[np.ndarray], share: int = SHARE) -> np.ndarray:
+    """Which units have a partner that lengths and bitmaps do not rule out.
+
+    Every bit that differs stands for a shingle that one side lacks, and similar sets differ in
+    at most (100 - share) / (100 + share) of their shingles. A bitmap of twice the size folds.
+    """
+    size = np.array([len(b) for b in bitmaps])
+    out = np.zeros(len(n), bool)
+    for c in np.unique(size).tolist():
+        small, large = np.flatnonzero(size == c), np.flatnonzero(size == 2 * c)
+        rows = np.stack([bitmaps[k] for k in small])
+        if len(large):
+            double = np.stack([bitmaps[k] for k in large])
+            rows = np.concatenate([rows, double[:, :c] | double[:, c:]])
+        both = np.concatenate([small, large])
+        for k, x in enumerate(small.tolist()):
+            differ = np.bitwise_count(rows[k + 1 :] ^ rows[k]).sum(1, dtype=np.int64)
+            others = both[k + 1 :]
+            near = (100 + share) * differ <= (100 - share) * (n[others] + n[x])
+            near &= 100 * np.minimum(n[others], n[x]) >= share * np.maximum(n[others], n[x])
+            if near.any():
+                out[x] = True
+                out[others[near]] = True
+    return out
+
+
+_MEMBERS = pa.schema([("leader", pa.int64()), ("unit", pa.int64())])
+
+
+def refine(blocks: DataFrame, sketches: DataFrame, share: int = SHARE) -> DataFrame:
+    """Blocks without the units that cannot be similar to any other; ``sketches`` has unit, n and bits."""
+
+    def kept(group: pa.Table) -> pa.Table:
+        units, where = np.unique(np.asarray(group["unit"]), return_index=True)
+        group = group.take(pa.array(where))
+        good = may_be_similar(np.asarray(group["n"]), unpack(group["bits"]), share)
+        return pa.Table.from_arrays([group["leader"].filter(pa.array(good)), pa.array(units[good])], schema=_MEMBERS)
+
+    return staged(pair_groups(blocks, sketches).groupBy("leader", "low", "high").applyInArrow(kept, "leader long, unit long").distinct(), "refined")
 
 
 def unpack(grams: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(g.as_buffer(), np.uint64) for g in grams]
+    return [np.frombuffer(g.as_buffer(), np.uint64) for g in grams]  # values of 8-byte steps
+
+
+def _binary(data: np.ndarray, places: np.ndarray, valid: np.ndarray) -> pa.Array:
+    valid = np.packbits(valid, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [pa.py_buffer(valid.tobytes()), pa.py_buffer(places.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def pack_sets(sets: Ordered, wanted: np.ndarray) -> pa.Array:
     """The shingles of the wanted units as binary values, null for the others."""
-    size = np.where(wanted, np.diff(sets.firsts), 0)
-    at = np.repeat(sets.firsts[:-1] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    ends = np.concatenate(([0], np.cumsum(size * 8))).astype(np.int32)
-    valid = np.packbits(wanted, bitorder="little")
-    return pa.Array.from_buffers(pa.binary(), len(wanted), [pa.py_buffer(valid.tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(sets.grams[at].tobytes())])
+    n = np.diff(sets.firsts)
+    places = np.concatenate(([0], np.cumsum(np.where(wanted, 8 * n, 0))))
+    return _binary(sets.grams[np.repeat(wanted, n)], places, wanted)
 
 
 def similar(common: Column | np.ndarray, n: np.ndarray, m: np.ndarray, share: int = SHARE) -> np.ndarray:
