@@ -65,18 +65,38 @@ def matched_lines(sets: list[np.ndarray], rank: np.ndarray, share: int = SHARE)
     return np.array(out, np.int64)
 
 
+#: Groups of so few lines are compared pair by pair.
+FEW = 8
+
+
+def _any_earlier(sets: list[np.ndarray], rank: np.ndarray, share: int) -> list[int]:
+    """As ``matched_lines``, for a handful of sets."""
+    out = []
+    for x, own in enumerate(sets):
+        for y, other in enumerate(sets):
+            n, m = len(own), len(other)
+            if rank[y] < rank[x] and 100 * min(n, m) >= share * max(n, m):
+                spot = np.minimum(np.searchsorted(own, other), n - 1)
+                if setjoin.similar(np.count_nonzero(own[spot] == other), n, m, share):
+                    out.append(x)
+                    break
+    return out
+
+
 _UNIT = pa.schema([("unit", pa.int64())])
 
 
 def _matches(share: int):
-    def made(group: pa.Table) -> pa.Table:
-        units, where = np.unique(np.asarray(group["unit"]), return_index=True)
-        if len(units) < 2:
-            return _UNIT.empty_table()
-        group = group.take(pa.array(where))
+    def made(rows: pa.Table, bounds: np.ndarray) -> pa.Table:
+        units, sets = np.asarray(rows["unit"]), setjoin.unpack(rows["grams"])
         rank = np.empty(len(units), np.int64)
-        rank[np.lexsort([np.asarray(group[c]) for c in ("line", "tie", "key")])] = np.arange(len(units))
-        return pa.Table.from_arrays([pa.array(units[matched_lines(setjoin.unpack(group["grams"]), rank, share)])], schema=_UNIT)
+        rank[np.lexsort([np.asarray(rows[c]) for c in ("line", "tie", "key")])] = np.arange(len(units))
+        out: list[int] = []
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            if b - a > 1:
+                found = _any_earlier if b - a <= FEW else matched_lines
+                out += [a + x for x in found(sets[a:b], rank[a:b], share)]
+        return pa.Table.from_arrays([pa.array(units[np.array(out, np.int64)])], schema=_UNIT)
 
     return made
 
@@ -116,7 +136,7 @@ def removed_lines(texts: DataFrame, width: int = WIDTH, share: int = SHARE) -> D
     blocks = setjoin.refine(found.blocks, chosen.select("unit", "n", "bits"), share)
     sets = chosen.select("unit", "grams").join(first, "unit").select("unit", "grams", "first.*")
     groups = setjoin.pair_groups(blocks, sets)
-    matched = groups.groupBy("leader", "low", "high").applyInArrow(_matches(share), "unit long").distinct()
+    matched = setjoin.in_groups(groups, _matches(share), "unit long").distinct()
     judged = first.join(matched.withColumn("matched", F.lit(True)), "unit", "left")
     gone = lines.select("unit", *["key", "tie", "line"]).join(judged, "unit").where(F.col("matched") | (place > F.col("first")))
     return gone.groupBy("key", "tie").agg(F.collect_set("line").alias("lines"))

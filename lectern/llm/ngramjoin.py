@@ -86,13 +86,15 @@ def trie_links(sets: list[np.ndarray], share: int = SHARE) -> list[tuple[int, in
 
 
 def _links(share: int):
-    def made(group: pa.Table) -> pa.Table:
-        units, where = np.unique(np.asarray(group["unit"]), return_index=True)
-        if len(units) < 2:
-            return _EDGES.empty_table()
-        sets = setjoin.unpack(group["grams"].take(pa.array(where)))
-        links = np.array(trie_links(sets, share), np.int64).reshape(-1, 2)
-        return pa.Table.from_arrays([pa.array(units[links[:, 0]]), pa.array(units[links[:, 1]])], schema=_EDGES)
+    def made(rows: pa.Table, bounds: np.ndarray) -> pa.Table:
+        units, sets = np.asarray(rows["unit"]), setjoin.unpack(rows["grams"])
+        src: list[int] = []
+        dst: list[int] = []
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            for x, y in trie_links(sets[a:b], share) if b - a > 1 else ():
+                src.append(units[a + x])
+                dst.append(units[a + y])
+        return pa.Table.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], schema=_EDGES)
 
     return made
 
@@ -116,15 +118,29 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_
                 wanted = setjoin.passes(bits.value, sets.signature) & (np.diff(sets.firsts) > 0)
                 wanted &= seen.first(sets.signature)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, n), pa.array(np.diff(sets.firsts)), pa.array(sets.signature.view(np.int64)), setjoin.pack_bitmaps(sets, wanted), setjoin.pack_sets(sets, wanted)],
-                    names=["doc_id", "n_shingles", "unit", "bits", "grams"],
+                    [batch.column("doc_id").slice(first, n), pa.array(np.diff(sets.firsts)), pa.array(sets.signature.view(np.int64)), setjoin.pack_bitmaps(sets, wanted)],
+                    names=["doc_id", "n_shingles", "unit", "bits"],
                 )
 
-    measured = staged(texts.mapInArrow(measure, "doc_id long, n_shingles long, unit long, bits binary, grams binary"), "shingle-sets")
-    chosen = measured.where(F.col("bits").isNotNull())
-    blocks = setjoin.refine(found.blocks, chosen.select("unit", F.col("n_shingles").alias("n"), "bits"), share)
-    groups = setjoin.pair_groups(blocks, chosen.select("unit", "grams"))
-    links = staged(groups.groupBy("leader", "low", "high").applyInArrow(_links(share), "src long, dst long").distinct(), "links")
+    measured = staged(texts.mapInArrow(measure, "doc_id long, n_shingles long, unit long, bits binary"), "shingle-bits")
+    sketches = measured.where(F.col("bits").isNotNull()).select("unit", F.col("n_shingles").alias("n"), "bits")
+    blocks = setjoin.refine(found.blocks, sketches, share)
+    left = texts.sparkSession.sparkContext.broadcast(setjoin.unit_filter(blocks))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of the few units that are left; cheaper to make again than to keep for all candidates."""
+        seen = setjoin.Seen()
+        for batch in batches:
+            for _, _, data, offsets in words.chunks(batch.column("text")):
+                sets = setjoin.order_sets(make(data, offsets), rarity.value.level)
+                wanted = setjoin.passes(left.value, sets.signature) & (np.diff(sets.firsts) > 0)
+                wanted &= seen.first(sets.signature)
+                if wanted.any():
+                    kept = pa.array(np.flatnonzero(wanted))
+                    yield pa.RecordBatch.from_arrays([pa.array(sets.signature[wanted].view(np.int64)), setjoin.pack_sets(sets, wanted).take(kept)], names=["unit", "grams"])
+
+    groups = setjoin.pair_groups(blocks, texts.select("text").mapInArrow(fetch, "unit long, grams binary"))
+    links = staged(setjoin.in_groups(groups, _links(share), "src long, dst long").distinct(), "links")
     nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     components = connected_components(links, nodes)
     members = measured.select("doc_id", "n_shingles", "unit").join(components.withColumnRenamed("node", "unit"), "unit", "left")

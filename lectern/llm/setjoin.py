@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.llm import words
-from lectern.llm.shared import staged
+from lectern.llm.shared import ragged, staged
 
 WIDTH, SHARE = 5, 80
 BUCKET_BITS, SLICES = 20, 256
@@ -301,16 +301,59 @@ def passes(bits: np.ndarray, signatures: np.ndarray) -> np.ndarray:
 
 
 def pair_groups(blocks: DataFrame, units: DataFrame) -> DataFrame:
-    """Blocks with the columns of ``units``, dealt so that every two units of a block meet in a group (leader, low, high).
+    """Blocks with the columns of ``units``, dealt so that every two units of a block meet in a ``group``.
 
-    A block is one group unless it is too large; then it is cut into chunks, and every pair of chunks is a group.
+    A block is one group unless it is too large; then it is cut into chunks, and every pair of
+    chunks is a group. Groups are numbered by hash: two that share a number only compare more.
     """
     weight = F.sum(F.expr("shiftleft(1L, cast(unit & 63 AS int))"))
     sized = blocks.groupBy("leader").agg(F.count("*").alias("n"), weight.alias("weight")).where(F.col("n") > 1)
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_UNITS), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int")
-    members = blocks.join(sized.select("leader", chunks.alias("chunks")), "leader").join(units, "unit")
+    # Neither side has a bound, and the plan should be the same at every size.
+    members = blocks.join(sized.select("leader", chunks.alias("chunks")), "leader").join(units.hint("merge"), "unit")
     members = members.withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return members.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("other", "chunk", "chunks")
+    group = F.xxhash64("leader", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    return members.withColumn("group", group).drop("other", "chunk", "chunks")
+
+
+#: Rows of complete groups that are handled at once, and bytes.
+GROUP_ROWS, GROUP_BYTES = 1 << 12, 16 << 20
+
+
+def in_groups(members: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Table], ddl: str) -> DataFrame:
+    """Apply ``work`` to tables of whole groups: sorted rows and where each group begins (and the end).
+
+    Every unit is once in a group; chunks bound what a group holds.
+    """
+
+    def ready(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, unit = np.asarray(rows["group"]), np.asarray(rows["unit"])
+        order = np.lexsort((unit, group))
+        new = np.concatenate(([True], (group[order][1:] != group[order][:-1]) | (unit[order][1:] != unit[order][:-1])))
+        rows = rows.take(pa.array(order[new]))
+        group = group[order[new]]
+        bounds = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(group))
+        yield from work(rows, bounds).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = size = 0
+        for batch in batches:
+            held.append(batch)
+            count, size = count + batch.num_rows, size + batch.nbytes
+            if count >= GROUP_ROWS or size >= GROUP_BYTES:
+                rows = pa.Table.from_batches(held)
+                group = np.asarray(rows["group"])
+                done = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last group may go on
+                if done:
+                    yield from ready(rows.slice(0, done))
+                    rows = rows.slice(done).combine_chunks()
+                held, count, size = rows.to_batches(), rows.num_rows, 0
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is not None and rows.num_rows:
+            yield from ready(rows)
+
+    return members.repartition(F.col("group")).sortWithinPartitions("group").mapInArrow(run, ddl)
 
 
 def pack_bitmaps(sets: Ordered, wanted: np.ndarray) -> pa.Array:
@@ -352,18 +395,50 @@ def may_be_similar(n: np.ndarray, bitmaps: list[np.ndarray], share: int = SHARE)
 
 
 _MEMBERS = pa.schema([("leader", pa.int64()), ("unit", pa.int64())])
+#: Groups of at most so many units are compared together, pair by pair.
+SMALL_GROUP = 48
+
+
+def similar_pairs(n: np.ndarray, bitmaps: list[np.ndarray], a: np.ndarray, b: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """Which pairs of places lengths and bitmaps do not rule out."""
+    size = np.array([len(x) for x in bitmaps])
+    firsts = np.cumsum(size) - size
+    flat = np.concatenate(bitmaps)
+    a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    out = 100 * np.minimum(n[a], n[b]) >= share * np.maximum(n[a], n[b])
+    for c in np.unique(size[a[out]]).tolist():
+        for times in (1, 2):
+            at = np.flatnonzero(out & (size[a] == c) & (size[b] == times * c))
+            span = np.arange(c)
+            other = flat[firsts[b[at]][:, None] + span]
+            if times == 2:
+                other = other | flat[firsts[b[at]][:, None] + span + c]
+            differ = np.bitwise_count(flat[firsts[a[at]][:, None] + span] ^ other).sum(1, dtype=np.int64)
+            out[at] = (100 + share) * differ <= (100 - share) * (n[a[at]] + n[b[at]])
+    return out
 
 
 def refine(blocks: DataFrame, sketches: DataFrame, share: int = SHARE) -> DataFrame:
     """Blocks without the units that cannot be similar to any other; ``sketches`` has unit, n and bits."""
 
-    def kept(group: pa.Table) -> pa.Table:
-        units, where = np.unique(np.asarray(group["unit"]), return_index=True)
-        group = group.take(pa.array(where))
-        good = may_be_similar(np.asarray(group["n"]), unpack(group["bits"]), share)
-        return pa.Table.from_arrays([group["leader"].filter(pa.array(good)), pa.array(units[good])], schema=_MEMBERS)
-
-    return staged(pair_groups(blocks, sketches).groupBy("leader", "low", "high").applyInArrow(kept, "leader long, unit long").distinct(), "refined")
+    def kept(rows: pa.Table, bounds: np.ndarray) -> pa.Table:
+        n, bitmaps = np.asarray(rows["n"]), unpack(rows["bits"])
+        good = np.zeros(len(n), bool)
+        size = np.diff(bounds)
+        ends = np.repeat(np.where(size <= SMALL_GROUP, bounds[1:], 0), size)
+        here = np.arange(len(n))
+        partners = np.maximum(0, ends - here - 1)
+        a = np.repeat(here, partners)
+        b = ragged(here + 1, partners)
+        near = similar_pairs(n, bitmaps, a, b, share)
+        good[a[near]] = True
+        good[b[near]] = True
+        for k in np.flatnonzero(size > SMALL_GROUP).tolist():
+            span = slice(bounds[k], bounds[k + 1])
+            good[span] = may_be_similar(n[span], bitmaps[span], share)
+        return rows.select(["leader", "unit"]).filter(pa.array(good)).cast(_MEMBERS)
+
+    return staged(in_groups(pair_groups(blocks, sketches), kept, "leader long, unit long").distinct(), "refined")
 
 
 def unpack(grams: pa.ChunkedArray) -> list[np.ndarray]:
