@@ -111,15 +111,23 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     rows = with_next(texts).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited(F.col("n_chars")))
     keys = ["doc_id", "tie", "nth", "next_doc_id", "next_tie", "n_chars", "edited_sha256"]
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), terms(F.col(c)).alias("terms")) for k, c in enumerate(("text", "edited"))])
-    sides = rows.select(*keys, F.explode(sides).alias("x")).select(*keys, "x.side", "x.terms", (F.size("x.terms") <= SHORT_TERMS).alias("short"))
-    # The null word keeps a row for texts without any term of the lexicon.
-    words = sides.select(*keys, "side", "short", F.explode(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("word"))
-    words = words.select(*keys, "side", "short", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"))
-    found = words.join(F.broadcast(known.withColumn("known", F.lit(True))), "term", "left")
-    kept = found.where(F.col("short") | F.col("known") | F.col("term").isNull())
-    of = lambda side: F.sort_array(F.collect_set(F.when(F.col("side") == side, F.col("term"))))
-    grouped = kept.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("other"))
+    rows = rows.select(*keys, terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("other"))
+    # Most terms are in both texts and travel once. Sides: 1 the text, 2 the edited text, 3 both.
+    sides = F.array(
+        F.struct(F.lit(1).alias("side"), F.array_except("own", "other").alias("terms")),
+        F.struct(F.lit(2).alias("side"), F.array_except("other", "own").alias("terms")),
+        # The null term keeps a row for texts without any term of the lexicon.
+        F.struct(F.lit(3).alias("side"), F.concat(F.array_intersect("own", "other"), F.array(F.lit(None).cast("string"))).alias("terms")),
+    )
+    short = F.when(F.size("own") <= SHORT_TERMS, 1).otherwise(0) + F.when(F.size("other") <= SHORT_TERMS, 2).otherwise(0)
+    sides = rows.select(*keys, short.alias("short"), F.explode(sides).alias("x")).select(*keys, "short", "x.side", F.explode("x.terms").alias("word"))
+    words = sides.select(*keys, "side", "short", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"))
+    found = words.join(F.broadcast(known.withColumn("known", F.lit(3))), "term", "left")
+    used = F.col("side").bitwiseAND(F.coalesce("known", "short"))
+    kept = found.withColumn("used", used).where((F.col("used") > 0) | F.col("term").isNull())
+    # Terms are grouped as 32-bit hashes, half the size of those that met the lexicon.
+    of = [F.collect_list(F.when((F.col("used") == side) & F.col("term").isNotNull(), F.hash("term"))).alias(f"of{side}") for side in (1, 2, 3)]
+    grouped = kept.groupBy(*keys).agg(*of).select(*keys, F.sort_array(F.concat("of1", "of3")).alias("own"), F.sort_array(F.concat("of2", "of3")).alias("other"))
     return grouped.select(*keys, fingerprint(F.col("own")).alias("places"), fingerprint(F.col("other")).alias("edited_places"))
 
 
