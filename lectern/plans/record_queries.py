@@ -46,12 +46,12 @@ def ingest_validate(spark, sf):
 
 @query(
     "sanitize_file_name",
-    """SELECT doc_id, substr(regexp_replace(regexp_replace(substr(text, 1, 300) || '.pdf', '[^a-zA-Z0-9._-]', '_', 'g'),
+    """SELECT doc_id, substr(regexp_replace(regexp_replace(text || '.pdf', '[^a-zA-Z0-9._-]', '_', 'g'),
   '_+', '_', 'g'), 1, 255) AS file_name FROM documents""",
 )
 def sanitize_file_name(spark, sf):
-    """The opening of each document as a wild file name."""
-    name = F.concat(F.substring("text", 1, 300), F.lit(".pdf"))
+    """Each document's whole text as a wild file name."""
+    name = F.concat("text", F.lit(".pdf"))
     return S.documents(spark, sf).select("doc_id", ingest.sanitize_file_name(name).alias("file_name"))
 
 
@@ -108,15 +108,9 @@ def page_split(spark, sf):
 @query("append_sink")
 def append_sink(spark, sf):
     """Rows read back after two appends, partitioned by stage."""
-    import tempfile
+    from lectern.streaming.flow import work_path
 
-    from lectern.session import use_checkpoint_dir
-
-    use_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    path = (
-        f"{base}/appended-{spark.sparkContext.applicationId}-{id(object())}" if base else tempfile.mkdtemp(prefix="lectern-append-")
-    )
+    path = work_path(spark, "appended")
     items = S.owned_items(spark, sf).select("id", "user_id", "score", "stage")
     C.append(items.filter(F.col("id") % 2 == 0), path, ["stage"])
     C.append(items.filter(F.col("id") % 2 == 1), path, ["stage"])

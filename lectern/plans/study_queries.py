@@ -268,7 +268,7 @@ def explain_facts(spark, sf):
 
 # ---- concepts ------------------------------------------------------------------------------------
 
-_BARE = f"""{Q.LINES}, b0 AS (SELECT doc_id, line_no, {Q.strip("regexp_replace(regexp_replace(regexp_replace(substr(line, 1, 60), '[\\x{FFFD}\\x{0}]', '', 'g'), '[\\x{1}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{7F}]', '', 'g'), '[ \\t]+', ' ', 'g')")} AS t FROM lines),
+_BARE = f"""{Q.LINES}, b0 AS (SELECT doc_id, line_no, {Q.strip("regexp_replace(regexp_replace(regexp_replace(line, '[\\x{FFFD}\\x{0}]', '', 'g'), '[\\x{1}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{7F}]', '', 'g'), '[ \\t]+', ' ', 'g')")} AS t FROM lines),
 b AS (SELECT doc_id, line_no, trim({Q.squeeze("regexp_replace(regexp_replace(t, '^[-–—•*0-9.) ]+', ''), '[.:;,]+$', '')")}, ' ') AS v FROM b0)"""
 
 
@@ -279,8 +279,8 @@ b AS (SELECT doc_id, line_no, trim({Q.squeeze("regexp_replace(regexp_replace(t,
   AND NOT regexp_matches(v, '[.!?]') AND NOT regexp_matches(lower(v), '^(?:year|page|table|figure) +[0-9]+$') AND regexp_matches(lower(v), '[a-z]') AS valid FROM b""",
 )
 def valid_concept(spark, sf):
-    """The first 60 characters of each line as a term."""
-    return document_lines(spark, sf).select("doc_id", "line_no", K.is_valid_concept(F.substring("line", 1, 60)).alias("valid"))
+    """Each line as a term."""
+    return document_lines(spark, sf).select("doc_id", "line_no", K.is_valid_concept(F.col("line")).alias("valid"))
 
 
 @query(
@@ -289,7 +289,7 @@ def valid_concept(spark, sf):
   WHEN lower(w) IN ({", ".join(f"'{w}'" for w in K.LOWER_WORDS)}) THEN lower(w) ELSE replace(upper(substr(w, 1, 1)), 'ẞ', 'SS') || lower(substr(w, 2)) END), ' ') AS name FROM b""",
 )
 def canonical_concept(spark, sf):
-    return document_lines(spark, sf).select("doc_id", "line_no", K.canonical_concept(F.substring("line", 1, 60)).alias("name"))
+    return document_lines(spark, sf).select("doc_id", "line_no", K.canonical_concept(F.col("line")).alias("name"))
 
 
 @query(
