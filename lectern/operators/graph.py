@@ -190,13 +190,13 @@ def collect_evidence(nodes: DataFrame) -> DataFrame:
     ).select("doc_id", "evidence_id", "text")
 
 
-def merge_properties(rows: DataFrame) -> DataFrame:
-    """Node rows(id, pos, label, props map): later fields win, property maps merge by key."""
-    pairs = rows.select("id", "pos", F.explode_outer("props").alias("k", "v"))
-    merged = pairs.filter(F.col("k").isNotNull()).groupBy("id", "k").agg(F.max_by("v", "pos").alias("v"))
-    props = merged.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("props"))
-    last = rows.groupBy("id").agg(F.max_by("label", "pos").alias("label"))
-    return last.join(props, "id", "left")
+def merge_properties(rows: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Node rows(keys, pos, label, props map): later fields win, property maps merge by key."""
+    pairs = rows.select(*keys, "pos", F.explode_outer("props").alias("k", "v"))
+    merged = pairs.filter(F.col("k").isNotNull()).groupBy(*keys, "k").agg(F.max_by("v", "pos").alias("v"))
+    props = merged.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("props"))
+    last = rows.groupBy(*keys).agg(F.max_by("label", "pos").alias("label"))
+    return last.join(props, list(keys), "left")
 
 
 # Edge from the document by claim type, and typed nodes.
@@ -210,6 +210,9 @@ TYPED_NODES = {"method": "method", "tool": "tool", "data_source": "dataset", "sa
 def build_graph(claims: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of every document from its valid claims and resolved concepts.
 
+    Claims that name one node merge their properties, later claims win; of equal edges the
+    first claim's stays.
+
     claims(doc_id, id, type, object, value, metric, confidence, evidence_id);
     concepts(doc_id, rank, norm, term, score, concept_id, label).
     """
@@ -226,47 +229,52 @@ def build_graph(claims: DataFrame, concepts: DataFrame) -> tuple[DataFrame, Data
     typed_id = F.concat(prefix, F.lit(":"), slug)
     value = F.col("value").cast("string")
 
-    def node(ident, kind, label, props):
-        return [F.col("doc_id"), ident.alias("id"), kind.alias("type"), label.alias("label"), props.alias("props")]
+    # A claim's id ends with its number in the document.
+    number = F.regexp_extract("id", r"([0-9]+)$", 1).try_cast("int")
+
+    def place(stage, order):
+        return F.struct(F.lit(stage).alias("stage"), order.cast("int").alias("order")).alias("pos")
+
+    def node(ident, kind, label, props, pos):
+        return [F.col("doc_id"), ident.alias("id"), kind.alias("type"), label.alias("label"), props.alias("props"), pos]
 
     def props(**fields):
         pairs = F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in fields.items()])
         return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
 
-    def link(src, kind, dst, weight, evidence):
-        return [F.col("doc_id"), src.alias("src"), kind.alias("type"), dst.alias("dst"), weight.alias("weight"), evidence.alias("evidence_id")]
+    def link(src, kind, dst, weight, evidence, pos):
+        return [F.col("doc_id"), src.alias("src"), kind.alias("type"), dst.alias("dst"), weight.alias("weight"), evidence.alias("evidence_id"), pos]
 
     papers = claims.select("doc_id").unionByName(concepts.select("doc_id")).distinct()
-    nodes = papers.select(*node(paper, F.lit("paper"), F.lit("Document"), props(noteId=F.col("doc_id"))))
+    nodes = papers.select(*node(paper, F.lit("paper"), F.lit("Document"), props(noteId=F.col("doc_id")), place(0, F.lit(0))))
     nodes = nodes.unionByName(
         claims.select(
             *node(
                 claim_id, F.when(F.col("type") == "result", "result").otherwise("claim"), F.col("object"),
-                props(claimType=F.col("type"), numericValue=value, metric=F.col("metric"), confidence=F.col("confidence")),
+                props(claimType=F.col("type"), numericValue=value, metric=F.col("metric"), confidence=F.col("confidence")), place(1, number),
             )
         )
     )
     with_type = claims.filter(prefix.isNotNull())
     nodes = nodes.unionByName(
-        with_type.select(*node(typed_id, prefix, F.col("object"), props(value=value, metric=F.col("metric"))))
+        with_type.select(*node(typed_id, prefix, F.col("object"), props(value=value, metric=F.col("metric")), place(2, number)))
     )
     local = F.concat(F.lit("local-"), T.slugify(F.col("norm"), "_", 90))
     concept = F.concat(F.lit("concept:"), F.coalesce(F.col("concept_id"), local))
     nodes = nodes.unionByName(
         concepts.select(
-            *node(concept, F.lit("concept"), F.coalesce("label", "term"), props(score=F.col("score"), rawInput=F.col("term")))
+            *node(concept, F.lit("concept"), F.coalesce("label", "term"), props(score=F.col("score"), rawInput=F.col("term")), place(3, F.col("rank")))
         )
     )
     weight, evidence = F.col("confidence"), F.col("evidence_id")
-    edges = claims.select(*link(paper, edge, claim_id, weight, evidence))
-    edges = edges.unionByName(with_type.select(*link(paper, edge, typed_id, weight, evidence)))
-    edges = edges.unionByName(with_type.select(*link(claim_id, F.lit("supports"), typed_id, weight, evidence)))
+    edges = claims.select(*link(paper, edge, claim_id, weight, evidence, place(1, number)))
+    edges = edges.unionByName(with_type.select(*link(paper, edge, typed_id, weight, evidence, place(2, number))))
+    edges = edges.unionByName(with_type.select(*link(claim_id, F.lit("supports"), typed_id, weight, evidence, place(2, number))))
     edges = edges.unionByName(
-        concepts.select(*link(paper, F.lit("mentions"), concept, F.col("score"), F.lit(None).cast("string")))
+        concepts.select(*link(paper, F.lit("mentions"), concept, F.col("score"), F.lit(None).cast("string"), place(3, F.col("rank"))))
     )
-    first_nodes = keep_first(nodes, ["doc_id", "id"], [F.col("type"), F.col("label")])
-    first_edges = keep_first(edges, ["doc_id", "src", "type", "dst"], [-F.col("weight"), F.col("evidence_id")])
-    return first_nodes, first_edges
+    merged = merge_properties(nodes, ("doc_id", "id", "type")).select("doc_id", "id", "type", "label", "props")
+    return merged, keep_first(edges, ["doc_id", "src", "type", "dst"], [F.col("pos")]).drop("pos")
 
 
 # Names that document facts use, so concept relations are prefixed.

@@ -105,7 +105,10 @@ def page_split(spark, sf):
 # ---- sinks ---------------------------------------------------------------------------------------
 
 
-@query("append_sink")
+@query(
+    "append_sink",
+    "SELECT o_orderkey AS id, o_custkey AS user_id, o_totalprice AS score, o_orderstatus AS stage FROM orders",
+)
 def append_sink(spark, sf):
     """Rows read back after two appends, partitioned by stage."""
     from lectern.streaming.flow import work_path

@@ -202,3 +202,27 @@ def test_concepts(spark):
     assert one(spark, concepts.canonical_concept(F.lit("- npv."))) == "Net Present Value (NPV)"
     assert one(spark, concepts.is_valid_concept(F.lit("class imbalance")))
     assert not one(spark, concepts.is_valid_concept(F.lit("they grow")))
+
+
+def test_amounts_reach_over_line_ends(spark):
+    from lectern.operators import finance
+
+    text = "The market\nresearch cost was $ 5,000 in all."
+    row = spark.createDataFrame([(text,)], "text string").select(finance.amounts(F.col("text")).alias("a")).first()
+    assert [(a["label"], a["value"]) for a in row["a"]] == [("Market research cost", 5000.0)]
+
+
+def test_graph_does_not_depend_on_row_order(spark):
+    from lectern.operators import graph
+
+    claims = [(1, f"claim-method-{n}", "method", "gradient trees", float(n), f"m{n % 3}", n / 10, f"evidence-{n}") for n in range(1, 13)]
+    ddl = "doc_id long, id string, type string, object string, value double, metric string, confidence double, evidence_id string"
+    concepts = spark.createDataFrame([(1, 0, "tree", "tree", 1.0, None, None)], "doc_id long, rank int, norm string, term string, score double, concept_id string, label string")
+    seen = set()
+    for parts in (1, 17):
+        nodes, edges = graph.build_graph(spark.createDataFrame(claims[::-1], ddl).repartition(parts), concepts)
+        seen.add((str(sorted(map(str, nodes.collect()))), str(sorted(map(str, edges.collect())))))
+    assert len(seen) == 1
+    method = nodes.filter("type = 'method'").first()
+    assert method["props"] == {"value": "12.0", "metric": "m0"}
+    assert edges.filter("dst like 'method:%' and src like 'paper:%'").first()["weight"] == 0.1
