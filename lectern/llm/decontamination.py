@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm import words
-from lectern.llm.shared import id_and_text, table_of
+from lectern.llm.shared import id_and_text, staged, table_of
 
 WINDOW = 10
 #: Words of the items in one automaton: the bound of what is sent to the workers at once.
@@ -215,42 +215,102 @@ def _scan(batches: Iterable[pa.RecordBatch], indexes: list[ItemIndex]) -> Iterat
             yield batch, first, n, data, offsets, starts, ends, firsts, hit, items
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and the item ids."""
-    shared = _send(docs, benchmark, window, block_words)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("item_ids", pa.list_(pa.string()))])
+_RUNS = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("item_ids", pa.list_(pa.string())), ("n_items", pa.int64())])
+_RUNS_DDL = "row_id long, doc_id long, n_words long, runs array<long>, item_ids array<string>, n_items long"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("item_ids", pa.list_(pa.string()))])
+_FOUND_DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, item_ids array<string>"
+
+
+def _digest(ids: pa.Array, n_words, n_hit, n_items, names: list[list[str]]) -> pa.RecordBatch:
+    sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+    return table_of(_FOUND, doc_id=ids, n_words=n_words, n_hit=n_hit, n_items=n_items, items_sha256=pa.array(sums, pa.string()), item_ids=pa.array(names, pa.list_(pa.string())))
+
+
+def _names(items: dict[int, set], n: int) -> tuple[list[list[str]], np.ndarray]:
+    """Item ids as sorted strings per document, and how many items (one without id counts too)."""
+    return [sorted(str(i) for i in items.get(k, ()) if i is not None) for k in range(n)], np.array([len(items.get(k, ())) for k in range(n)], np.int64)
+
+
+def _find_once(texts: DataFrame, index) -> DataFrame:
+    """All columns of the result in one pass, where one block holds the whole benchmark."""
 
     def scan(batches):
-        for batch, first, n, _, _, _, _, firsts, hit, items in _scan(batches, [b.value for b in shared]):
+        for batch, first, n, _, _, _, _, firsts, hit, items in _scan(batches, [index.value]):
             total = np.concatenate(([0], np.cumsum(hit)))[firsts]
-            names = [sorted(str(i) for i in items.get(k, ()) if i is not None) for k in range(n)]
-            sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-            counts = np.array([len(items.get(k, ())) for k in range(n)], np.int64)
-            yield table_of(schema, doc_id=batch.column("doc_id").slice(first, n), n_words=np.diff(firsts), n_hit=np.diff(total), n_items=counts, items_sha256=pa.array(sums, pa.string()), item_ids=pa.array(names, pa.list_(pa.string())))
+            names, counts = _names(items, n)
+            yield _digest(batch.column("doc_id").slice(first, n), np.diff(firsts), np.diff(total), counts, names)
 
-    found = id_and_text(docs, id_col, text_col).mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, item_ids array<string>")
-    return found.withColumn("contaminated", F.col("n_hit") > 0)
+    return texts.mapInArrow(scan, _FOUND_DDL)
+
+
+def _find_in_block(rows: DataFrame, index) -> DataFrame:
+    """Runs of hit words and items of one block, per row of a table with row numbers."""
+
+    def scan(batches):
+        for batch, first, n, _, _, _, _, firsts, hit, items in _scan(batches, [index.value]):
+            names, counts = _names(items, n)
+            runs = [np.flatnonzero(np.diff(np.concatenate(([0], hit[a:b].astype(np.int8), [0])))) for a, b in zip(firsts, firsts[1:])]
+            yield table_of(_RUNS, row_id=batch.column("row_id").slice(first, n), doc_id=batch.column("doc_id").slice(first, n), n_words=np.diff(firsts), runs=pa.array(runs, pa.list_(pa.int64())), item_ids=pa.array(names, pa.list_(pa.string())), n_items=counts)
 
+    return rows.mapInArrow(scan, _RUNS_DDL)
 
-def _send(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> list:
+
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row the union of the blocks' runs (each a list of starts and ends in turn)."""
+    for batch in batches:
+        hits = []
+        for n, lists in zip(batch.column("n_words").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            marks = np.zeros(n + 1, np.int64)
+            for runs in lists:
+                np.add.at(marks, runs[::2], 1)
+                np.add.at(marks, runs[1::2], -1)
+            hits.append(int(np.count_nonzero(np.cumsum(marks)[:-1])))
+        names = [sorted(x) for x in batch.column("item_ids").to_pylist()]
+        yield _digest(batch.column("doc_id"), batch.column("n_words"), np.array(hits, np.int64), batch.column("n_items"), names)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and the item ids.
+
+    A benchmark of one block takes one pass; of more blocks each takes a pass of its own, so a
+    worker never holds more than one, and the hit runs of a document are merged afterwards.
+    """
+    texts = id_and_text(docs, id_col, text_col)
     context = docs.sparkSession.sparkContext
-    return [context.broadcast(index) for index in item_blocks(benchmark, window=window, block_words=block_words)]
+    sent = [context.broadcast(index) for index in item_blocks(benchmark, window=window, block_words=block_words)]
+    if len(sent) == 1:
+        found = _find_once(texts, sent[0])
+    else:
+        rows = staged(texts.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+        parts = _find_in_block(rows, sent[0])
+        for index in sent[1:]:
+            parts = parts.unionByName(_find_in_block(rows, index))
+        merged = parts.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max(F.col("n_items") - F.size("item_ids")).alias("unnamed"))
+        found = merged.select("doc_id", "n_words", "runs", "item_ids", (F.size("item_ids") + F.col("unnamed")).cast("long").alias("n_items")).mapInArrow(_merge_runs, _FOUND_DDL)
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove_words: int = REMOVE_WORDS, drop_share: float = DROP_SHARE, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents without benchmark passages, all columns kept.
 
     A hit stretch of ``remove_words`` words or more is cut out; a document of which more than
-    ``drop_share`` of the words are hit goes altogether.
+    ``drop_share`` of the words are hit goes altogether. A benchmark of several blocks takes a
+    pass for each, and the share is that of one pass.
     """
-    shared = _send(docs, benchmark, window, block_words)
+    context = docs.sparkSession.sparkContext
+    for number, index in enumerate(item_blocks(benchmark, window=window, block_words=block_words)):
+        docs = _clean_block(staged(docs, "cleaned") if number else docs, context.broadcast(index), remove_words, drop_share, text_col)
+    return docs
+
+
+def _clean_block(docs: DataFrame, shared, remove_words: int, drop_share: float, text_col: str) -> DataFrame:
     schema = docs.schema
     place = schema.names.index(text_col)
 
     def cleaned(batches):
         for batch in batches:
             renamed = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
-            for _, first, n, data, offsets, starts, ends, firsts, hit, items in _scan([renamed], [b.value for b in shared]):
+            for _, first, n, data, offsets, starts, ends, firsts, hit, items in _scan([renamed], [shared.value]):
                 rows = batch.slice(first, n)
                 if not hit.any():
                     yield rows
