@@ -298,9 +298,14 @@ def _quote(phrase: str) -> str:
     return "".join("\\" + c if c in r".*+?^${}()|[]\/-" else c for c in phrase)
 
 
-def slugify(text: Column, joiner: str = "-", cap: int = 72) -> Column:
+def slugify(text: Column, joiner: str = "-", cap: int | None = None) -> Column:
+    """Letters and digits with joiners; beyond ``cap`` a hash of the whole keeps different texts apart."""
     slug = F.regexp_replace(F.lower(text), "[^a-z0-9]+", joiner)
-    return F.substring(F.regexp_replace(slug, f"^{joiner}+|{joiner}+$", ""), 1, cap)
+    slug = F.regexp_replace(slug, f"^{joiner}+|{joiner}+$", "")
+    if cap is None:
+        return slug
+    short = F.concat(F.substring(slug, 1, cap), F.lit(joiner), F.lower(F.hex(F.xxhash64(slug))))
+    return F.when(F.char_length(slug) > cap, short).otherwise(slug)
 
 
 # Abbreviations kept in capitals by title casing.
@@ -313,7 +318,7 @@ def title_case(text: Column) -> Column:
         F.transform(
             words(text),
             lambda w: F.when(F.upper(w).isin(TITLE_ACRONYMS), F.upper(w)).otherwise(
-                F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10**6)))
+                F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.char_length(w))))
             ),
         ),
         " ",
@@ -325,7 +330,7 @@ def capitalise_words(text: Column) -> Column:
     return F.array_join(
         F.transform(
             F.split(text, WS + "+"),
-            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10**6)),
+            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.char_length(w))),
         ),
         " ",
     )

@@ -225,7 +225,7 @@ def build_graph(claims: DataFrame, concepts: DataFrame) -> tuple[DataFrame, Data
         edge = F.when(F.col("type") == kind, name).otherwise(edge)
     typed = F.create_map(*[F.lit(x) for pair in TYPED_NODES.items() for x in pair])
     prefix = F.try_element_at(typed, F.col("type"))
-    slug = T.slugify(F.col("object"), "_", 90)
+    slug = T.slugify(F.col("object"), "_")
     typed_id = F.concat(prefix, F.lit(":"), slug)
     value = F.col("value").cast("string")
 
@@ -259,7 +259,7 @@ def build_graph(claims: DataFrame, concepts: DataFrame) -> tuple[DataFrame, Data
     nodes = nodes.unionByName(
         with_type.select(*node(typed_id, prefix, F.col("object"), props(value=value, metric=F.col("metric")), place(2, number)))
     )
-    local = F.concat(F.lit("local-"), T.slugify(F.col("norm"), "_", 90))
+    local = F.concat(F.lit("local-"), T.slugify(F.col("norm"), "_"))
     concept = F.concat(F.lit("concept:"), F.coalesce(F.col("concept_id"), local))
     nodes = nodes.unionByName(
         concepts.select(

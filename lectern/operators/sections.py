@@ -22,6 +22,8 @@ def heading_candidates(text: Column) -> Column:
 
     def find(lines: Column) -> Column:
         shaped = F.transform(lines, lambda l, i: F.struct(i.alias("i"), H.heading_of(l).alias("h")))
+        # Number of the last line that is not blank: a heading after it heads nothing.
+        last = F.array_max(F.transform(lines, lambda l, i: F.when(T.strip(l) != "", i)))
         hits = F.filter(shaped, lambda s: s["h"].isNotNull())
 
         def place(s: Column) -> Column:
@@ -31,17 +33,20 @@ def heading_candidates(text: Column) -> Column:
                 lambda at: F.struct(
                     s["h"]["line"].alias("line"), s["h"]["heading"].alias("heading"), s["h"]["number"].alias("number"),
                     s["h"]["level"].alias("level"), at.alias("start"),
-                    (at + F.char_length(s["h"]["line"]) + 1).alias("body"),
+                    (at + F.char_length(s["h"]["line"]) + 1).alias("body"), (s["i"] < s["last"]).alias("followed"),
                 ),
             )
 
         def genuine(c: Column) -> Column:
-            following = T.strip(text.substr(c["body"] + 1, F.lit(200)))
             return (F.size(F.split(c["heading"], T.WS + "+")) <= 12) & (
-                (following != "") | (F.lower(c["heading"]) == "references")
+                c["followed"] | (F.lower(c["heading"]) == "references")
             )
 
-        return F.filter(F.transform(hits, place), genuine)
+        def placed(x: Column) -> Column:
+            numbered = F.transform(x["hits"], lambda s: F.struct(s["i"].alias("i"), s["h"].alias("h"), x["last"].alias("last")))
+            return F.filter(F.transform(numbered, place), genuine)
+
+        return let(F.struct(hits.alias("hits"), last.alias("last")), placed)
 
     return let(F.split(text, "\n"), find)
 

@@ -14,9 +14,10 @@ from lectern.functions.numbers import plain_number
 from lectern.operators import rules
 from lectern.operators.concepts import is_valid_concept
 
-# Sizes and thresholds of the study builders.
-ANSWER_CHARS, CARD_CHARS, SUMMARY_CHARS, SYMBOLIC_CHARS = 300, 350, 24_000, 4_800
-DRAFT_LIMITS = {"claims": 18_000, "quiz": 24_000, "summary": 30_000, "cards": 8_000, "chat": 4_000}
+# Lengths for callers who want bounded texts; no builder cuts unless it is given one.
+LENGTHS = {"answer": 300, "card": 350, "summary": 24_000, "symbolic": 4_800, "opening": 4_000}
+# Characters of the source that one request to a text generator carries.
+DRAFT_LIMITS = {"claims": 18_000, "quiz": 24_000, "summary": 30_000, "cards": 8_000}
 
 
 def score_answers(questions: DataFrame, given: DataFrame) -> DataFrame:
@@ -28,6 +29,11 @@ def score_answers(questions: DataFrame, given: DataFrame) -> DataFrame:
     )
 
 
+def shorten(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters, or the whole text."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 def no_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -69,9 +75,9 @@ def study_headings(text: Column, n: int = 12) -> Column:
 DEFINED = r"(?i)^([A-Z][A-Za-z0-9 ()/_-]{2,70}?) +(?:is|are|means|refers to|can be defined as) +(.{20,260})$"
 
 
-def definitions(text: Column, n: int = 15, pattern: str = DEFINED) -> Column:
-    """array<struct<term, definition>> from the first 80 meaningful sentences."""
-    hits = F.filter(meaningful_sentences(text, 80), lambda s: s.rlike(pattern))
+def definitions(text: Column, n: int = 15, pattern: str = DEFINED, sentences: int | None = None) -> Column:
+    """First n of array<struct<term, definition>> from the meaningful sentences (all, or the first ``sentences``)."""
+    hits = F.filter(meaningful_sentences(text, sentences), lambda s: s.rlike(pattern))
     found = F.transform(
         hits,
         lambda s: F.struct(
@@ -101,7 +107,7 @@ def distractors(pool: Column, correct: Column, n: int = 3) -> Column:
     return F.slice(F.filter(pool, lambda v: F.lower(v) != F.lower(correct)), 1, n)
 
 
-def questions_from_facts(h: Column, pool: Column, n: int, types=rules.QUESTION_TYPES) -> Column:
+def questions_from_facts(h: Column, pool: Column, n: int, types=rules.QUESTION_TYPES, chars: int | None = None) -> Column:
     """Template questions from headline facts."""
     none = no_strings()
     both = F.array(F.lit("True"), F.lit("False"))
@@ -135,7 +141,7 @@ def questions_from_facts(h: Column, pool: Column, n: int, types=rules.QUESTION_T
                 h["problem"].isNotNull(),
                 question(
                     F.lit("What main problem does this document address?"), "short_answer", none,
-                    F.substring(h["problem"], 1, ANSWER_CHARS), "The answer comes from the extracted problem statement.",
+                    shorten(h["problem"], chars), "The answer comes from the extracted problem statement.",
                 ),
             ),
             _maybe(
@@ -149,21 +155,21 @@ def questions_from_facts(h: Column, pool: Column, n: int, types=rules.QUESTION_T
                 h["key_points"],
                 lambda p: question(
                     F.concat(F.lit('What is stated about "'), p["label"], F.lit('"?')), "short_answer", none,
-                    F.substring(p["value"], 1, ANSWER_CHARS), "This key point was extracted from the document.",
+                    shorten(p["value"], chars), "This key point was extracted from the document.",
                 ),
             ),
             F.transform(
                 h["contributions"],
                 lambda c: question(
                     F.lit("Name one contribution of this work."), "short_answer", none,
-                    F.substring(c, 1, ANSWER_CHARS), "This is one of the extracted contributions.",
+                    shorten(c, chars), "This is one of the extracted contributions.",
                 ),
             ),
         ]
     return F.slice(F.concat(*parts), 1, n)
 
 
-def questions_from_text(text: Column, n: int, types=rules.QUESTION_TYPES, pattern: str = DEFINED) -> Column:
+def questions_from_text(text: Column, n: int, types=rules.QUESTION_TYPES, pattern: str = DEFINED, chars: int | None = None) -> Column:
     """Definition questions, then heading questions, then true/false statements."""
     none = no_strings()
 
@@ -175,7 +181,7 @@ def questions_from_text(text: Column, n: int, types=rules.QUESTION_TYPES, patter
                     x["defs"],
                     lambda d: question(
                         F.concat(F.lit("What is "), d["term"], F.lit("?")), "short_answer", none,
-                        F.substring(d["definition"], 1, ANSWER_CHARS), "This definition was extracted from the uploaded document.",
+                        shorten(d["definition"], chars), "This definition was extracted from the uploaded document.",
                     ),
                 )
             )
@@ -185,7 +191,7 @@ def questions_from_text(text: Column, n: int, types=rules.QUESTION_TYPES, patter
                     paired,
                     lambda hd, i: question(
                         F.concat(F.lit('What is an important point from the section "'), hd, F.lit('"?')), "short_answer", none,
-                        F.substring(F.get(x["sents"], i), 1, ANSWER_CHARS),
+                        shorten(F.get(x["sents"], i), chars),
                         "The answer is based on text extracted from that document section.",
                     ),
                 )
@@ -204,7 +210,7 @@ def questions_from_text(text: Column, n: int, types=rules.QUESTION_TYPES, patter
 
     return let(
         F.struct(
-            definitions(text, n, pattern).alias("defs"), meaningful_sentences(text, n * 3).alias("sents"),
+            definitions(text, n, pattern).alias("defs"), meaningful_sentences(text, None).alias("sents"),
             study_headings(text, n).alias("heads"),
         ),
         build,
@@ -246,13 +252,13 @@ def build_quiz(facts: Column, text: Column, drafts: Column, n: int, document: Co
 # ---- cards ---------------------------------------------------------------------------------------
 
 
-def card(front: Column, back: Column, difficulty: str) -> Column:
-    return F.struct(front.alias("front"), F.substring(back, 1, CARD_CHARS).alias("back"), F.lit(difficulty).alias("difficulty"))
+def card(front: Column, back: Column, difficulty: str, chars: int | None = None) -> Column:
+    return F.struct(front.alias("front"), shorten(back, chars).alias("back"), F.lit(difficulty).alias("difficulty"))
 
 
-def cards_from_facts(h: Column, n: int) -> Column:
+def cards_from_facts(h: Column, n: int, chars: int | None = None) -> Column:
     def fixed(field: Column, front: str, difficulty: str, back: Column | None = None) -> Column:
-        return _maybe(field.isNotNull(), card(F.lit(front), back if back is not None else field, difficulty))
+        return _maybe(field.isNotNull(), card(F.lit(front), back if back is not None else field, difficulty, chars))
 
     return F.slice(
         F.concat(
@@ -261,10 +267,10 @@ def cards_from_facts(h: Column, n: int) -> Column:
             fixed(h["metric"], "Which evaluation metric is used?", "easy"),
             fixed(h["accuracy"], "What performance result is reported?", "medium", F.concat(plain_number(h["accuracy"]), F.lit("%"))),
             fixed(h["problem"], "What problem does the document address?", "hard"),
-            F.transform(h["contributions"], lambda c: card(F.lit("What is one contribution of this work?"), c, "hard")),
+            F.transform(h["contributions"], lambda c: card(F.lit("What is one contribution of this work?"), c, "hard", chars)),
             F.transform(
                 h["key_points"],
-                lambda p: card(F.concat(F.lit('What is important about "'), p["label"], F.lit('"?')), p["value"], "medium"),
+                lambda p: card(F.concat(F.lit('What is important about "'), p["label"], F.lit('"?')), p["value"], "medium", chars),
             ),
         ),
         1,
@@ -272,17 +278,17 @@ def cards_from_facts(h: Column, n: int) -> Column:
     )
 
 
-def cards_from_text(text: Column, n: int, pattern: str = DEFINED) -> Column:
+def cards_from_text(text: Column, n: int, pattern: str = DEFINED, chars: int | None = None) -> Column:
     def build(x: Column) -> Column:
         paired = F.slice(x["heads"], 1, F.size(x["sents"]))
         return F.slice(
             F.concat(
-                F.transform(x["defs"], lambda d: card(F.concat(F.lit("What is "), d["term"], F.lit("?")), d["definition"], "easy")),
+                F.transform(x["defs"], lambda d: card(F.concat(F.lit("What is "), d["term"], F.lit("?")), d["definition"], "easy", chars)),
                 F.transform(
                     paired,
-                    lambda hd, i: card(F.concat(F.lit('What is a key point from "'), hd, F.lit('"?')), F.get(x["sents"], i), "medium"),
+                    lambda hd, i: card(F.concat(F.lit('What is a key point from "'), hd, F.lit('"?')), F.get(x["sents"], i), "medium", chars),
                 ),
-                F.transform(x["sents"], lambda s: card(F.lit("What important fact is explained in this document?"), s, "medium")),
+                F.transform(x["sents"], lambda s: card(F.lit("What important fact is explained in this document?"), s, "medium", chars)),
             ),
             1,
             n,
@@ -290,7 +296,7 @@ def cards_from_text(text: Column, n: int, pattern: str = DEFINED) -> Column:
 
     return let(
         F.struct(
-            definitions(text, n, pattern).alias("defs"), meaningful_sentences(text, n * 2).alias("sents"),
+            definitions(text, n, pattern).alias("defs"), meaningful_sentences(text, None).alias("sents"),
             study_headings(text, n).alias("heads"),
         ),
         build,
@@ -322,10 +328,10 @@ def bullets(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), i)), "\n")
 
 
-def blocks(*parts: Column, cap: int = SUMMARY_CHARS) -> Column:
-    """Non-empty parts with an empty line between them, cut at the cap."""
+def blocks(*parts: Column, cap: int | None = None) -> Column:
+    """Non-empty parts with an empty line between them, cut at the cap if there is one."""
     kept = F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != ""))
-    return T.strip(F.substring(F.array_join(kept, "\n\n"), 1, cap))
+    return T.strip(shorten(F.array_join(kept, "\n\n"), cap))
 
 
 def _titled(heading: str, body: Column) -> tuple[Column, Column]:
@@ -347,7 +353,7 @@ def fact_points(h: Column) -> Column:
     )
 
 
-def general_summary(h: Column, text: Column, title: Column, concepts: Column, terms: Column, quality: Column) -> Column:
+def general_summary(h: Column, text: Column, title: Column, concepts: Column, terms: Column, quality: Column, cap: int | None = None) -> Column:
     """Markdown summary struct; concepts are terms, terms are struct<term, definition>, quality may be null."""
     parts = F.split(text, r"(?<=[.!?])" + T.WS + r"+|\n{2,}")
     sentences = F.filter(F.transform(parts, T.squeeze_strip), lambda s: F.char_length(s).between(45, 420))
@@ -370,7 +376,7 @@ def general_summary(h: Column, text: Column, title: Column, concepts: Column, te
                     F.array_join(F.transform(terms, lambda t: F.concat(F.lit("- **"), t["term"], F.lit(":** "), t["definition"])), "\n"),
                 ),
                 *_titled("## Limitations", h["limitations"]), *_titled("## Future Work", h["future_work"]),
-                F.lit("## Key Takeaways"), bullets(F.slice(ss, 1, 5)),
+                F.lit("## Key Takeaways"), bullets(F.slice(ss, 1, 5)), cap=cap,
             )
             score = F.coalesce(
                 quality, F.least(F.lit(0.72), 0.35 + F.size(x["points"]) * 0.045 + F.size(x["concepts"]) * 0.02)
@@ -386,7 +392,7 @@ def general_summary(h: Column, text: Column, title: Column, concepts: Column, te
     return let(sentences, build)
 
 
-def symbolic_summary(h: Column, text: Column, title: Column, entities: Column, keywords: Column, pattern: str = DEFINED) -> Column:
+def symbolic_summary(h: Column, text: Column, title: Column, entities: Column, keywords: Column, pattern: str = DEFINED, cap: int | None = None) -> Column:
     """The shorter summary: overview, points, concepts, terms and takeaways."""
     parts = F.struct(
         meaningful_sentences(text, 8).alias("s"), definitions(text, 6, pattern).alias("d"), study_headings(text, 8).alias("h"),
@@ -412,7 +418,7 @@ def symbolic_summary(h: Column, text: Column, title: Column, entities: Column, k
                 section("## Main Concepts", F.transform(y["c"], lambda p: F.concat(F.lit("- "), p))),
                 section("## Key Terms", listed),
                 section("## Key Takeaways", F.transform(F.slice(x["s"], 1, 5), lambda p: F.concat(F.lit("- "), p))),
-                cap=SYMBOLIC_CHARS,
+                cap=cap,
             )
             evidence = (
                 sum(F.when(h[f].isNotNull() & (h[f] != ""), 1).otherwise(0) for f in ("problem", "method", "dataset"))
@@ -505,15 +511,15 @@ def answer(h: Column, sentences: Column, asked: Column) -> Column:
     return let(F.struct(direct.alias("direct"), contributions.alias("contrib"), found.alias("found")), choose)
 
 
-def chat_context(facts: Column, evidence: Column, text: Column, history: Column, asked: Column) -> Column:
-    """Prompt text: facts, evidence or an opening excerpt, the last six turns, the question."""
+def chat_context(facts: Column, evidence: Column, text: Column, history: Column, asked: Column, opening: int | None = None) -> Column:
+    """Prompt text: facts, evidence or else the text (or its opening), the last six turns, the question."""
     turns = F.array_join(
         F.transform(F.slice(history, F.greatest(F.size(history) - 5, F.lit(1)), 6), lambda t: F.concat(F.lit("Q: "), t["question"], F.lit("\nA: "), t["answer"])), "\n"
     )
-    source = F.when(F.size(evidence) > 0, bullets(evidence)).otherwise(F.substring(text, 1, DRAFT_LIMITS["chat"]))
+    source = F.when(F.size(evidence) > 0, bullets(evidence)).otherwise(shorten(text, opening))
     return blocks(
         F.concat(F.lit("FACTS\n"), F.array_join(facts, "\n")), F.concat(F.lit("EVIDENCE\n"), source),
-        F.when(turns != "", F.concat(F.lit("HISTORY\n"), turns)), F.concat(F.lit("QUESTION\n"), asked), cap=10**6,
+        F.when(turns != "", F.concat(F.lit("HISTORY\n"), turns)), F.concat(F.lit("QUESTION\n"), asked),
     )
 
 
@@ -527,11 +533,14 @@ def chat_readiness(confidence: Column, text: Column, has_core: Column) -> Column
 
 
 def draft_requests(docs: DataFrame, kind: str, head: Column, text: str = "text") -> DataFrame:
-    """Request rows for an outside text generator; the source is cut at the kind's limit and flagged."""
+    """Request rows for an outside text generator: one per stretch of the kind's limit, so that nothing is left out."""
     limit = DRAFT_LIMITS[kind]
-    return docs.select(
-        "doc_id", F.lit(kind).alias("kind"), (F.char_length(text) > limit).alias("truncated"),
-        F.concat(head, F.lit("\nDOCUMENT:\n"), F.substring(text, 1, limit)).alias("request"),
+    source = F.coalesce(F.col(text), F.lit(""))
+    parts = F.greatest(F.lit(1), F.ceil(F.char_length(source) / limit)).cast("int")
+    rows = docs.select("doc_id", source.alias("_source"), parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return rows.select(
+        "doc_id", F.lit(kind).alias("kind"), "part", "parts",
+        F.concat(head, F.lit("\nDOCUMENT:\n"), F.col("_source").substr(F.col("part") * limit + 1, F.lit(limit))).alias("request"),
     )
 
 

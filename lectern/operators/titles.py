@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -22,26 +23,26 @@ GENERIC_WORDS = ("case", "study", "series", "document", "paper", "report", "chap
 def collapse_phrases(titles: pd.Series) -> pd.Series:
     """Drop word runs that repeat back to back, longest first, until nothing repeats.
 
-    Runs on a handful of short candidates per document.
+    A run of ``size`` words repeats where that many words in a row equal the word ``size`` further on.
     """
 
+    def repeated(numbers: np.ndarray) -> tuple[int, int] | None:
+        for size in range(len(numbers) // 2, 0, -1):
+            differ = np.flatnonzero(numbers[:-size] != numbers[size:])
+            gaps = np.diff(np.concatenate(([-1], differ, [len(numbers) - size]))) - 1
+            long = np.flatnonzero(gaps >= size)
+            if len(long):
+                return (int(differ[long[0] - 1]) + 1 if long[0] else 0), size
+        return None
+
     def collapse(title: str) -> str:
         words = (title or "").split()
-        while True:
-            low = [w.lower() for w in words]
-            hit = next(
-                (
-                    (at, size)
-                    for size in range(len(words) // 2, 0, -1)
-                    for at in range(len(words) - 2 * size + 1)
-                    if low[at : at + size] == low[at + size : at + 2 * size]
-                ),
-                None,
-            )
-            if hit is None:
-                return " ".join(words)
+        numbers = pd.factorize(np.array([w.lower() for w in words], object))[0]
+        while (hit := repeated(numbers)) is not None:
             at, size = hit
             del words[at + size : at + 2 * size]
+            numbers = np.delete(numbers, slice(at + size, at + 2 * size))
+        return " ".join(words)
 
     return titles.map(lambda ts: [collapse(t) for t in ts] if ts is not None else None)
 

@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 PROVIDERS = ("provider_a", "provider_b")
 
 
+def newest(events: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` events: a top-n, merged from per-task heaps."""
+    return events.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+
+
 def half_up(value: Column) -> Column:
     return F.floor(value + 0.5).cast("bigint")
 

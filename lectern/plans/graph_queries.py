@@ -176,7 +176,7 @@ def terms(spark, sf):
     """Part names: as written, as ids, with one letter lost, or with two letters swapped for others."""
     k, name = F.col("p_partkey"), F.col("p_name")
     at = (k % F.char_length(name)).cast("int")
-    lost = F.concat(F.replace(name, F.lit(" "), F.lit("_")).substr(F.lit(1), at), F.replace(name, F.lit(" "), F.lit("_")).substr(at + 2, F.lit(100)))
+    lost = F.concat(F.replace(name, F.lit(" "), F.lit("_")).substr(F.lit(1), at), F.replace(name, F.lit(" "), F.lit("_")).substr(at + 2, F.char_length(name)))
     term = F.when(k % 4 == 0, F.upper(name)).when(k % 4 == 1, F.replace(name, F.lit(" "), F.lit("_"))).when(k % 4 == 2, lost).otherwise(F.concat(lost, F.lit("zq")))
     return S.table(spark, sf, "part").select(k.alias("doc_id"), term.alias("term"))
 

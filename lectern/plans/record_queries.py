@@ -364,13 +364,13 @@ def _blank(expr):
 @query(
     "note_rules",
     f"""WITH {S.NOTES_SQL} SELECT id, concat_ws('|',
-  CASE WHEN {_blank("substr(content, 1, 210)")} OR length({Q.strip("substr(content, 1, 210)")}) > 200 THEN 'title' END,
+  CASE WHEN {_blank("content")} OR length({Q.strip("content")}) > 200 THEN 'title' END,
   CASE WHEN {_blank("content")} OR length(content) > 500000 THEN 'content' END,
   CASE WHEN {_blank("content")} OR length(content) > 30000 THEN 'summary' END) AS errors FROM notes""",
 )
 def note_rules(spark, sf):
-    """The text itself doubles as summary and its opening as title, so limits are hit."""
-    notes = S.notes(spark, sf).withColumn("title", F.substring("content", 1, 210)).withColumn("summary", F.col("content"))
+    """The text itself doubles as title and summary, so limits are hit."""
+    notes = S.notes(spark, sf).withColumn("title", F.col("content")).withColumn("summary", F.col("content"))
     return notes.select("id", joined(rules.note_errors()).alias("errors"))
 
 
@@ -439,6 +439,19 @@ _RESULTS = """results AS (SELECT d.doc_id AS note_id, CASE WHEN l.doc_id IS NULL
  FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
+# Results exist for labelled documents only; the others have none.
+_LABELLED = """labelled AS (SELECT l.doc_id AS note_id, CASE WHEN l.quality = 1 THEN 'complete' ELSE 'nlp' END AS stage,
+  CASE WHEN l.toxic = 1 THEN 'failed' END AS error, CASE WHEN l.quality = 1 THEN CAST(0.9 AS DOUBLE) END AS confidence FROM labels l)"""
+
+
+def labelled_results(spark, sf):
+    """Labels as stored results: good ones are complete, toxic ones failed."""
+    return S.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("note_id"), F.when(F.col("quality") == 1, "complete").otherwise("nlp").alias("stage"),
+        F.when(F.col("toxic") == 1, "failed").alias("error"), F.when(F.col("quality") == 1, F.lit(0.9)).alias("confidence"),
+    )
+
+
 def stored_results(spark, sf):
     """Document and label columns as stored analysis results with varied states."""
     d = S.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -517,13 +530,13 @@ def repair_gate(spark, sf):
 
 @query(
     "view_status",
-    f"""WITH {_RESULTS} SELECT d.doc_id AS note_id, CASE WHEN r.stage IS NULL THEN 'not_generated' WHEN r.stage = 'complete' THEN 'ready'
+    f"""WITH {_LABELLED} SELECT d.doc_id AS note_id, CASE WHEN r.stage IS NULL THEN 'not_generated' WHEN r.stage = 'complete' THEN 'ready'
   WHEN r.error IS NOT NULL THEN 'failed' ELSE 'partial' END AS status
-FROM documents d LEFT JOIN (SELECT * FROM results WHERE note_id % 10 <> 3) r ON r.note_id = d.doc_id""",
+FROM documents d LEFT JOIN labelled r ON r.note_id = d.doc_id""",
 )
 def view_status(spark, sf):
-    """Results exist for all but every tenth document, which reads as not generated."""
-    known = stored_results(spark, sf).filter(F.col("note_id") % 10 != 3)
+    """Documents without a label have no result and read as not generated."""
+    known = labelled_results(spark, sf)
     ids = S.table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"))
     return ids.join(known, "note_id", "left").select(
         "note_id", rules.view_status(F.col("stage"), F.col("error")).alias("status")
@@ -667,23 +680,20 @@ def answer_scoring(spark, sf):
 
 @query(
     "status_join",
-    f"""WITH {_RESULTS}, {S.NOTES_SQL} SELECT n.id AS note_id, r.note_id IS NOT NULL AS exists_result, r.stage,
-  CASE WHEN r.note_id IS NULL THEN coalesce(l.quality = 1 AND l.toxic <> 1, false) ELSE r.stage = 'complete' AND r.error IS NULL END AS is_complete,
-  CASE WHEN r.note_id IS NULL THEN coalesce(l.toxic = 1, false) ELSE r.error IS NOT NULL END AS has_failed, r.confidence
-FROM notes n LEFT JOIN (SELECT * FROM results WHERE note_id % 10 <> 3) r ON r.note_id = n.id
-  LEFT JOIN labels l ON l.doc_id = n.id""",
+    f"""WITH {_LABELLED}, {S.NOTES_SQL}, p AS (SELECT conv_id, count(*) % 3 AS k FROM conversations GROUP BY 1)
+SELECT n.id AS note_id, r.note_id IS NOT NULL AS exists_result, r.stage,
+  CASE WHEN r.note_id IS NULL THEN coalesce(p.k = 0, false) ELSE r.stage = 'complete' AND r.error IS NULL END AS is_complete,
+  CASE WHEN r.note_id IS NULL THEN coalesce(p.k = 1, false) ELSE r.error IS NOT NULL END AS has_failed, r.confidence
+FROM notes n LEFT JOIN labelled r ON r.note_id = n.id LEFT JOIN p ON p.conv_id = n.id""",
 )
 def status_join(spark, sf):
     """Stored result with live progress; progress alone where no result exists."""
     from lectern.operators.progress import status_join as combine
 
     notes = S.notes(spark, sf).select("id")
-    results = stored_results(spark, sf).filter(F.col("note_id") % 10 != 3)
-    progress = S.table(spark, sf, "labels").select(
-        F.col("doc_id").alias("note_id"),
-        F.when(F.col("quality") == 1, "complete").when(F.col("toxic") == 1, "failed").otherwise("running").alias("state"),
-        (F.col("toxic") == 1).alias("failed_flag"),
-    ).withColumn("state", F.when(F.col("failed_flag"), "failed").otherwise(F.col("state"))).drop("failed_flag")
+    results = labelled_results(spark, sf)
+    turns = S.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("note_id")).agg((F.count("*") % 3).alias("k"))
+    progress = turns.select("note_id", F.when(F.col("k") == 0, "complete").when(F.col("k") == 1, "failed").otherwise("running").alias("state"))
     return combine(notes, results, progress).select(
         "note_id", "exists_result", "stage", "is_complete", "has_failed", "confidence"
     )

@@ -10,6 +10,7 @@ from lectern.operators import scores as P
 from lectern.operators import titles as X
 from lectern.plans.registry import query
 from lectern.plans.section_queries import sectioned
+from lectern.plans.text_queries import document_lines
 from lectern.sources import tables as S
 
 _R6 = lambda c: F.round(c + 1e-9, 6)
@@ -125,8 +126,9 @@ def stage_metrics(spark, sf):
 
 @query("collapse_title_phrases")
 def collapse_title_phrases(spark, sf):
-    doubled = F.concat_ws(" ", F.substring("text", 1, 40), F.substring("text", 1, 40))
-    return S.documents(spark, sf).select("doc_id", F.get(X.collapse_phrases(F.array(doubled)), F.lit(0)).alias("title"))
+    """Every line, written twice, as a title."""
+    doubled = F.concat_ws(" ", "line", "line")
+    return document_lines(spark, sf).select("doc_id", "line_no", F.get(X.collapse_phrases(F.array(doubled)), F.lit(0)).alias("title"))
 
 
 @query("take_while")

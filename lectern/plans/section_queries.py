@@ -72,7 +72,7 @@ cand AS (SELECT doc_id, line_no, text, line, CAST(start AS INTEGER) AS start, CA
    CASE WHEN is_num THEN {Q.strip('rest')} ELSE t END AS heading, CASE WHEN is_num THEN num END AS num FROM shaped
   WHERE t <> '' AND length(t) <= {H.HEADING_MAX} AND (is_num OR regexp_matches(t, '{H.KNOWN_HEADING}') OR {_UPPER} OR {_TITLE})),
 heads AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_start FROM cand
-  WHERE len(regexp_split_to_array(heading, '{Q.WS}+')) <= 12 AND (length({Q.strip('substr(text, body + 1, 200)')}) > 0 OR lower(heading) = 'references'))"""
+  WHERE len(regexp_split_to_array(heading, '{Q.WS}+')) <= 12 AND (length({Q.strip('substr(text, body + 1)')}) > 0 OR lower(heading) = 'references'))"""
 
 
 def sectioned(spark, sf):

@@ -44,7 +44,7 @@ def extract_headings(spark, sf):
     return S.documents(spark, sf).select("doc_id", F.posexplode(U.study_headings(numbered)).alias("pos", "heading"))
 
 
-_DEFS = f"""{_pieces()}, df AS (SELECT doc_id, n, trim(regexp_extract(s, '{DEFINED}', 1), ' ') AS term, trim(regexp_extract(s, '{DEFINED}', 2), ' ') AS definition FROM ms WHERE n <= 80 AND regexp_matches(s, '{DEFINED}')),
+_DEFS = f"""{_pieces()}, df AS (SELECT doc_id, n, trim(regexp_extract(s, '{DEFINED}', 1), ' ') AS term, trim(regexp_extract(s, '{DEFINED}', 2), ' ') AS definition FROM ms WHERE regexp_matches(s, '{DEFINED}')),
 dk AS (SELECT doc_id, arg_min(term, n) AS term, arg_min(definition, n) AS definition, min(n) AS n FROM df GROUP BY doc_id, lower(term)),
 dd AS (SELECT doc_id, term, definition, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS pos FROM dk)"""
 
@@ -56,8 +56,8 @@ def extract_definitions(spark, sf):
 
 @query(
     "questions_from_text",
-    f"""WITH {_DEFS}, q AS (SELECT doc_id, 1 AS g, pos AS o, 'What is ' || term || '?' AS question, 'short_answer' AS kind, substr(definition, 1, 300) AS answer FROM dd WHERE pos <= 10
- UNION ALL SELECT doc_id, 2, n, 'True or false: ' || s, 'true_false', 'True' FROM ms WHERE n <= 30), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, o) AS n FROM q)
+    f"""WITH {_DEFS}, q AS (SELECT doc_id, 1 AS g, pos AS o, 'What is ' || term || '?' AS question, 'short_answer' AS kind, definition AS answer FROM dd WHERE pos <= 10
+ UNION ALL SELECT doc_id, 2, n, 'True or false: ' || s, 'true_false', 'True' FROM ms), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, o) AS n FROM q)
 SELECT doc_id, question, kind, answer FROM r WHERE n <= 10""",
 )
 def questions_from_text(spark, sf):
@@ -67,8 +67,8 @@ def questions_from_text(spark, sf):
 
 @query(
     "cards_from_text",
-    f"""WITH {_DEFS}, q AS (SELECT doc_id, 1 AS g, pos AS o, 'What is ' || term || '?' AS front, substr(definition, 1, 350) AS back, 'easy' AS difficulty FROM dd WHERE pos <= 8
- UNION ALL SELECT doc_id, 2, n, 'What important fact is explained in this document?', substr(s, 1, 350), 'medium' FROM ms WHERE n <= 16), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, o) AS n FROM q)
+    f"""WITH {_DEFS}, q AS (SELECT doc_id, 1 AS g, pos AS o, 'What is ' || term || '?' AS front, definition AS back, 'easy' AS difficulty FROM dd WHERE pos <= 8
+ UNION ALL SELECT doc_id, 2, n, 'What important fact is explained in this document?', s, 'medium' FROM ms), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, o) AS n FROM q)
 SELECT doc_id, front, back, difficulty FROM r WHERE n <= 8""",
 )
 def cards_from_text(spark, sf):
@@ -79,7 +79,7 @@ def headline(method="source", dataset="lang"):
     """Facts struct from document columns: the source as method, the language as data set."""
     return F.struct(
         F.when(F.col("doc_id") % 2 == 0, F.col(method)).alias("method"), F.when(F.col("doc_id") % 3 != 0, F.col(dataset)).alias("dataset"),
-        F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 400)).alias("problem"),
+        F.when(F.col("doc_id") % 5 == 0, F.col("text")).alias("problem"),
         F.when(F.col("doc_id") % 4 == 0, (F.col("n_chars") % 1000) / 10).alias("accuracy"), F.lit(None).cast("string").alias("metric"),
         F.lit(None).cast("string").alias("limitations"), F.lit(None).cast("string").alias("future_work"),
         F.when(F.col("doc_id") % 6 == 0, F.array(F.col("source"), F.col("lang"))).otherwise(F.array().cast("array<string>")).alias("contributions"),
@@ -94,7 +94,7 @@ _NUM = "regexp_replace(CAST(CAST((n_chars % 1000) / 10.0 AS DOUBLE) AS VARCHAR),
     "questions_from_facts",
     f"""WITH q AS (SELECT doc_id, 1 AS o, 'Which method does this document propose or evaluate?' AS question, source AS answer FROM documents WHERE doc_id % 2 = 0
 UNION ALL SELECT doc_id, 2, 'True or false: the document uses the ' || lang || ' dataset.', 'True' FROM documents WHERE doc_id % 3 <> 0
-UNION ALL SELECT doc_id, 3, 'What main problem does this document address?', substr(text, 1, 300) FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 3, 'What main problem does this document address?', text FROM documents WHERE doc_id % 5 = 0
 UNION ALL SELECT doc_id, 4, 'What performance result is reported?', {_NUM} || '%' FROM documents WHERE doc_id % 4 = 0
 UNION ALL SELECT doc_id, 5, 'What is stated about "Origin"?', source FROM documents
 UNION ALL SELECT doc_id, 6, 'Name one contribution of this work.', source FROM documents WHERE doc_id % 6 = 0
@@ -112,7 +112,7 @@ def questions_from_facts(spark, sf):
     f"""WITH q AS (SELECT doc_id, 1 AS o, 'What is the main method proposed or evaluated?' AS front, source AS back, 'medium' AS difficulty FROM documents WHERE doc_id % 2 = 0
 UNION ALL SELECT doc_id, 2, 'Which dataset is used?', lang, 'easy' FROM documents WHERE doc_id % 3 <> 0
 UNION ALL SELECT doc_id, 4, 'What performance result is reported?', {_NUM} || '%', 'medium' FROM documents WHERE doc_id % 4 = 0
-UNION ALL SELECT doc_id, 5, 'What problem does the document address?', substr(text, 1, 350), 'hard' FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 5, 'What problem does the document address?', text, 'hard' FROM documents WHERE doc_id % 5 = 0
 UNION ALL SELECT doc_id, 6, 'What is one contribution of this work?', source, 'hard' FROM documents WHERE doc_id % 6 = 0
 UNION ALL SELECT doc_id, 7, 'What is one contribution of this work?', lang, 'hard' FROM documents WHERE doc_id % 6 = 0
 UNION ALL SELECT doc_id, 8, 'What is important about "Origin"?', source, 'medium' FROM documents),
@@ -219,7 +219,7 @@ def answer_question(spark, sf):
     asked = S.chat_turns(spark, sf)
     docs = S.table(spark, sf, "documents").withColumn("note_id", F.col("doc_id"))
     joined = asked.join(docs, "note_id").select(
-        "note_id", "turn", U.answer(headline(), U.meaningful_sentences(F.col("text"), 120), F.col("question")).alias("a")
+        "note_id", "turn", U.answer(headline(), U.meaningful_sentences(F.col("text"), None), F.col("question")).alias("a")
     )
     return joined.select("note_id", "turn", "a.text", "a.confidence", "a.route")
 
@@ -247,7 +247,8 @@ def chat_readiness(spark, sf):
     return j.select("doc_id", U.chat_readiness(F.col("c"), F.col("text"), F.col("c").isNotNull()).alias("r")).select("doc_id", "r.*")
 
 
-@query("draft_requests", "SELECT doc_id, 'cards' AS kind, length(text) > 8000 AS truncated, 'Make cards' || chr(10) || 'DOCUMENT:' || chr(10) || substr(text, 1, 8000) AS request FROM documents")
+@query("draft_requests", """WITH p AS (SELECT doc_id, text, CAST(greatest(1, ceil(length(text) / 8000.0)) AS INTEGER) AS parts FROM documents)
+SELECT doc_id, 'cards' AS kind, CAST(part AS INTEGER) AS part, parts, 'Make cards' || chr(10) || 'DOCUMENT:' || chr(10) || substr(text, part * 8000 + 1, 8000) AS request FROM p, unnest(range(0, parts)) AS r(part)""")
 def draft_requests(spark, sf):
     return U.draft_requests(S.table(spark, sf, "documents"), "cards", F.lit("Make cards"))
 
@@ -331,11 +332,7 @@ def validated_key_terms(spark, sf):
 
 
 def claim_drafts(spark, sf):
-    """Benchmark passages as draft claims for the documents of their remainder class.
-
-    Each document drafts the passage (doc_id mod the number of passages); planted
-    passages are found in their documents, the rest are rejected.
-    """
+    """Benchmark passages as draft claims, by number of the passage."""
     bench = S.table(spark, sf, "benchmark")
     flat = F.regexp_replace(F.regexp_replace("text", r'["\\]', ""), T.WS + "+", " ")
     payload = F.concat(F.lit('```json\n{"claims":[{"type":"method","object":"passage '), F.col("item_id").cast("string"), F.lit('","evidenceText":"'), flat, F.lit('","confidence":0.95}]}\n```'))
@@ -344,15 +341,15 @@ def claim_drafts(spark, sf):
 
 def drafts_per_document(spark, sf):
     items = claim_drafts(spark, sf)
-    labels = S.table(spark, sf, "labels").select("doc_id")
-    # Labelled documents ask for the passage with their own number.
-    n = items.count()
-    return labels.withColumn("item_id", F.col("doc_id") % n).join(items, "item_id").select("doc_id", "payload")
+    docs = S.table(spark, sf, "documents").select("doc_id")
+    # A document drafts the passage of its own number, counted round; planted passages are found, the rest rejected.
+    numbers = F.broadcast(S.table(spark, sf, "benchmark").agg((F.max("item_id") + 1).alias("n")))
+    return docs.crossJoin(numbers).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id")).join(items, "item_id").select("doc_id", "payload")
 
 
 @query(
     "claim_grounding_join",
-    f"""WITH n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT l.doc_id, b.item_id, {Q.squeeze("regexp_replace(b.text, '[\"\\\\]', '', 'g')")} AS ev FROM labels l, n JOIN benchmark b ON b.item_id = l.doc_id % n),
+    f"""WITH n AS (SELECT max(item_id) + 1 AS n FROM benchmark), d AS (SELECT l.doc_id, b.item_id, {Q.squeeze("regexp_replace(b.text, '[\"\\\\]', '', 'g')")} AS ev FROM documents l, n JOIN benchmark b ON b.item_id = l.doc_id % n),
 s AS (SELECT d.*, trim({Q.squeeze('lower(x.text)')}, ' ') AS src, trim({Q.squeeze('lower(ev)')}, ' ') AS e FROM d JOIN documents x USING (doc_id))
 SELECT doc_id, 'passage ' || item_id AS object, CASE WHEN contains(src, e) THEN CAST(instr(src, e) - 1 AS INTEGER) END AS start, CAST(0.9 AS DOUBLE) AS confidence, CASE WHEN contains(src, e) THEN NULL ELSE 'not_in_source' END AS rejected FROM s""",
 )
@@ -402,18 +399,24 @@ def copy_ratio(spark, sf):
 
 @query("draft_validate")
 def draft_validate(spark, sf):
-    """Drafts whose overview is the document's own opening; every third is foreign."""
+    """Drafts made of the document's own sentences; every third is foreign."""
     return _drafted(spark, sf).select("doc_id", F.col("v").isNotNull().alias("accepted"), F.size("v.key_points").alias("points"))
 
 
 def _drafted(spark, sf):
-    own = F.regexp_replace(F.substring("text", 1, 200), r'["\\\n\t\r]', " ")
-    overview = F.when(F.col("doc_id") % 3 == 0, F.lit("Completely foreign wording " * 6)).otherwise(own)
-    payload = F.concat(
-        F.lit('{"overview":"'), overview, F.lit('","keyPoints":["'), F.substring(own, 1, 60), F.lit('","'), F.substring(own, 61, 60),
-        F.lit('"],"importantConcepts":["first idea","second idea"],"keyTerms":[],"unresolvedAssumptions":[]}'),
+    # Overview: the first, middle and last sentence; key points: all sentences.
+    n = F.size("own")
+    picks = F.array_distinct(F.array(F.lit(0), F.floor(n / 2).cast("int"), n - 1))
+    spread = F.array_join(F.transform(F.filter(picks, lambda k: k >= 0), lambda k: F.get("own", k)), " ")
+    overview = F.when(F.col("doc_id") % 3 == 0, F.lit("Completely foreign wording " * 6)).otherwise(spread)
+    payload = F.to_json(
+        F.struct(
+            overview.alias("overview"), F.col("own").alias("keyPoints"), F.array(F.lit("first idea"), F.lit("second idea")).alias("importantConcepts"),
+            F.array().cast("array<struct<term:string,definition:string>>").alias("keyTerms"), F.array().cast("array<string>").alias("unresolvedAssumptions"),
+        )
     )
-    docs = S.documents(spark, sf).select("doc_id", "text", "source", "lang", "n_chars", D.parse_summary(payload).alias("d"))
+    docs = S.documents(spark, sf).withColumn("own", U.meaningful_sentences(F.col("text"), None))
+    docs = docs.select("doc_id", "text", "source", "lang", "n_chars", D.parse_summary(payload).alias("d"))
     return docs.withColumn("v", G.validate_draft(F.col("d"), F.col("text")))
 
 

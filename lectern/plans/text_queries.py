@@ -150,7 +150,7 @@ def tag_pos(spark, sf):
 _SLUG = "regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query("slugify", f"WITH {Q.LINES} SELECT doc_id, line_no, substr({_SLUG}, 1, 72) AS slug FROM lines")
+@query("slugify", f"WITH {Q.LINES} SELECT doc_id, line_no, {_SLUG} AS slug FROM lines")
 def slugify(spark, sf):
     return document_lines(spark, sf).select("doc_id", "line_no", T.slugify(F.col("line")).alias("slug"))
 

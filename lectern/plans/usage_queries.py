@@ -187,5 +187,5 @@ def parse_number(spark, sf):
     f"WITH {S.USAGE_SQL} SELECT id, provider, usage_label FROM usage ORDER BY created_at DESC, id DESC LIMIT 5000",
 )
 def usage_ring(spark, sf):
-    """Newest 5,000 usage events: a top-n, merged from per-task heaps."""
-    return S.usage_events(spark, sf).orderBy(F.desc("created_at"), F.desc("id")).limit(5000).select("id", "provider", "usage_label")
+    """Newest 5,000 usage events."""
+    return usage.newest(S.usage_events(spark, sf), 5000).select("id", "provider", "usage_label")

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -226,3 +228,18 @@ def test_graph_does_not_depend_on_row_order(spark):
     method = nodes.filter("type = 'method'").first()
     assert method["props"] == {"value": "12.0", "metric": "m0"}
     assert edges.filter("dst like 'method:%' and src like 'paper:%'").first()["weight"] == 0.1
+
+
+def test_long_texts_are_not_cut(spark):
+    docs = spark.createDataFrame([(1, "x" * 7999 + "yz" + "w" * 8000), (2, ""), (3, None)], "doc_id long, text string")
+    rows = study.draft_requests(docs, "cards", F.lit("H")).orderBy("doc_id", "part").collect()
+    bodies = [r["request"].removeprefix("H\nDOCUMENT:\n") for r in rows if r["doc_id"] == 1]
+    assert "".join(bodies) == "x" * 7999 + "yz" + "w" * 8000 and [r["parts"] for r in rows] == [3, 3, 3, 1, 1]
+    a, b = "word " * 40 + "a", "word " * 40 + "b"
+    slugs = [one(spark, T.slugify(F.lit(t), "_", 90)) for t in (a, b)]
+    assert slugs[0] != slugs[1] and slugs[0][:90] == slugs[1][:90] and one(spark, T.slugify(F.lit(a), "_")) == "word_" * 40 + "a"
+
+
+@pytest.mark.parametrize("title,wanted", [("a b a b c", "a b c"), ("x x x", "x"), ("A a b B", "A b"), ("one two one", "one two one"), ("", "")])
+def test_collapsed_titles(spark, title, wanted):
+    assert one(spark, titles.collapse_phrases(F.array(F.lit(title)))) == [wanted]
