@@ -313,9 +313,10 @@ def clean_documents(docs: DataFrame, references: str = REFERENCES) -> DataFrame:
         .withColumn(
             "_pages",
             F.zip_with(
-                F.col("_given"),
+                # Pages go by position: given numbers may repeat.
+                F.transform("_given", lambda g, i: F.struct(i.alias("place"), g["page_no"].alias("given_no"))),
                 F.split("_flat", PAGE_MARK),
-                lambda g, t: F.struct(g["page_no"].alias("page_no"), t.alias("raw_text")),
+                lambda g, t: F.struct(g["place"].alias("page_no"), t.alias("raw_text"), g["given_no"].alias("given_no")),
             ),
         )
         .withColumn("_lines", page_lines(F.col("_pages"), references))
@@ -332,7 +333,7 @@ def clean_documents(docs: DataFrame, references: str = REFERENCES) -> DataFrame:
                 F.transform(F.filter(lines, lambda l: l["kind"] == "analysis"), lambda l: l["text"]), "\n"
             )
             return F.struct(
-                p["page_no"].alias("page_no"),
+                p["given_no"].alias("page_no"),
                 reliable(normalise_layout(shown, False)).alias("display"),
                 reliable(normalise_layout(strip_citations(read), True)).alias("analysis"),
                 count_citations(read).alias("citations"),

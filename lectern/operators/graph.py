@@ -49,14 +49,13 @@ def degree_count(edges: DataFrame) -> DataFrame:
 
 
 def degree_centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Degree over the largest degree; a self-loop counts once."""
-    ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
-    degrees = ends.groupBy("node").agg(F.count("*").alias("_d"))
-    top = degrees.agg(F.max("_d").alias("_top"))
-    full = nodes.select(F.col("id").alias("node")).join(degrees, "node", "left")
-    # One row on the right: the corpus-wide maximum.
-    return full.crossJoin(F.broadcast(top)).select(
-        "node", (F.coalesce("_d", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("_top", F.lit(1)))).alias("centrality")
+    """Degree over the largest degree of the document's graph; a self-loop counts once. Both tables carry doc_id."""
+    ends = edges.select("doc_id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
+    degrees = ends.groupBy("doc_id", "node").agg(F.count("*").alias("_d"))
+    top = degrees.groupBy("doc_id").agg(F.max("_d").alias("_top"))
+    full = nodes.select("doc_id", F.col("id").alias("node")).join(degrees, ["doc_id", "node"], "left").join(top, "doc_id", "left")
+    return full.select(
+        "doc_id", "node", (F.coalesce("_d", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("_top", F.lit(1)))).alias("centrality")
     )
 
 

@@ -75,9 +75,20 @@ def degree_count(spark, sf):
     return G.degree_count(edges(spark, sf))
 
 
-@query("degree_centrality", f"WITH {_E}, d AS (SELECT node, count(*) AS d FROM b GROUP BY 1) SELECT n.id AS node, round(coalesce(d, 0) / CAST((SELECT max(d) FROM d) AS DOUBLE), 6) AS centrality FROM n LEFT JOIN d ON d.node = n.id")
+@query(
+    "degree_centrality",
+    """WITH e AS (SELECT l_orderkey AS doc_id, 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem),
+b AS (SELECT doc_id, src AS node FROM e UNION ALL SELECT doc_id, dst FROM e), d AS (SELECT doc_id, node, count(*) AS d FROM b GROUP BY 1, 2),
+t AS (SELECT doc_id, max(d) AS top FROM d GROUP BY 1), n AS (SELECT DISTINCT doc_id, node FROM b UNION ALL SELECT o_orderkey, 'order' FROM orders)
+SELECT doc_id, node, round(coalesce(d, 0) / CAST(coalesce(top, 1) AS DOUBLE), 6) AS centrality FROM n LEFT JOIN d USING (doc_id, node) LEFT JOIN t USING (doc_id)""",
+)
 def degree_centrality(spark, sf):
-    return G.degree_centrality(edges(spark, sf), nodes(spark, sf)).withColumn("centrality", F.round("centrality", 6))
+    """Every order's graph of suppliers and parts, with the order itself as a node without edges."""
+    li = S.table(spark, sf, "lineitem")
+    links = li.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("supplier:"), "l_suppkey").alias("src"), F.concat(F.lit("part:"), "l_partkey").alias("dst"))
+    ends = links.select("doc_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    alone = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("order").alias("id"))
+    return G.degree_centrality(links, ends.unionByName(alone)).withColumn("centrality", F.round("centrality", 6))
 
 
 _BFS = """WITH RECURSIVE {e}, w AS (SELECT 'region:1' AS node, 0 AS distance UNION ALL SELECT DISTINCT b.other, w.distance + 1 FROM w JOIN b ON b.node = w.node WHERE w.distance < {d})

@@ -73,9 +73,7 @@ def progress_fold(spark, sf):
 def progress_fold_stream(spark, sf):
     out, mark = flow.work_path(spark, "progress"), flow.work_path(spark, "progress-mark")
     P.fold_stream(stage_events(flow.file_stream(spark, sf, "events")), out, mark).start().awaitTermination()
-    stored = spark.read.parquet(out)
-    newest = stored.join(stored.agg(F.max("epoch").alias("epoch")), "epoch", "left_semi")
-    return P.snapshots(newest).select("note_id", "state", "current_stage", "progress", "error")
+    return P.snapshots(P.folded(spark, out)).select("note_id", "state", "current_stage", "progress", "error")
 
 
 @query("progress_ttl", f"WITH {_SNAP} SELECT note_id, state FROM snap WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
@@ -102,14 +100,11 @@ def usage_stream_agg(spark, sf):
 
 @query("idempotent_upload_flow")
 def idempotent_upload_flow(spark, sf):
-    """Sentences, key words and cards for every streamed document; a broken feature fails alone."""
-    def broken(batch):
-        return batch.select("doc_id", F.raise_error("not available").cast("int").alias("items"))
-
+    """Sentences, key words, cards and the first number of every streamed document; texts without a number fail that feature alone."""
     features = {
         "sentences": lambda b: b.select("doc_id", F.size(T.sentences(F.col("text"))).alias("items")),
         "keywords": lambda b: b.select("doc_id", F.size(nlp.study_keywords(F.col("text"))).alias("items")),
         "cards": lambda b: b.select("doc_id", F.size(study.cards_from_text(F.col("text"), 8)).alias("items")),
-        "broken": broken,
+        "number": lambda b: b.select("doc_id", F.regexp_substr("text", F.lit("[0-9]{1,9}")).try_cast("int").alias("items")),
     }
     return flow.upload_flow(flow.file_stream(spark, sf, "documents"), features)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -42,37 +43,44 @@ def usage_windows(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     )
 
 
-def current_windows(events: DataFrame) -> DataFrame:
-    """The usage table after all rows so far: one row per day and provider replaces the stored table each batch."""
+def current_windows(events: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """The usage table after all rows so far: each batch adds the windows it changed, and a window's last version counts.
+
+    Windows behind the watermark leave the state; rows that come later still are dropped.
+    """
     spark = events.sparkSession
     out, mark = work_path(spark, "usage"), work_path(spark, "usage-mark")
+    windows = usage_windows(events, lateness)
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    query = usage_windows(events).writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    query = windows.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", mark).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    versions = spark.read.schema(StructType([*windows.schema.fields, StructField("epoch", LongType())])).parquet(out)
+    values = [c for c in windows.columns if c not in ("window", "provider")]
+    last = versions.groupBy("window", "provider").agg(F.max_by(F.struct(*values), "epoch").alias("v"))
+    return last.select("window", "provider", "v.*")
 
 
 def upload_flow(uploads: DataFrame, features: dict[str, Callable[[DataFrame], DataFrame]], name: str = "uploads") -> DataFrame:
-    """New documents build every feature; one failing feature marks itself and leaves the others alone."""
+    """New documents build every feature; a document that fails a feature is marked there alone.
+
+    A feature gives (doc_id, items) and leaves ``items`` null for a document it cannot serve. An
+    error of the job itself is no verdict on any document: the batch stops and runs again.
+    """
     spark = uploads.sparkSession
     out, mark = work_path(spark, name), work_path(spark, f"{name}-mark")
 
     def build(batch: DataFrame, epoch: int) -> None:
         for feature, make in features.items():
-            target = f"{out}/{feature}/epoch={epoch}"
-            try:
-                made = make(batch)
-                made.select("doc_id", F.lit(feature).alias("feature"), "items", F.lit("ready").alias("status")).write.mode("overwrite").parquet(target)
-            except Exception:  # noqa: BLE001 - recorded as a failed feature
-                batch.select("doc_id", F.lit(feature).alias("feature"), F.lit(0).alias("items"), F.lit("failed").alias("status")).write.mode("overwrite").parquet(target)
+            failed = F.col("items").isNull()
+            made = make(batch).select(
+                "doc_id", F.lit(feature).alias("feature"), F.when(failed, 0).otherwise(F.col("items")).alias("items"),
+                F.when(failed, "failed").otherwise("ready").alias("status"),
+            )
+            made.write.mode("overwrite").parquet(f"{out}/feature_name={feature}/epoch={epoch}")
 
     query = uploads.writeStream.foreachBatch(build).option("checkpointLocation", mark).trigger(availableNow=True).start()
     query.awaitTermination()
-    parts = [spark.read.parquet(f"{out}/{feature}").select("doc_id", "feature", "items", "status") for feature in features]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return spark.read.parquet(out).select("doc_id", "feature", "items", "status")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The stages of an analysis in order.
 STAGES = (
@@ -42,20 +42,23 @@ def stage_funnel(events: DataFrame) -> DataFrame:
 
 
 def fold_stream(events: DataFrame, path: str, checkpoint: str):
-    """Keep the snapshot table under ``path`` current: each micro-batch folds into the stored one."""
-    from pyspark.errors import AnalysisException
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        target = f"{path}/epoch={epoch}"
-        fresh = batch
-        if epoch > 0:
-            try:
-                fresh = batch.sparkSession.read.parquet(f"{path}/epoch={epoch - 1}").unionByName(batch)
-            except AnalysisException:
-                pass
-        keep = fresh.groupBy("note_id").agg(
-            F.max_by(F.struct(*[c for c in fresh.columns if c != "note_id"]), F.struct("ts", "seq")).alias("e")
-        )
-        keep.select("note_id", "e.*").write.mode("overwrite").parquet(target)
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    """Each micro-batch writes the newest event per document that it has; ``folded`` reads them as one table.
+
+    A batch that runs again replaces its own folder, and no batch reads or rewrites another's.
+    """
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        newest(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def newest(events: DataFrame) -> DataFrame:
+    """The last event per document, with map-side combine."""
+    fields = [c for c in events.columns if c != "note_id"]
+    return events.groupBy("note_id").agg(F.max_by(F.struct(*fields), F.struct("ts", "seq")).alias("e")).select("note_id", "e.*")
+
+
+def folded(spark: SparkSession, path: str) -> DataFrame:
+    """The newest event per document over all batches so far."""
+    return newest(spark.read.parquet(path).drop("epoch"))

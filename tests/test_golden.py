@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import claims as C
 from lectern.operators import cleaning, concepts, finance, graph, grounding, nlp, ontology, sections, study, titles
-from lectern.streaming import rate_limit
+from lectern.streaming import flow, progress, rate_limit
 
 PAPER = """Estimating Residual Defects With Causal Models In Consumer Products
 
@@ -243,3 +243,39 @@ def test_long_texts_are_not_cut(spark):
 @pytest.mark.parametrize("title,wanted", [("a b a b c", "a b c"), ("x x x", "x"), ("A a b B", "A b"), ("one two one", "one two one"), ("", "")])
 def test_collapsed_titles(spark, title, wanted):
     assert one(spark, titles.collapse_phrases(F.array(F.lit(title)))) == [wanted]
+
+
+def test_pages_with_equal_numbers_keep_their_own_lines(spark):
+    page = "struct<page_no:int,raw_text:string>"
+    docs = spark.createDataFrame([(1, "", [(2, "first page text"), (None, "second page text")])], f"doc_id int, raw_text string, pages array<{page}>")
+    cleaned = cleaning.clean_documents(docs).first()
+    assert [(p["page_no"], p["display_text"]) for p in cleaned["source_pages"]] == [(2, "first page text"), (2, "second page text")]
+
+
+def test_streams_of_many_batches_equal_the_table(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(9), k, f"2024-01-{1 + k // 40:02d} 00:{k % 40:02d}:00", rng.choice(["a", "b"]), rng.randrange(9), rng.random() < 0.8) for k in range(200)]
+    rng.shuffle(rows)
+    names = "note_id long, seq long, ts string, provider string, tokens_used long, success boolean"
+    for k in range(5):
+        spark.createDataFrame(rows[k::5], names).withColumn("ts", F.to_timestamp("ts")).withColumn("created_at", F.col("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    table = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+
+    progress.fold_stream(stream, f"{tmp_path}/out", f"{tmp_path}/mark").start().awaitTermination()
+    assert len(list((tmp_path / "out").glob("epoch=*"))) == 5
+    latest = {}
+    for row in rows:
+        latest[row[0]] = max(latest.get(row[0], ("", -1)), (row[2], row[1]))
+    assert {r["note_id"]: r["seq"] for r in progress.folded(spark, f"{tmp_path}/out").collect()} == {k: v[1] for k, v in latest.items()}
+
+    late = flow.usage_windows(table, "90 days").collect()
+    assert sorted(map(tuple, flow.current_windows(stream, "90 days").collect())) == sorted(map(tuple, late))
+
+
+def test_a_document_that_fails_a_feature_fails_alone(spark, tmp_path):
+    spark.createDataFrame([(1, "7"), (2, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
+    features = {"number": lambda b: b.select("doc_id", F.col("text").try_cast("int").alias("items")), "size": lambda b: b.select("doc_id", F.length("text").alias("items"))}
+    got = sorted(map(tuple, flow.upload_flow(stream, features).collect()))
+    assert got == [(1, "number", 7, "ready"), (1, "size", 1, "ready"), (2, "number", 0, "failed"), (2, "size", 1, "ready")]
