@@ -25,7 +25,7 @@ from lectern.llm.shared import id_and_text, staged
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
 SHORT_TERMS = 32
 #: (parts that the lexicon is cut into, parts used), from the whole lexicon to a 1024th of it.
-SUBSETS = ((1, 1), (4, 4), (16, 6), (64, 6), (256, 6), (1024, 6))
+SUBSETS = ((1, 1), (4, 4), (16, 12), (64, 12), (256, 12), (1024, 12))
 #: Terms of a text in one part, beyond which nearly any edit would change its hash.
 PLACE_TERMS = 3
 
@@ -47,12 +47,12 @@ def _in_part(parts: int, part: int):
 
 
 def fingerprint(kept: Column) -> Column:
-    """One hash per randomised lexicon of a sorted array of term hashes; null where no term or too many are in it."""
+    """One 32-bit hash per randomised lexicon of a sorted array of term hashes; null where no term or too many are in it."""
     places = []
     for parts, used in SUBSETS:
         for part in range(used):
             own = kept if parts == 1 else F.filter(kept, _in_part(parts, part))
-            places.append(F.when(F.size(own).between(1, PLACE_TERMS), F.xxhash64(own)))
+            places.append(F.when(F.size(own).between(1, PLACE_TERMS), F.hash(own)))
     return F.array(*places)
 
 
