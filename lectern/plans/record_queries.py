@@ -8,6 +8,7 @@ from lectern.functions import text as T
 from lectern.operators import listings, rules
 from lectern.plans import sql as Q
 from lectern.plans.registry import query
+from lectern.plans.text_queries import _BAD, _VISIBLE, _ratio_sql
 from lectern.sources import collections as C, ingest, tables as S
 
 
@@ -543,7 +544,14 @@ def view_status(spark, sf):
     )
 
 
-@query("cached_summary_gate")
+@query(
+    "cached_summary_gate",
+    f"""WITH t AS (SELECT doc_id, {Q.strip("CASE WHEN doc_id % 2 = 0 THEN '## Overview' ELSE '## Notes' END || chr(10) || text")} AS text FROM documents)
+SELECT doc_id, length(text) >= 350 AND least(1.0, {_ratio_sql(_BAD, 'length(text)')}) <= 0.035
+  AND {_ratio_sql(Q.count_matches('text', chr(92) + 'p{Greek}'), _VISIBLE)} <= 0.12 AND NOT regexp_matches(text, '(?i)Case Study Series{Q.WS}+Case Study Series')
+  AND NOT regexp_matches(text, '(?im)^#?{Q.WS}*(?:untitled|case|study){Q.WS}*$')
+  AND regexp_matches(text, '(?i)##{Q.WS}+(?:Overview|Decision Problem|Key Points|Main Concepts)') AS reliable FROM t""",
+)
 def cached_summary_gate(spark, sf):
     """Each text served as a stored summary, half of them under a known heading."""
     summary = F.concat(F.when(F.col("doc_id") % 2 == 0, "## Overview\n").otherwise("## Notes\n"), F.col("text"))

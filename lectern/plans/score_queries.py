@@ -8,6 +8,7 @@ from lectern.functions import text as T
 from lectern.operators import finance as M
 from lectern.operators import scores as P
 from lectern.operators import titles as X
+from lectern.plans import sql as Q
 from lectern.plans.registry import query
 from lectern.plans.section_queries import sectioned
 from lectern.plans.text_queries import document_lines
@@ -196,7 +197,12 @@ def distinct_rent_check(spark, sf):
     return rents.withColumn("open", F.col("rents") > 1)
 
 
-@query("evidence_page_lookup")
+@query(
+    "evidence_page_lookup",
+    f"""WITH {Q.LINES}, n AS (SELECT doc_id, count(*) AS n, arg_max(line, line_no) AS last FROM lines GROUP BY 1)
+SELECT n.doc_id, CASE WHEN n > 1 THEN CAST(min(line_no) FILTER (contains(lower(line), lower(substr(last, 1, 45)))) + 1 AS INTEGER) END AS page
+FROM n JOIN lines USING (doc_id) GROUP BY n.doc_id, n, last""",
+)
 def evidence_page_lookup(spark, sf):
     """Page (line) of the start of each document's last line."""
     lines = F.split(T.unix_newlines(F.col("text")), "\n")

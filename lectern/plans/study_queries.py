@@ -224,7 +224,14 @@ def answer_question(spark, sf):
     return joined.select("note_id", "turn", "a.text", "a.confidence", "a.route")
 
 
-@query("chat_context")
+@query(
+    "chat_context",
+    f"""WITH {S.CHATS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY turn DESC) AS k FROM chats),
+h AS (SELECT note_id, string_agg('Q: ' || question || chr(10) || 'A: ' || answer, chr(10) ORDER BY turn) AS turns FROM r WHERE k <= 6 GROUP BY 1),
+p AS (SELECT note_id, concat_ws(chr(10) || chr(10), 'FACTS' || chr(10) || 'Method: ' || source, 'EVIDENCE' || chr(10) || text, 'HISTORY' || chr(10) || turns,
+ 'QUESTION' || chr(10) || 'What is it about?') AS prompt FROM h JOIN documents ON doc_id = note_id)
+SELECT note_id, {Q.strip('prompt')} AS prompt FROM p""",
+)
 def chat_context(spark, sf):
     turns = S.chat_turns(spark, sf)
     # A conversation's turns are bounded by the listing limit of ten.
@@ -390,10 +397,23 @@ def grounding_ratio(spark, sf):
     )
 
 
-@query("copy_ratio")
+_FOREIGN = "A sentence long enough to count among the tested ones which however cannot be found in any of the given documents at all."
+
+
+def _compare_form(expr):
+    bare = f"regexp_replace(lower({expr}), '[`*_>#\\-]', ' ', 'g')"
+    return f"trim({Q.squeeze(f"regexp_replace({bare}, '[^a-z0-9.%+]', ' ', 'g')")}, ' ')"
+
+
+@query(
+    "copy_ratio",
+    f"""WITH o AS (SELECT doc_id, {_compare_form('text')} AS src, string_split(regexp_replace('{_FOREIGN}' || chr(10) || text, '([.!?]){Q.WS}+|\\n+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+s AS (SELECT doc_id, src, {_compare_form('part')} AS s FROM (SELECT doc_id, src, unnest(parts) AS part FROM o))
+SELECT doc_id, round(count(*) FILTER (contains(src, s)) / CAST(count(*) AS DOUBLE), 6) AS ratio FROM s WHERE length(s) >= 100 GROUP BY 1""",
+)
 def copy_ratio(spark, sf):
     """Each text against itself with a foreign sentence added."""
-    out = F.concat(F.lit("A sentence long enough to count among the tested ones which however cannot be found in any of the given documents at all.\n"), F.col("text"))
+    out = F.concat(F.lit(_FOREIGN + "\n"), F.col("text"))
     return S.documents(spark, sf).select("doc_id", F.round(G.copy_ratio(out, F.col("text")), 6).alias("ratio"))
 
 
