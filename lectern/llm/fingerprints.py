@@ -3,9 +3,10 @@
 Terms are lower-cased runs of non-blank characters. The lexicon keeps terms whose share of
 documents lies in a band; every one of the randomised lexicons of ``SUBSETS`` keeps a random part of
 it. A text's distinct terms in such a part, sorted, hash to one place of its fingerprint. Parts
-range from the whole lexicon to a 1024th of it, and a place is filled where a text has 1 to
-``PLACE_TERMS`` terms, so short texts and very long ones all have places that a partial edit
-leaves alone.
+range from the whole lexicon to less than one of its terms, and a place is filled where a text has
+1 to ``PLACE_TERMS`` terms, so short texts and very long ones all have places that a partial edit
+leaves alone. A text that fills no place has the hash of all its terms of the lexicon in the first
+one or, if it has none there, the hash of all its terms.
 
 The lexicon is broadcast: at most (mean distinct terms of a text) / ``LEAST_SHARE`` terms can
 occur in that share of the texts, however many texts there are.
@@ -24,7 +25,7 @@ from lectern.llm.shared import id_and_text, staged
 
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
 SHORT_TERMS = 32
-#: (parts that the lexicon is cut into, parts used), from the whole lexicon to a 1024th of it.
+#: (parts that the lexicon is cut into, parts used); ``subsets`` goes on from the last one.
 SUBSETS = ((1, 1), (4, 4), (16, 12), (64, 12), (256, 12), (1024, 12))
 #: Terms of a text in one part, beyond which nearly any edit would change its hash.
 PLACE_TERMS = 3
@@ -42,22 +43,57 @@ def lexicon(texts: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHA
     return counted.where((F.col("count") >= least * n) & (F.col("count") <= most * n)).select("term")
 
 
+def subsets(terms: int) -> list[tuple[int, int]]:
+    """``SUBSETS`` and ever finer ones, until a text with all terms of the lexicon has about one in a part."""
+    out = list(SUBSETS)
+    while out[-1][0] < terms:
+        out.append((4 * out[-1][0], out[-1][1]))
+    return out
+
+
+def _part(parts: int, term: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(parts), term), F.lit(parts))
+
+
 def _in_part(parts: int, part: int):
-    return lambda term: F.pmod(F.xxhash64(F.lit(parts), term), F.lit(parts)) == part
+    return lambda term: _part(parts, term) == part
+
 
+def _level(kept: Column, parts: int, used: int) -> Column:
+    """The terms in the used parts of one level."""
+    return kept if parts == used else F.filter(kept, lambda term: _part(parts, term) < used)
 
-def fingerprint(kept: Column) -> Column:
-    """One 32-bit hash per randomised lexicon of a sorted array of term hashes; null where no term or too many are in it."""
-    places = []
-    for parts, used in SUBSETS:
-        for part in range(used):
-            own = kept if parts == 1 else F.filter(kept, _in_part(parts, part))
-            places.append(F.when(F.size(own).between(1, PLACE_TERMS), F.hash(own)))
-    return F.array(*places)
+
+def _places(level: Column, parts: int, used: int) -> list[Column]:
+    """One 32-bit hash per randomised lexicon of sorted term hashes; null where no term or too many are in it."""
+    own = [level if parts == 1 else F.filter(level, _in_part(parts, part)) for part in range(used)]
+    return [F.when(F.size(terms).between(1, PLACE_TERMS), F.hash(terms)) for terms in own]
+
+
+def with_fingerprints(grouped: DataFrame, sides: dict[str, tuple[str, str]], levels: list[tuple[int, int]]) -> DataFrame:
+    """Fingerprints by name, each from a sorted array of term hashes and the hash of all terms of the text.
+
+    The terms of a level are picked once, in a step of their own, and then dealt to its parts.
+    """
+    others = [c for c in grouped.columns if c not in {c for pair in sides.values() for c in pair}]
+    picked = [_level(F.col(kept), *level).alias(f"{name}_{level[0]}") for name, (kept, _) in sides.items() for level in levels]
+    rows = grouped.select(*grouped.columns, *picked)
+    made = []
+    for name in sides:
+        places = [_places(F.col(f"{name}_{level[0]}"), *level) for level in levels]
+        made.append(F.array(*[p for level in places for p in level]).alias(name))
+    rows = rows.select(*others, *[c for pair in sides.values() for c in pair], *made)
+    whole = [
+        F.when(F.exists(name, lambda p: p.isNotNull()), F.col(name))
+        .otherwise(F.concat(F.array(F.when(F.size(kept) > 0, F.hash(kept)).otherwise(F.col(all_terms))), F.slice(F.col(name), 2, sum(used for _, used in levels) - 1)))
+        .alias(name)
+        for name, (kept, all_terms) in sides.items()
+    ]
+    return rows.select(*others, *whole)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal places among those that either fingerprint fills; 1 if both are empty."""
+    """Share of equal places among those that either fingerprint fills; 1 if both are empty, as only texts without terms have them."""
     filled = F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: x["a"].isNotNull() | x["b"].isNotNull()))
     equal = F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: x["a"] == x["b"]))
     return F.when(filled == 0, 1.0).otherwise(equal / filled)
@@ -107,11 +143,16 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     places and edited_places (arrays of hashes).
     """
     texts = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    known = lexicon(texts, least, most)
+    known = staged(lexicon(texts, least, most), "lexicon")
+    levels = subsets(known.count())
     rows = with_next(texts).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited(F.col("n_chars")))
     keys = ["doc_id", "tie", "nth", "next_doc_id", "next_tie", "n_chars", "edited_sha256"]
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    # Bytes while it travels.
+    rows = rows.withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
     rows = rows.select(*keys, terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("other"))
+    whole = {f"{side}_terms": F.when(F.size(side) > 0, F.hash(F.sort_array(side))) for side in ("own", "other")}
+    rows = rows.select("*", *[hashed.alias(name) for name, hashed in whole.items()])
+    keys += whole
     # Most terms are in both texts and travel once. Sides: 1 the text, 2 the edited text, 3 both.
     sides = F.array(
         F.struct(F.lit(1).alias("side"), F.array_except("own", "other").alias("terms")),
@@ -128,7 +169,8 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     # Terms are grouped as 32-bit hashes, half the size of those that met the lexicon.
     of = [F.collect_list(F.when((F.col("used") == side) & F.col("term").isNotNull(), F.hash("term"))).alias(f"of{side}") for side in (1, 2, 3)]
     grouped = kept.groupBy(*keys).agg(*of).select(*keys, F.sort_array(F.concat("of1", "of3")).alias("own"), F.sort_array(F.concat("of2", "of3")).alias("other"))
-    return grouped.select(*keys, fingerprint(F.col("own")).alias("places"), fingerprint(F.col("other")).alias("edited_places"))
+    made = with_fingerprints(grouped, {"places": ("own", "own_terms"), "edited_places": ("other", "other_terms")}, levels)
+    return made.withColumn("edited_sha256", F.lower(F.hex("edited_sha256")))
 
 
 def compare(table: DataFrame) -> DataFrame:
