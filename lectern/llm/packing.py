@@ -77,8 +77,8 @@ def cut_lengths(n_tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return pieces, n_tokens - (pieces - 1) * size
 
 
-def to_pieces(batches: Iterable[pa.RecordBatch], path: str, rule: str, size: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    for ids, tokens, before in encoded(rows_of(batches), path, rule, END_ID):
+def to_pieces(batches: Iterable[pa.RecordBatch], path: str, rule: str, size: int, with_ids: bool, added_tokens: bool = False) -> Iterator[pa.RecordBatch]:
+    for ids, tokens, before in encoded(rows_of(batches), path, rule, END_ID, added_tokens):
         n_tokens = np.diff(before)
         pieces, first = cut_lengths(n_tokens, size)
         number = ragged(np.zeros(len(pieces), np.int64), pieces)
@@ -94,10 +94,10 @@ def to_pieces(batches: Iterable[pa.RecordBatch], path: str, rule: str, size: int
         yield table_of(WITH_IDS if with_ids else PIECES, **columns)
 
 
-def token_pieces(docs: DataFrame, path: str, rule: str = "blanks", size: int = LENGTH, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, rule: str = "blanks", size: int = LENGTH, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Each document's tokens and end id as pieces of at most ``size``; the first one may be shorter."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return id_and_text(docs, id_col, text_col).mapInArrow(lambda b: to_pieces(b, path, rule, size, with_ids), schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lambda b: to_pieces(b, path, rule, size, with_ids, added_tokens), schema)
 
 
 def pack(pieces: DataFrame, size: int = LENGTH, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -122,7 +122,7 @@ def pack(pieces: DataFrame, size: int = LENGTH, open_bins: int = OPEN_BINS, grou
     return dealt.groupBy("pack_group").applyInArrow(packed, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, rule: str = "blanks", size: int = LENGTH, open_bins: int = OPEN_BINS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, rule: str = "blanks", size: int = LENGTH, open_bins: int = OPEN_BINS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Documents to packed pieces; with ``with_ids`` the token ids of each piece come along."""
-    pieces = token_pieces(docs, path, rule, size, with_ids, id_col, text_col)
+    pieces = token_pieces(docs, path, rule, size, with_ids, id_col, text_col, added_tokens)
     return pack(staged(pieces, "pieces"), size, open_bins)

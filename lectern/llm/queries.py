@@ -26,14 +26,14 @@ def tokenizer_path(name: str) -> str:
 @query
 def op4_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document read back from grammar-compressed shards."""
-    shards = repair.write_shards(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    shards = repair.write_shards(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), added_tokens=True)
     return repair.with_starts(repair.read_documents(shards), shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces with their sequence and offset."""
-    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), added_tokens=True)
 
 
 @query

@@ -140,7 +140,7 @@ def read_range(shard: dict, document: int, start: int, stop: int) -> np.ndarray:
     return expand(symbols[first:last], left, right)[start - skipped : stop - skipped]
 
 
-def _shards(batches: Iterable[pa.RecordBatch], path: str, rule: str, shard_tokens: int, rounds: int) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterable[pa.RecordBatch], path: str, rule: str, shard_tokens: int, rounds: int, added_tokens: bool = False) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     ids: list[pa.Array] = []
     tokens: list[np.ndarray] = []
@@ -161,7 +161,7 @@ def _shards(batches: Iterable[pa.RecordBatch], path: str, rule: str, shard_token
             x.clear()
         return pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in SHARDS], schema=SHARDS)
 
-    for own, out, before in encoded(rows_of(batches), path, rule, END_ID):
+    for own, out, before in encoded(rows_of(batches), path, rule, END_ID, added_tokens):
         ids.append(own)
         tokens.append(out)
         counts.append(np.diff(before))
@@ -172,11 +172,11 @@ def _shards(batches: Iterable[pa.RecordBatch], path: str, rule: str, shard_token
         yield close()
 
 
-def write_shards(docs: DataFrame, path: str, rule: str = "spaces", shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, path: str, rule: str = "spaces", shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Encode and compress a table into the shared folder; returns the written shards."""
     rows = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return staged(ordered.select("doc_id", "text").mapInArrow(lambda b: _shards(b, path, rule, shard_tokens, rounds), SHARDS_DDL), "token-shards")
+    return staged(ordered.select("doc_id", "text").mapInArrow(lambda b: _shards(b, path, rule, shard_tokens, rounds, added_tokens), SHARDS_DDL), "token-shards")
 
 
 def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:

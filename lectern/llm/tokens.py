@@ -2,11 +2,15 @@
 
 Texts are cut where no token of the tokenizer can reach across; each distinct piece goes
 through the tokenizer once per worker and its ids are gathered for every occurrence.
+
+Added tokens written out in a text (``<|endoftext|>``) are plain text or, with ``added_tokens``,
+their own ids, as the tokenizer has it by default.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,16 +35,22 @@ _VISIBLE[0x21:0x7F] = True
 _VISIBLE[0xC3:0xE0] = True
 
 
-def space_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def space_pieces(data: np.ndarray, offsets: np.ndarray, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pieces between ASCII white space, for vocabularies that drop white space."""
     return words.find_words(data, offsets, words.SPACED)
 
 
-def blank_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces that cover every byte, cut before the last blank ahead of a visible character."""
+def blank_pieces(data: np.ndarray, offsets: np.ndarray, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces that cover every byte, cut before the last blank ahead of a visible character.
+
+    An added token ends the text before it, so the blanks on either side stay with it.
+    """
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         cut[:-2] = (data[:-1] == 0x20) & _VISIBLE[data[1:]]
+    if added:
+        for match in added.finditer(data.tobytes()):
+            cut[max(0, match.start() - 1) : match.end(1)] = False
     cut[offsets] = True
     bounds = np.flatnonzero(cut)
     if len(data) == 0:
@@ -55,20 +65,26 @@ RULES = {"spaces": space_pieces, "blanks": blank_pieces}
 class Encoder:
     """Encodes chunks of texts; ``rule`` names how the vocabulary lets texts be cut."""
 
-    def __init__(self, path: str, rule: str):
+    def __init__(self, path: str, rule: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         self.cut = RULES[rule]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
+        if any(c.isspace() for t in added for c in t):
+            raise ValueError("texts cannot be cut at blanks where an added token holds white space")
+        names = b"|".join(re.escape(t.encode()) for t in sorted(added, key=len, reverse=True))
+        # Overlapping places count too; white space behind a token may be its own.
+        self.added = re.compile(rb"(?=((?:" + names + rb")[\x20\x09-\x0D]*))") if added else None
         if rule == "spaces":
             # White space goes, so pieces may be told apart by a control character between blanks.
             self.glue, self.joins = b" \x01 ", lambda piece: b"\x01" not in piece
             self.mark = self._ids([b"\x01"])[0][0]
         else:
             # A byte-level token has as many bytes as letters, so sums of widths find the borders.
-            self.glue, self.joins = b"", lambda piece: piece[0] == 0x20 and len(piece) > 1 and bool(_VISIBLE[piece[1]])
+            self.glue, self.joins = b"", lambda piece: piece[0] == 0x20 and len(piece) > 1 and bool(_VISIBLE[piece[1]]) and not (self.added and self.added.search(piece))
             self.width = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
             for token, number in self.tokenizer.get_vocab().items():
                 self.width[number] = len(token)
@@ -137,7 +153,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk and the number of ids before each text."""
-        starts, ends, firsts = self.cut(data, offsets)
+        starts, ends, firsts = self.cut(data, offsets, self.added)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if self.used > POOL_IDS or self.known > POOL_PIECES:
@@ -166,22 +182,22 @@ class Encoder:
         return ids, before[firsts]
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, rule: str) -> Encoder:
+def encoder(path: str, rule: str, added_tokens: bool = False) -> Encoder:
     """One encoder per worker process, which keeps what it has learned from task to task."""
-    if (path, rule) not in _ENCODERS:
-        _ENCODERS[path, rule] = Encoder(path, rule)
-    return _ENCODERS[path, rule]
+    if (path, rule, added_tokens) not in _ENCODERS:
+        _ENCODERS[path, rule, added_tokens] = Encoder(path, rule, added_tokens)
+    return _ENCODERS[path, rule, added_tokens]
 
 
-def encoded(rows: Iterator[tuple], path: str, rule: str, end_id: int) -> Iterator[tuple]:
+def encoded(rows: Iterator[tuple], path: str, rule: str, end_id: int, added_tokens: bool = False) -> Iterator[tuple]:
     """Per chunk of an (ids, bytes, offsets) stream: document ids, token ids and the number before each text.
 
     ``end_id`` closes every text, so no text is without a token.
     """
-    own = encoder(path, rule)
+    own = encoder(path, rule, added_tokens)
     for ids, data, offsets in rows:
         tokens, before = own.encode(data, offsets)
         n = len(ids)
