@@ -8,6 +8,9 @@ Found are: card numbers (Luhn), IBANs (mod 97), calendar dates, IPv4 addresses,
 telephone numbers, social security numbers, and the local part of e-mail addresses. Check
 digits are computed anew, separators stay, and so does every value's length.
 
+What follows a value may look like a part of it (a card and its expiry date), so shorter readings
+from the same place are tried down to a valid one, and then readings from the next place on.
+
 Defined results: a null text stays null; an empty text stays empty; invalid values stay as they
 are; repeated rows give repeated results; an empty table gives no rows; columns named n_found or
 spans in the table are replaced by the new ones.
@@ -29,16 +32,19 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 _EDGE, _END = r"(?<![A-Za-z0-9@_])", r"(?![A-Za-z0-9@_])"
-PATTERN = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-]))"
-    rf"|(?P<iban>{_EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END})"
-    rf"|(?P<date>{_EDGE}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}[./]\d{{2}}[./]\d{{4}}){_END})"
-    rf"|(?P<ip>(?<![0-9A-Za-z.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?![0-9A-Za-z]|\.[0-9]))"
-    rf"|(?P<phone>(?:(?<![0-9A-Za-z])\+?1[ .-]?)?(?<![0-9A-Za-z])\(?[1-9]\d{{2}}\)?[ .-]\d{{3}}[ .-]\d{{4}}{_END})"
-    rf"|(?P<ssn>{_EDGE}\d{{3}}-\d{{2}}-\d{{4}}{_END})"
-    rf"|(?P<card>{_EDGE}\d(?:[ -]?\d){{12,18}}{_END})"
-)
+#: What a value of each kind looks like, and what may not follow it.
+_FORMS = {
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", r"(?![A-Za-z0-9-])"),
+    "iban": (rf"{_EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?", _END),
+    "date": (rf"{_EDGE}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}[./]\d{{2}}[./]\d{{4}})", _END),
+    "ip": (r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}", r"(?![0-9A-Za-z]|\.[0-9])"),
+    "phone": (r"(?:(?<![0-9A-Za-z])\+?1[ .-]?)?(?<![0-9A-Za-z])\(?[1-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}", _END),
+    "ssn": (rf"{_EDGE}\d{{3}}-\d{{2}}-\d{{4}}", _END),
+    "card": (rf"{_EDGE}\d(?:[ -]?\d){{12,18}}", _END),
+}
+PATTERN = re.compile("|".join(f"(?P<{kind}>{form}{end})" for kind, (form, end) in _FORMS.items()))
 KINDS = tuple(PATTERN.groupindex)
+_ALONE = {kind: (re.compile(form + end), re.compile(form), re.compile(end)) for kind, (form, end) in _FORMS.items()}
 
 
 class Feistel:
@@ -179,17 +185,47 @@ def _email(key: bytes, text: str, inverse: bool) -> str | None:
 _MAKERS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
-def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """One text with pseudonyms, and (kind, start, end) of what was replaced, in code points."""
-    parts, spans, at = [], [], 0
-    for match in PATTERN.finditer(text):
-        kind = match.lastgroup
-        made = _MAKERS[kind](key, match.group(), inverse)
-        if made is None:
+def _value_at(text: str, start: int, key: bytes, inverse: bool) -> tuple[str, int, str] | None:
+    """Kind, end and pseudonym of the longest valid value at a place, kinds in the order of ``KINDS``."""
+    for kind in KINDS:
+        whole, form, end = _ALONE[kind]
+        if not (match := whole.match(text, start)):
             continue
-        parts += [text[at : match.start()], made]
-        spans.append((kind, match.start(), match.end()))
-        at = match.end()
+        if (made := _MAKERS[kind](key, match.group(), inverse)) is not None:
+            return kind, match.end(), made
+        # What follows a value may look like a part of it.
+        for stop in range(match.end() - 1, start, -1):
+            if end.match(text, stop) and form.fullmatch(text, start, stop) and (made := _MAKERS[kind](key, text[start:stop], inverse)) is not None:
+                return kind, stop, made
+    return None
+
+
+def _values(text: str, key: bytes, inverse: bool) -> Iterator[tuple[str, int, int, str]]:
+    at = 0
+    while match := PATTERN.search(text, at):
+        start = match.start()
+        if value := _value_at(text, start, key, inverse):
+            kind, at, made = value
+            yield kind, start, at, made
+        else:
+            at = start + 1
+
+
+def pseudonymise(text: str, key: bytes, inverse: bool = False, known: Iterable[tuple[str, int, int]] | None = None) -> tuple[str, list[tuple[str, int, int]]]:
+    """One text with pseudonyms, and (kind, start, end) of what was replaced, in code points.
+
+    ``known`` are the places of an earlier call. A pseudonym may be valid together with digits that
+    follow it where the value was not, so only they undo a call with certainty.
+    """
+    parts, spans, at = [], [], 0
+    if known is None:
+        values = _values(text, key, inverse)
+    else:
+        values = ((kind, start, end, _MAKERS[kind](key, text[start:end], inverse)) for kind, start, end in known)
+    for kind, start, end, made in values:
+        parts += [text[at:start], made]
+        spans.append((kind, start, end))
+        at = end
     return ("".join([*parts, text[at:]]) if spans else text), spans
 
 
@@ -199,12 +235,18 @@ _MAY_HOLD[0x40] = True
 
 
 def pseudonymise_documents(docs: DataFrame, key: bytes, text_col: str = "text", inverse: bool = False) -> DataFrame:
-    """All rows and columns with texts pseudonymised, plus ``n_found`` and ``spans`` (kind:start:end, comma-joined)."""
+    """All rows and columns with texts pseudonymised, plus ``n_found`` and ``spans`` (kind:start:end, comma-joined).
+
+    The inverse goes by the ``spans`` of the table if it has them, and finds values anew otherwise.
+    """
     from lectern.llm import words
 
-    docs = docs.drop("n_found", "spans")
-    names = docs.columns
+    undone = inverse and "spans" in docs.columns
+    docs = docs.drop("n_found") if undone else docs.drop("n_found", "spans")
+    names = [c for c in docs.columns if c != "spans"]
+    docs = docs.select(*[f"`{c}`" for c in names], *(["spans"] if undone else []))
     place = names.index(text_col)
+    known = lambda spans: [(a, int(b), int(c)) for a, b, c in (s.split(":") for s in (spans or "").split(",") if s)]
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,13 +256,14 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, text_col: str = "text",
                 texts, found, spans = rows.column(place), np.zeros(n, np.int32), [""] * n
                 if hits := np.flatnonzero(np.diff(before)).tolist():
                     changed = texts.to_pylist()
+                    places = rows.column(len(names)).to_pylist() if undone else None
                     for k in hits:
-                        changed[k], own = pseudonymise(changed[k], key, inverse)
+                        changed[k], own = pseudonymise(changed[k], key, inverse, known(places[k]) if undone else None)
                         found[k], spans[k] = len(own), ",".join(f"{a}:{b}:{c}" for a, b, c in own)
                     texts = pa.array(changed, texts.type)
-                columns = [*rows.columns, pa.array(found), pa.array(spans, pa.string())]
+                columns = [*rows.columns[: len(names)], pa.array(found), pa.array(spans, pa.string())]
                 columns[place] = texts
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_found", "spans"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "spans")
     return docs.mapInArrow(made, f"{schema}, n_found int, spans string")
