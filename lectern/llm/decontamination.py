@@ -15,18 +15,21 @@ either table are not read.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm import words
 from lectern.llm.shared import id_and_text, staged, table_of
 
 WINDOW = 10
-#: Words of the items in one automaton: the bound of what is sent to the workers at once.
+#: Words of the items in one automaton, besides its last item: the bound of what is sent to the workers at once.
 BLOCK_WORDS = 1 << 19
 #: In ``clean``: hit stretches of at least so many words go, and whole documents hit beyond this share.
 REMOVE_WORDS = 1
@@ -182,36 +185,86 @@ def find_hits(index: ItemIndex, hashes: np.ndarray, firsts: np.ndarray) -> tuple
     return np.cumsum(hit)[:-1] > 0, found
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[ItemIndex]:
-    """The benchmark as indexes of at most ``block_words`` words (or one longer item), read one after another."""
-    ids: list = []
-    texts: list = []
-    held = 0
-    rows = benchmark.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    for row in rows.toLocalIterator():
-        size = len(row["text"]) // 2 + 1  # no text has more words than that
-        if ids and held + size > block_words:
-            yield index_items(ids, texts, window)
-            ids, texts, held = [], [], 0
-        ids.append(row["id"])
-        texts.append(row["text"])
-        held += size
-    yield index_items(ids, texts, window)
-
-
-def _scan(batches: Iterable[pa.RecordBatch], indexes: list[ItemIndex]) -> Iterator[tuple]:
+class Block:
+    """One block's index, broadcast as bytes; a worker holds one block at a time."""
+
+    _loaded: dict[str, ItemIndex] = {}
+
+    def __init__(self, shared: Broadcast):
+        self.shared, self.name = shared, uuid.uuid4().hex
+
+    def index(self) -> ItemIndex:
+        if self.name not in Block._loaded:
+            Block._loaded.clear()
+            Block._loaded[self.name] = pickle.loads(self.shared.value)
+        return Block._loaded[self.name]
+
+
+class ItemBlocks:
+    """The benchmark cut into blocks of about ``block_words`` words, their indexes built in tasks and written.
+
+    Sums of sizes per partition and the block numbers pass the driver, and one index at a time.
+    """
+
+    def __init__(self, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS, window: int = WINDOW):
+        self.spark, self.window = benchmark.sparkSession, window
+        items = benchmark.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+
+        def sized(batches):
+            part, held = TaskContext.get().partitionId(), 0
+            for batch in batches:
+                sizes = np.array([len(t) // 2 + 1 for t in batch.column("text").to_pylist()], np.int64)  # no text has more words than that
+                before = held + np.cumsum(sizes) - sizes
+                held += int(sizes.sum())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sizes), part, np.int32)), pa.array(before), pa.array(sizes)], names=["id", "text", "part", "before", "size"])
+
+        def built(group: pa.Table) -> pa.Table:
+            index = pickle.dumps(index_items(group["id"].to_pylist(), group["text"].to_pylist(), window), pickle.HIGHEST_PROTOCOL)
+            return pa.table({"block": group["block"].slice(0, 1), "index": pa.array([index], pa.binary())})
+
+        kind = items.schema["id"].dataType.simpleString()
+        rows = staged(items.mapInArrow(sized, f"id {kind}, text string, part int, before long, size long"), "items")
+        offsets, total = [], 0
+        for part, size in sorted((r["part"], r["size"]) for r in rows.groupBy("part").agg(F.sum("size").alias("size")).collect()):
+            offsets.append((part, total))
+            total += size
+        parts = self.spark.createDataFrame(offsets, "part int, offset long")
+        block = F.floor((F.col("offset") + F.col("before")) / block_words).cast("long")
+        blocks = rows.join(F.broadcast(parts), "part").select("id", "text", block.alias("block"))
+        self.table = staged(blocks.groupBy("block").applyInArrow(built, "block long, index binary"), "indexes")
+        self.numbers = sorted(r["block"] for r in self.table.select("block").collect())
+
+    def block(self, k: int) -> Block:
+        """The k-th block, or an index of nothing if the benchmark has no items."""
+        if self.numbers:
+            index = bytes(self.table.where(F.col("block") == self.numbers[k]).first()["index"])
+        else:
+            index = pickle.dumps(index_items([], [], self.window))
+        return Block(self.spark.sparkContext.broadcast(index))
+
+    def runs(self, rows: DataFrame) -> DataFrame:
+        """Runs of hit words and items of every block, written one block after another.
+
+        Only the first block's rows include those that it doesn't hit.
+        """
+        parts = None
+        for k in range(len(self.numbers)):
+            block = self.block(k)
+            found = _find_in_block(rows, block)
+            part = staged(found if parts is None else found.where(F.col("n_items") > 0), "runs")
+            block.shared.destroy()
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
+
+
+def _scan(batches: Iterable[pa.RecordBatch], index: ItemIndex) -> Iterator[tuple]:
     """Per document chunk: ids, data, offsets, word bounds, firsts, hit words, items per document."""
     for batch in batches:
         for first, n, data, offsets in words.chunks(batch.column("text")):
             starts, ends, firsts = words.find_words(data, offsets, words.ALPHANUMERIC)
             hashes = words.hash_spans(data, starts, ends)
-            hit = np.zeros(len(hashes), bool)
-            items: dict[int, set] = {}
-            for index in indexes:
-                more, found = find_hits(index, hashes, firsts)
-                hit |= more
-                for k, v in found.items():
-                    items.setdefault(k, set()).update(index.item_ids[i] for i in v)
+            hit, found = find_hits(index, hashes, firsts)
+            items = {k: {index.item_ids[i] for i in v} for k, v in found.items()}
             yield batch, first, n, data, offsets, starts, ends, firsts, hit, items
 
 
@@ -231,11 +284,11 @@ def _names(items: dict[int, set], n: int) -> tuple[list[list[str]], np.ndarray]:
     return [sorted(str(i) for i in items.get(k, ()) if i is not None) for k in range(n)], np.array([len(items.get(k, ())) for k in range(n)], np.int64)
 
 
-def _find_once(texts: DataFrame, index) -> DataFrame:
+def _find_once(texts: DataFrame, block: Block) -> DataFrame:
     """All columns of the result in one pass, where one block holds the whole benchmark."""
 
     def scan(batches):
-        for batch, first, n, _, _, _, _, firsts, hit, items in _scan(batches, [index.value]):
+        for batch, first, n, _, _, _, _, firsts, hit, items in _scan(batches, block.index()):
             total = np.concatenate(([0], np.cumsum(hit)))[firsts]
             names, counts = _names(items, n)
             yield _digest(batch.column("doc_id").slice(first, n), np.diff(firsts), np.diff(total), counts, names)
@@ -243,11 +296,11 @@ def _find_once(texts: DataFrame, index) -> DataFrame:
     return texts.mapInArrow(scan, _FOUND_DDL)
 
 
-def _find_in_block(rows: DataFrame, index) -> DataFrame:
+def _find_in_block(rows: DataFrame, block: Block) -> DataFrame:
     """Runs of hit words and items of one block, per row of a table with row numbers."""
 
     def scan(batches):
-        for batch, first, n, _, _, _, _, firsts, hit, items in _scan(batches, [index.value]):
+        for batch, first, n, _, _, _, _, firsts, hit, items in _scan(batches, block.index()):
             names, counts = _names(items, n)
             runs = [np.flatnonzero(np.diff(np.concatenate(([0], hit[a:b].astype(np.int8), [0])))) for a, b in zip(firsts, firsts[1:])]
             yield table_of(_RUNS, row_id=batch.column("row_id").slice(first, n), doc_id=batch.column("doc_id").slice(first, n), n_words=np.diff(firsts), runs=pa.array(runs, pa.list_(pa.int64())), item_ids=pa.array(names, pa.list_(pa.string())), n_items=counts)
@@ -276,15 +329,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     worker never holds more than one, and the hit runs of a document are merged afterwards.
     """
     texts = id_and_text(docs, id_col, text_col)
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(index) for index in item_blocks(benchmark, window=window, block_words=block_words)]
-    if len(sent) == 1:
-        found = _find_once(texts, sent[0])
+    blocks = ItemBlocks(benchmark, window=window, block_words=block_words)
+    if len(blocks.numbers) <= 1:
+        found = _find_once(texts, blocks.block(0))
     else:
-        rows = staged(texts.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
-        parts = _find_in_block(rows, sent[0])
-        for index in sent[1:]:
-            parts = parts.unionByName(_find_in_block(rows, index))
+        parts = blocks.runs(staged(texts.withColumn("row_id", F.monotonically_increasing_id()), "numbered"))
         merged = parts.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max(F.col("n_items") - F.size("item_ids")).alias("unnamed"))
         found = merged.select("doc_id", "n_words", "runs", "item_ids", (F.size("item_ids") + F.col("unnamed")).cast("long").alias("n_items")).mapInArrow(_merge_runs, _FOUND_DDL)
     return found.withColumn("contaminated", F.col("n_hit") > 0)
@@ -294,43 +343,60 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove_wo
     """Documents without benchmark passages, all columns kept.
 
     A hit stretch of ``remove_words`` words or more is cut out; a document of which more than
-    ``drop_share`` of the words are hit goes altogether. A benchmark of several blocks takes a
-    pass for each, and the share is that of one pass.
+    ``drop_share`` of the words are hit goes altogether. Of several blocks the hit words are
+    gathered on the whole text first, so the result does not depend on the size of a block.
     """
-    context = docs.sparkSession.sparkContext
-    for number, index in enumerate(item_blocks(benchmark, window=window, block_words=block_words)):
-        docs = _clean_block(staged(docs, "cleaned") if number else docs, context.broadcast(index), remove_words, drop_share, text_col)
-    return docs
+    blocks = ItemBlocks(benchmark, window=window, block_words=block_words)
+    schema, place = docs.schema, docs.schema.names.index(text_col)
 
+    if len(blocks.numbers) <= 1:
+        block = blocks.block(0)
 
-def _clean_block(docs: DataFrame, shared, remove_words: int, drop_share: float, text_col: str) -> DataFrame:
-    schema = docs.schema
-    place = schema.names.index(text_col)
+        def cleaned(batches):
+            for batch in batches:
+                renamed = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
+                for _, first, n, data, offsets, starts, ends, firsts, hit, _ in _scan([renamed], block.index()):
+                    yield _cut(batch.slice(first, n), place, data, offsets, starts, ends, firsts, hit, remove_words, drop_share)
 
-    def cleaned(batches):
-        for batch in batches:
-            renamed = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
-            for _, first, n, data, offsets, starts, ends, firsts, hit, items in _scan([renamed], [shared.value]):
-                rows = batch.slice(first, n)
-                if not hit.any():
-                    yield rows
-                    continue
-                total = np.concatenate(([0], np.cumsum(hit)))[firsts]
-                share = np.diff(total) / np.maximum(1, np.diff(firsts))
-                texts = rows.column(place).to_pylist()
-                for k in np.flatnonzero(np.diff(total)).tolist():
-                    a, b = firsts[k], firsts[k + 1]
-                    flags = np.diff(np.concatenate(([0], hit[a:b].astype(np.int8), [0])))
-                    raw, at, kept = data[offsets[k] : offsets[k + 1]].tobytes(), 0, []
-                    for x, y in zip(np.flatnonzero(flags == 1).tolist(), np.flatnonzero(flags == -1).tolist(), strict=True):
-                        if y - x < remove_words:
-                            continue
-                        kept.append(raw[at : starts[a + x] - offsets[k]])
-                        at = int(ends[a + y - 1] - offsets[k])
-                    texts[k] = b"".join([*kept, raw[at:]]).decode()
-                columns = list(rows.columns)
-                columns[place] = pa.array(texts, batch.schema.field(place).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(share <= drop_share))
-
-    return docs.mapInArrow(cleaned, schema)
+        return docs.mapInArrow(cleaned, schema)
 
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    runs = blocks.runs(rows.select(F.col("_row").alias("row_id"), F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
+    runs = runs.where(F.size("runs") > 0).groupBy(F.col("row_id").alias("_row")).agg(F.collect_list("runs").alias("_runs"))
+    marked = rows.join(runs, "_row", "left").select(*[f"`{c}`" for c in schema.names], "_runs")
+
+    def cut(batches):
+        for batch in batches:
+            own = batch.select(schema.names)
+            for first, n, data, offsets in words.chunks(batch.column(place)):
+                starts, ends, firsts = words.find_words(data, offsets, words.ALPHANUMERIC)
+                hit = np.zeros(len(starts), bool)
+                for k, lists in enumerate(batch.column("_runs").slice(first, n).to_pylist()):
+                    for found in lists or ():
+                        for x, y in zip(found[::2], found[1::2], strict=True):
+                            hit[firsts[k] + x : firsts[k] + y] = True
+                yield _cut(own.slice(first, n), place, data, offsets, starts, ends, firsts, hit, remove_words, drop_share)
+
+    return marked.mapInArrow(cut, schema)
+
+
+def _cut(rows: pa.RecordBatch, place: int, data, offsets, starts, ends, firsts, hit: np.ndarray, remove_words: int, drop_share: float) -> pa.RecordBatch:
+    """The rows of a chunk without their hit stretches and without those hit beyond the share."""
+    if not hit.any():
+        return rows
+    total = np.concatenate(([0], np.cumsum(hit)))[firsts]
+    share = np.diff(total) / np.maximum(1, np.diff(firsts))
+    texts = rows.column(place).to_pylist()
+    for k in np.flatnonzero(np.diff(total)).tolist():
+        a, b = firsts[k], firsts[k + 1]
+        flags = np.diff(np.concatenate(([0], hit[a:b].astype(np.int8), [0])))
+        raw, at, kept = data[offsets[k] : offsets[k + 1]].tobytes(), 0, []
+        for x, y in zip(np.flatnonzero(flags == 1).tolist(), np.flatnonzero(flags == -1).tolist(), strict=True):
+            if y - x < remove_words:
+                continue
+            kept.append(raw[at : starts[a + x] - offsets[k]])
+            at = int(ends[a + y - 1] - offsets[k])
+        texts[k] = b"".join([*kept, raw[at:]]).decode()
+    columns = list(rows.columns)
+    columns[place] = pa.array(texts, rows.schema.field(place).type)
+    return pa.RecordBatch.from_arrays(columns, schema=rows.schema).filter(pa.array(share <= drop_share))
