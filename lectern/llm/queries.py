@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontamination, fingerprints, linededup, ngramjoin, packing, pseudonyms, quality, repair, secrets, sharding
+from lectern.llm import decontamination, fingerprints, infill, linededup, ngramjoin, packing, pseudonyms, quality, repair, secrets, sharding, spelling, vptrees
 from lectern.llm.shared import documents
 
 QUERIES: dict = {}
@@ -96,3 +96,27 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and component of every document."""
     return ngramjoin.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at two units and rearranged, as digests."""
+    return infill.digest(infill.fill_in_middle(documents(spark, sf_dir)))
+
+
+ORACLES["op11_fill_in_middle"] = infill.oracle_sql()
+
+
+@query
+def op12_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return vptrees.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_vantage_point_search"] = vptrees.oracle_sql()
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its more frequent spelling."""
+    return spelling.spelling_variants(documents(spark, sf_dir))
