@@ -231,6 +231,16 @@ def overlap_scores(word_sets: pd.Series) -> pd.Series:
     return word_sets.map(score)
 
 
+def max_normalise(scores: DataFrame, unit: str, value: str, floor: float = 0.0001) -> DataFrame:
+    """Scores relative to the best of their unit (at least ``floor``).
+
+    The maximum comes from an aggregation joined back, so a unit with very many rows is combined
+    before the exchange and its join can be split, which a window over it could not.
+    """
+    top = scores.groupBy(unit).agg(F.max(value).alias("_top"))
+    return scores.join(top, unit).withColumn(value, F.col(value) / F.greatest("_top", F.lit(floor))).drop("_top")
+
+
 def with_scores(docs: DataFrame) -> DataFrame:
     """Add ``score`` to each sentence struct."""
     sets = F.transform("sentences", lambda s: T.word_set(s["text"]))
