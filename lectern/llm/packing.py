@@ -2,11 +2,13 @@
 
 A fixed number of bins is open. The free spaces that open bins have are the set bits of
 one integer, so the tightest bin that takes a piece is the lowest set bit at or above the
-piece's length. Beyond the limit of open bins the fullest one closes first.
+piece's length. Beyond the limit of open bins the fullest one closes first. Pieces come in a
+hashed order, so what a group packs to depends neither on arrival order nor on their lengths.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are
-packed each on its own; a null id stays null; ties between equal bins take the newest; an
-empty table gives an empty result; further columns of the table are not read.
+packed each on its own; a null id stays null; a very long text has pieces in many groups, and
+a worker holds its ids once; ties between equal bins take the newest; an empty table gives an
+empty result; further columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.shared import id_and_text, ragged, rows_of, staged, table_of
+from lectern.llm.shared import free_names, id_and_text, numbered, ragged, rows_of, table_of
 from lectern.llm.tokens import encoded
 
 LENGTH = 1024
 END_ID = 2
-#: Fixed space of a packer. Pieces come longest first, so it should exceed the pieces of a group.
-OPEN_BINS = 1 << 17
+#: Fixed space of a packer.
+OPEN_BINS = 1024
 #: Pieces that one task packs; a table has as many packing groups as it takes.
 GROUP_PIECES = 1 << 16
 
@@ -103,26 +105,31 @@ def token_pieces(docs: DataFrame, path: str, rule: str = "blanks", size: int = L
 def pack(pieces: DataFrame, size: int = LENGTH, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; further columns of the pieces stay.
 
-    Groups of about ``group_pieces`` pieces are dealt by hash and packed apart, longest first
-    and then by a second hash, so the result depends neither on arrival order nor on retries.
+    The pieces are written with a row number, dealt by a hash of it and their own columns to groups of about
+    ``group_pieces``, however many rows are equal, and packed in the order of a second hash.
     """
-    groups = max(1, -(-pieces.count() // group_pieces))
-    own = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("length")]
-    dealt = pieces.withColumn("pack_order", F.xxhash64(F.lit(1), *own)).withColumn("pack_group", F.pmod(F.xxhash64(F.lit(0), *own), F.lit(groups)).cast("int"))
+    pieces = pieces.drop("sequence_id", "offset")
+    row, order, group = free_names(pieces, "row", "pack_order", "pack_group")
+    written = numbered(pieces, row, "pieces")
+    groups = max(1, -(-written.count() // group_pieces))
+    own = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("length"), F.col(row)]
+    dealt = written.withColumn(order, F.xxhash64(F.lit(1), *own)).withColumn(group, F.pmod(F.xxhash64(F.lit(0), *own), F.lit(groups)).cast("int"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    names = (row, order, group)
 
-    def packed(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("pack_order", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        base = group["pack_group"][0].as_py() << 40
+    def packed(rows: pa.Table) -> pa.Table:
+        number, order, group = names
+        rows = rows.sort_by([(order, "ascending"), (number, "ascending")])
+        base = rows[group][0].as_py() << 40
         bins = BestFit(size, open_bins)
-        placed = np.array([bins.put(n) for n in group["length"].to_pylist()], np.int64)
-        group = group.drop_columns(["pack_order", "pack_group"])
-        return group.append_column("sequence_id", pa.array(placed[:, 0] + base)).append_column("offset", pa.array(placed[:, 1]))
+        placed = np.array([bins.put(n) for n in rows["length"].to_pylist()], np.int64)
+        rows = rows.drop_columns(list(names))
+        return rows.append_column("sequence_id", pa.array(placed[:, 0] + base)).append_column("offset", pa.array(placed[:, 1]))
 
-    return dealt.groupBy("pack_group").applyInArrow(packed, f"{fields}, sequence_id long, offset long")
+    return dealt.groupBy(group).applyInArrow(packed, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, rule: str = "blanks", size: int = LENGTH, open_bins: int = OPEN_BINS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Documents to packed pieces; with ``with_ids`` the token ids of each piece come along."""
     pieces = token_pieces(docs, path, rule, size, with_ids, id_col, text_col, added_tokens)
-    return pack(staged(pieces, "pieces"), size, open_bins)
+    return pack(pieces, size, open_bins)
