@@ -13,8 +13,9 @@ Pairs never cross documents, so a document is a run of symbols, and expansion le
 reader skip to any token of it without expanding what comes before.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are kept,
-in the order of id and then of a hash of the text; null ids come first; an empty table gives an
-empty file set; further columns of the table are not read.
+in the order of id and then of a hash of the text; null ids come first; a very long text is a
+shard of its own, beyond the usual size; an empty table gives an empty file set; further columns
+of the table are not read.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ from lectern.llm.tokens import encoded
 
 END_ID = 2
 SHARD_TOKENS = 1 << 21
-ROUNDS = 3
-#: Most pairs that one round replaces, and the least count of a pair worth a rule.
+#: Most pairs that one round replaces (others wait for the next), and the least count of a pair worth a rule.
 ROUND_RULES = 8192
 LEAST_COUNT = 16
 #: Ids of every vocabulary are below; nonterminals start here.
 BASE = 1 << 16
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_BITS = 16
+#: Pairs are counted by slot first; only those of a slot with enough occurrences are sorted.
+_SLOT_BITS = 18
 
 SHARDS = pa.schema(
     [("part", pa.int32()), ("shard", pa.int32()), ("tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("doc_symbols", pa.list_(pa.int64()))]
@@ -50,52 +51,49 @@ DIGEST = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.i
 
 
 def frequent_pairs(codes: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent pair codes, each at least ``least`` times, at most one per slot of a small table."""
+    """The most frequent pair codes, each at least ``least`` times, most frequent first."""
     codes = np.sort(codes)
     if not len(codes):
         return codes
     firsts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     counts = np.diff(np.append(firsts, len(codes)))
     good = np.flatnonzero(counts >= least)
-    good = good[np.argsort(-counts[good], kind="stable")][:most]
-    found = codes[firsts[good]]
-    _, first_in_slot = np.unique(_slot(found), return_index=True)
-    return found[np.sort(first_in_slot)]
+    return codes[firsts[good[np.argsort(-counts[good], kind="stable")][:most]]]
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
-    return ((codes * _SPREAD) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+    return ((codes * _SPREAD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
-def compress(symbols: np.ndarray, firsts: np.ndarray, rounds: int = ROUNDS, most: int = ROUND_RULES, least: int = LEAST_COUNT):
+def compress(symbols: np.ndarray, firsts: np.ndarray, most: int = ROUND_RULES, least: int = LEAST_COUNT):
     """Grammar of one shard. ``firsts``: ids before each document, and in all.
 
-    Returns symbols, symbols before each document, rule sides and rule lengths. A round
-    counts all pairs, picks the frequent ones and replaces their occurrences from the left.
+    Returns symbols, symbols before each document, rule sides and rule lengths. A round counts all pairs, picks the
+    frequent ones and replaces their occurrences from the left; rounds go on until no pair is frequent. Every round
+    shortens the sequence, and its pairs that overlap others everywhere get no rule.
     """
     symbols = symbols.astype(np.uint32)
     left, right, length = (np.zeros(0, np.int64) for _ in range(3))
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         inside = np.ones(len(codes), bool)
         borders = firsts[1:-1]
         inside[borders[(borders > 0) & (borders < len(symbols))] - 1] = False
-        pairs = frequent_pairs(codes[inside], most, least)
+        slots = _slot(codes)
+        counts = np.bincount(slots[inside], minlength=1 << _SLOT_BITS)
+        may = np.flatnonzero((counts >= least)[slots] & inside)
+        pairs = np.sort(frequent_pairs(codes[may], most, least))
         if not len(pairs):
             break
-        keys, rule = np.zeros(1 << _TABLE_BITS, np.uint64), np.zeros(1 << _TABLE_BITS, np.uint32)
-        keys[:] = np.uint64(2**64 - 1)
-        keys[_slot(pairs)] = pairs
-        rule[_slot(pairs)] = BASE + len(left) + np.arange(len(pairs))
-        slots = _slot(codes)
-        at = np.flatnonzero((keys[slots] == codes) & inside)
+        found = np.minimum(np.searchsorted(pairs, codes[may]), len(pairs) - 1)
+        hit = pairs[found] == codes[may]
+        at, name = may[hit], found[hit]
         # Of touching occurrences every second one is replaced, from the left.
         begins = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
         place = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-        at = at[place % 2 == 0]
-        names = rule[slots[at]]
+        at, name = at[place % 2 == 0], name[place % 2 == 0]
+        used, name = np.unique(name, return_inverse=True)
+        pairs, names = pairs[used], (BASE + len(left) + name).astype(np.uint32)
         sides = [(pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(2**32 - 1)).astype(np.int64)]
         size = [np.where(s >= BASE, np.append(length, 1)[np.where(s >= BASE, s - BASE, len(length))], 1) for s in sides]
         left, right, length = np.append(left, sides[0]), np.append(right, sides[1]), np.append(length, size[0] + size[1])
@@ -123,6 +121,19 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
     return symbols
 
 
+def expand_all(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """As ``expand``, for whole shards: every rule is expanded once, symbols then copy their spans."""
+    pool = np.concatenate((expand(np.arange(BASE, BASE + len(left)), left, right), np.zeros(0, np.int64)))
+    starts = np.cumsum(length) - length
+    nonterminal = symbols >= BASE
+    names = np.where(nonterminal, symbols - BASE, 0)
+    if not nonterminal.any():
+        return symbols
+    size = np.where(nonterminal, length[names], 1)
+    owner_start = np.where(nonterminal, starts[names], len(pool) + np.cumsum(~nonterminal) - 1)
+    return np.concatenate((pool, symbols[~nonterminal]))[ragged(owner_start, size)]
+
+
 def shard_symbols(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(low, "<u2").astype(np.int64) | (np.frombuffer(high, np.uint8).astype(np.int64) << 16)
 
@@ -140,7 +151,7 @@ def read_range(shard: dict, document: int, start: int, stop: int) -> np.ndarray:
     return expand(symbols[first:last], left, right)[start - skipped : stop - skipped]
 
 
-def _shards(batches: Iterable[pa.RecordBatch], path: str, rule: str, shard_tokens: int, rounds: int, added_tokens: bool = False) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterable[pa.RecordBatch], path: str, rule: str, shard_tokens: int, added_tokens: bool = False) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     ids: list[pa.Array] = []
     tokens: list[np.ndarray] = []
@@ -150,7 +161,7 @@ def _shards(batches: Iterable[pa.RecordBatch], path: str, rule: str, shard_token
     def close() -> pa.RecordBatch:
         nonlocal number, held
         firsts = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-        symbols, places, left, right, length = compress(np.concatenate(tokens), firsts, rounds)
+        symbols, places, left, right, length = compress(np.concatenate(tokens), firsts)
         row = {
             "part": [part], "shard": [number], "tokens": [int(firsts[-1])], "doc_ids": [pa.concat_arrays(ids).to_pylist()],
             "doc_tokens": [firsts], "doc_symbols": [places], "rule_left": [left], "rule_right": [right], "rule_length": [length],
@@ -172,11 +183,11 @@ def _shards(batches: Iterable[pa.RecordBatch], path: str, rule: str, shard_token
         yield close()
 
 
-def write_shards(docs: DataFrame, path: str, rule: str = "spaces", shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, rule: str = "spaces", shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Encode and compress a table into the shared folder; returns the written shards."""
     rows = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return staged(ordered.select("doc_id", "text").mapInArrow(lambda b: _shards(b, path, rule, shard_tokens, rounds, added_tokens), SHARDS_DDL), "token-shards")
+    return staged(ordered.select("doc_id", "text").mapInArrow(lambda b: _shards(b, path, rule, shard_tokens, added_tokens), SHARDS_DDL), "token-shards")
 
 
 def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -187,8 +198,8 @@ def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = {n: batch.column(k)[row] for k, n in enumerate(batch.schema.names)}
-                sides = (np.asarray(shard[f"rule_{k}"].values, np.int64) for k in ("left", "right"))
-                ids = expand(shard_symbols(shard["low"].as_py(), shard["high"].as_py()), *sides).astype("<u4")
+                rules = (np.asarray(shard[f"rule_{k}"].values, np.int64) for k in ("left", "right", "length"))
+                ids = expand_all(shard_symbols(shard["low"].as_py(), shard["high"].as_py()), *rules).astype("<u4")
                 firsts = np.asarray(shard["doc_tokens"].values, np.int64)
                 bounds = firsts.tolist()
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
@@ -200,7 +211,7 @@ def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:
 
     ddl = "part int, shard int, doc_id long, inner long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     # A shard is a large row; a few at a time keep the worker small.
-    return shards.select("part", "shard", "doc_ids", "doc_tokens", "rule_left", "rule_right", "low", "high").mapInArrow(decoded, ddl)
+    return shards.select("part", "shard", "doc_ids", "doc_tokens", "rule_left", "rule_right", "rule_length", "low", "high").mapInArrow(decoded, ddl)
 
 
 def with_starts(decoded: DataFrame, shards: DataFrame) -> DataFrame:
