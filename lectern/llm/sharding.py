@@ -1,27 +1,30 @@
 """Two-pass external shuffle of documents into shards of equal row counts.
 
-Pass one scatters rows by a seeded hash of their id into buckets sized to memory; the number of
+Pass one scatters rows by a seeded hash into buckets sized to memory; the number of
 buckets follows from the table's bytes. Pass two brings each bucket into a fixed order, shuffles
 it with Fisher-Yates from a seed of its own, and writes it. Buckets follow one another, so a
 row's place in the shuffled whole is its bucket's offset plus its place there; shard k takes the
 k-th run of places and counts differ by at most one.
 
-Defined results: a null text has size 1 and stays null; a null id is hashed like any value;
-repeated ids share a bucket and repeated rows are kept, each with its own slot; an empty table
-gives no rows; columns named shard or slot in the table are replaced by the new ones.
+Defined results: a null text has size 1 and stays null; null and repeated ids spread over the buckets
+and repeated rows are kept, each with its own slot; a very long text makes its bucket larger than
+the others by itself; an empty table gives no rows; columns named shard or slot in the table are
+replaced by the new ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from lectern.llm.shared import staged
+from lectern.llm.shared import free_names, numbered, staged
 
 SHARDS = 16
 SEED = 20240229
 BUCKET_BYTES = 24 << 20
+#: Buckets that a task reads, on average, on tables of very many buckets.
+TASK_BUCKETS = 8
 
 
 def sizes(text_col: str = "text"):
@@ -36,35 +39,54 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return places
 
 
+def bucket_offsets(counts: DataFrame, bucket: str, group: int = 1 << 12) -> DataFrame:
+    """(bucket, offset) of (bucket, count): rows in all buckets before.
+
+    Sums of runs of ``group`` buckets first, then inside each run, so no task sees more buckets than that
+    (and one more sum for each run).
+    """
+    runs = counts.withColumn("run", F.floor(F.col(bucket) / group))
+    sums = runs.groupBy("run").agg(F.sum("count").alias("rows"))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("run", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("run").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    own = runs.withColumn("own", F.coalesce(F.sum("count").over(inside), F.lit(0)))
+    return own.join(sums, "run").select(bucket, (F.col("base") + F.col("own")).alias("offset"))
+
+
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows with ``shard`` and ``slot``; not yet written."""
+    """All rows with ``shard`` and ``slot``; not yet written.
+
+    Rows are written with a number first: buckets are hashes of it together with id and text, so neither null
+    nor repeated ids, nor rows repeated as a whole, gather in one bucket.
+    """
     docs = docs.drop("shard", "slot")
-    total = docs.agg(F.sum(sizes(text_col))).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")), F.lit(buckets)).cast("int")
-    # Counts need the id column only; one number per bucket passes the driver.
-    counts = np.zeros(buckets, np.int64)
-    for row in docs.groupBy(bucket.alias("bucket")).count().collect():
-        counts[row["bucket"]] = row["count"]
-    offsets = np.concatenate(([0], np.cumsum(counts)))
-    n, extra = divmod(int(offsets[-1]), shards)
-    firsts = np.array([k * n + min(k, extra) for k in range(shards)])
     names = docs.columns
-    order = [(names.index(id_col), "ascending"), (names.index(text_col), "ascending")]
+    row, bucket, offset = free_names(docs, "row", "bucket", "offset")
+    rows = numbered(docs, row, "numbered-documents")
+    total, n = rows.agg(F.sum(sizes(text_col)), F.count("*")).first()
+    buckets = max(1, -(-(total or 0) // bucket_bytes))
+    own = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(row)), F.lit(buckets))
+    counts = rows.groupBy(own.alias(bucket)).agg(F.count("*").alias("count"))
+    dealt = rows.withColumn(bucket, own).join(bucket_offsets(counts, bucket).withColumnRenamed("offset", offset), bucket)
+    each, extra = divmod(n, shards)
+    firsts = np.array([k * each + min(k, extra) for k in range(shards)])
+    order = [(names.index(id_col), "ascending"), (names.index(text_col), "ascending"), (len(names), "ascending")]
 
     def shuffled(group: pa.Table) -> pa.Table:
-        number = group.column(len(names))[0].as_py()
-        group = group.select(range(len(names)))
-        plain = group.rename_columns([str(k) for k in range(len(names))])
+        number, before = (group.column(k)[0].as_py() for k in (len(names) + 1, len(names) + 2))
+        plain = group.rename_columns([str(k) for k in range(group.num_columns)])
         plain = plain.sort_by([(str(k), way) for k, way in order]).take(pa.array(fisher_yates(len(plain), seed + number)))
-        place = offsets[number] + np.arange(len(plain))
+        place = before + np.arange(len(plain))
         shard = np.searchsorted(firsts, place, "right") - 1
-        columns = [*plain.columns, pa.array(shard, pa.int32()), pa.array(place - firsts[shard])]
+        columns = [*plain.columns[: len(names)], pa.array(shard, pa.int32()), pa.array(place - firsts[shard])]
         return pa.Table.from_arrays(columns, names=[*names, "shard", "slot"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", shard int, slot long"
-    dealt = docs.select(*[F.col(f"`{c}`") for c in names], bucket.alias("__bucket"))
-    return dealt.groupBy("__bucket").applyInArrow(shuffled, schema)
+    # A task holds one bucket at a time and reads a few.
+    tasks = max(min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-buckets // TASK_BUCKETS))
+    dealt = dealt.select(*[F.col(f"`{c}`") for c in names], row, bucket, offset).repartition(tasks, bucket)
+    return dealt.groupBy(bucket).applyInArrow(shuffled, schema)
 
 
 def write_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
