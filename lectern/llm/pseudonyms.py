@@ -4,20 +4,23 @@ A validated value becomes an integer in the range that its format allows, a keye
 network permutes that range, and the result is written in the same format. Equal values get
 equal pseudonyms in every document; who has the key can invert them.
 
-Found are: card numbers (Luhn), IBANs (mod 97), calendar dates, IPv4 addresses, North American
-telephone numbers, social security numbers, and the local part of e-mail addresses. Check
-digits are computed anew, separators stay, and so does every value's length.
+Found are: card numbers (Luhn), IBANs (mod 97), calendar dates, IPv4 addresses, telephone numbers
+of North America and with another country's code, social security numbers, and the local part of
+e-mail addresses. Check digits are computed anew, separators stay, and so does every value's
+length. A date with slashes is read month first, or day first if it is none that way.
 
 What follows a value may look like a part of it (a card and its expiry date), so shorter readings
 from the same place are tried down to a valid one, and then readings from the next place on.
 
 Defined results: a null text stays null; an empty text stays empty; invalid values stay as they
-are; repeated rows give repeated results; an empty table gives no rows; columns named n_found or
+are; a very long text, or a very long e-mail name, is replaced whole; where values overlap the
+leftmost counts; repeated rows give repeated results; an empty table gives no rows; columns named n_found or
 spans in the table are replaced by the new ones.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -38,7 +41,7 @@ _FORMS = {
     "iban": (rf"{_EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?", _END),
     "date": (rf"{_EDGE}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}[./]\d{{2}}[./]\d{{4}})", _END),
     "ip": (r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}", r"(?![0-9A-Za-z]|\.[0-9])"),
-    "phone": (r"(?:(?<![0-9A-Za-z])\+?1[ .-]?)?(?<![0-9A-Za-z])\(?[1-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}", _END),
+    "phone": (r"(?:(?:(?<![0-9A-Za-z])\+?1[ .-]?)?(?<![0-9A-Za-z])\(?[1-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}|(?<![0-9A-Za-z+])\+[2-9]\d{0,2}(?:[ .-]\d{1,8}){1,6})", _END),
     "ssn": (rf"{_EDGE}\d{{3}}-\d{{2}}-\d{{4}}", _END),
     "card": (rf"{_EDGE}\d(?:[ -]?\d){{12,18}}", _END),
 }
@@ -58,7 +61,10 @@ class Feistel:
 
     def _round(self, k: int, value: int) -> int:
         size = (self.half + 7) // 8
-        digest = hashlib.blake2b(bytes([k]) + value.to_bytes(size, "big"), key=self.key, digest_size=max(8, size)).digest()
+        block = bytes([k]) + value.to_bytes(size, "big")
+        digest = hashlib.blake2b(block, key=self.key, digest_size=min(64, max(8, size))).digest()
+        for more in range(1, -(-size // 64)):
+            digest += hashlib.blake2b(block + more.to_bytes(4, "big"), key=self.key, digest_size=64).digest()
         return int.from_bytes(digest, "big") & self.mask
 
     def _once(self, value: int, inverse: bool) -> int:
@@ -128,17 +134,32 @@ def _iban(key: bytes, text: str, inverse: bool) -> str | None:
     return _into(text, plain[:2] + f"{98 - number(body + plain[:2] + '00') % 97:02d}" + body)
 
 
+@lru_cache(1)
+def _late_days() -> tuple[int, ...]:
+    """The days after the twelfth of their month: read day first, none of them is a date month first."""
+    return tuple(d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12)
+
+
+def _ordinal(year: int, month: int, day: int) -> int | None:
+    try:
+        ordinal = datetime.date(year, month, day).toordinal()
+    except ValueError:
+        return None
+    return ordinal if FIRST_DAY <= ordinal <= LAST_DAY else None
+
+
 def _date(key: bytes, text: str, inverse: bool) -> str | None:
     parts = [int(p) for p in re.split(r"[-./]", text)]
     day_first = text[2] == "."
     if text[2] != text[5] and text[4] != text[7:8]:
         return None
     year, month, day = parts if text[4] == "-" else (parts[2], *((parts[1], parts[0]) if day_first else (parts[0], parts[1])))
-    try:
-        ordinal = datetime.date(year, month, day).toordinal()
-    except ValueError:
-        return None
-    if not FIRST_DAY <= ordinal <= LAST_DAY:
+    ordinal = _ordinal(year, month, day)
+    if ordinal is None and text[2] == "/" and (late := _ordinal(year, day, month)) is not None:
+        days = _late_days()
+        place = _network(key, "late date", len(days)).apply(bisect.bisect_left(days, late), inverse)
+        return datetime.date.fromordinal(days[place]).strftime("%d/%m/%Y")
+    if ordinal is None:
         return None
     moved = _network(key, "date", LAST_DAY - FIRST_DAY + 1).apply(ordinal - FIRST_DAY, inverse) + FIRST_DAY
     return datetime.date.fromordinal(moved).strftime("%Y-%m-%d" if text[4] == "-" else f"%d{text[2]}%m{text[2]}%Y" if day_first else "%m/%d/%Y")
@@ -160,6 +181,13 @@ def _ip(key: bytes, text: str, inverse: bool) -> str | None:
 
 def _phone(key: bytes, text: str, inverse: bool) -> str | None:
     digits = [int(c) for c in text if c.isdigit()]
+    if text[0] == "+" and text[1] != "1":
+        # The groups after the country code, which is the first of them.
+        code = len(re.match(r"\+(\d+)", text)[1])
+        if not 7 <= len(digits) <= 15:
+            return None
+        moved = _places(key, f"phone+{text[1 : 1 + code]}", digits[code:], [10] * (len(digits) - code), inverse)
+        return _into(text, map(str, [*digits[:code], *moved]))
     moved = _places(key, "phone", [digits[-10] - 1, *digits[-9:]], [9, *[10] * 9], inverse)
     return _into(text, map(str, [*digits[:-10], moved[0] + 1, *moved[1:]]))
 
@@ -174,11 +202,19 @@ def _ssn(key: bytes, text: str, inverse: bool) -> str | None:
     return f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+#: Letters and digits of a name permuted as one number; the rest of a longer name follows in parts of its own.
+EMAIL_LETTERS = 64
+
+
 def _email(key: bytes, text: str, inverse: bool) -> str | None:
     local, _, domain = text.partition("@")
     kinds = [("0", 10) if c.isdigit() else ("a", 26) if c.islower() else ("A", 26) if c.isupper() else None for c in local]
     digits = [ord(c) - ord(k[0]) for c, k in zip(local, kinds, strict=True) if k]
-    moved = iter(_places(key, "email@" + domain.lower(), digits, [k[1] for k in kinds if k], inverse))
+    radices, tweak, moved = [k[1] for k in kinds if k], "email@" + domain.lower(), []
+    for at in range(0, len(digits), EMAIL_LETTERS):
+        part = slice(at, at + EMAIL_LETTERS)
+        moved += _places(key, f"{tweak}:{at}" if at else tweak, digits[part], radices[part], inverse)
+    moved = iter(moved)
     return "".join(chr(ord(k[0]) + next(moved)) if k else c for c, k in zip(local, kinds, strict=True)) + "@" + domain
 
 
