@@ -10,7 +10,8 @@ any earlier line of the table is similar to it, whether or not that one is itsel
 
 Defined results: null ids come first; null and empty texts and lines without words stay; rows
 that repeat id and text are one document and are treated alike; repeated lines within a text go
-too; an empty table gives no rows; columns named n_lines or n_removed in the table are replaced.
+too; a very long text is handled whole by one task; an empty table gives no rows; columns named
+n_lines or n_removed in the table are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm import setjoin, words
 from lectern.llm.setjoin import SHARE, WIDTH
-from lectern.llm.shared import staged
+from lectern.llm.shared import free_names, staged
 
 #: An id before all others, for rows without one.
 NO_ID = -(2**63)
@@ -149,13 +150,17 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_col:
     text = F.col(f"`{text_col}`")
     keyed = {"key": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), "tie": F.xxhash64(text)}
     texts = docs.select(*[c.alias(n) for n, c in keyed.items()], text.cast("string").alias("text"))
-    gone = staged(removed_lines(texts, width, share), "removed-lines").select(F.col("key").alias("__key"), F.col("tie").alias("__tie"), F.col("lines").alias("__lines"))
-    joined = docs.join(gone, (keyed["key"] == F.col("__key")) & (keyed["tie"] == F.col("__tie")), "left")
+    key, tie, lines = free_names(docs, "key", "tie", "lines")
+    gone = staged(removed_lines(texts, width, share), "removed-lines").select(F.col("key").alias(key), F.col("tie").alias(tie), F.sort_array("lines").alias(lines))
+    joined = docs.join(gone, (keyed["key"] == F.col(key)) & (keyed["tie"] == F.col(tie)), "left")
     parts = F.split(text, "\n")
-    kept = F.array_join(F.filter(parts, lambda part, k: ~F.array_contains("__lines", k.cast("long"))), "\n")
-    cleaned = F.when(F.col("__lines").isNull(), text).otherwise(kept)
+    # The lines between one removed line and the next, and those behind the last.
+    ends = F.concat(F.col(lines), F.array(F.size(parts).cast("long")))
+    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(ends, k - 1))
+    between = F.transform(ends, lambda end, k: F.slice(parts, (before(k) + 2).cast("int"), (end - before(k) - 1).cast("int")))
+    cleaned = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(F.flatten(between), "\n"))
     columns = [cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    return joined.select(*columns, F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).alias("n_removed"))
+    return joined.select(*columns, F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size(lines), F.lit(0)).alias("n_removed"))
 
 
 def without_repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
