@@ -8,8 +8,8 @@ that are pairs of some item. Items shorter than a window are looked up by the ha
 
 Defined results: null or empty texts have no words and hit nothing; items without words have no
 window; repeated items count each by its own id (null ids count as one item, left out of lists);
-an empty benchmark marks nothing; repeated documents give repeated rows; further columns of
-either table are not read.
+an empty benchmark marks nothing; repeated documents give repeated rows; a very long text is
+scanned whole by one task; further columns of either table are not read (``clean`` keeps them).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm import words
-from lectern.llm.shared import id_and_text, staged, table_of
+from lectern.llm.shared import free_names, id_and_text, numbered, staged, table_of
 
 WINDOW = 10
 #: Words of the items in one automaton, besides its last item: the bound of what is sent to the workers at once.
@@ -360,10 +360,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove_wo
 
         return docs.mapInArrow(cleaned, schema)
 
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    runs = blocks.runs(rows.select(F.col("_row").alias("row_id"), F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
-    runs = runs.where(F.size("runs") > 0).groupBy(F.col("row_id").alias("_row")).agg(F.collect_list("runs").alias("_runs"))
-    marked = rows.join(runs, "_row", "left").select(*[f"`{c}`" for c in schema.names], "_runs")
+    row, hits = free_names(docs, "row", "hits")
+    rows = numbered(docs, row, "numbered")
+    runs = blocks.runs(rows.select(F.col(row).alias("row_id"), F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
+    runs = runs.where(F.size("runs") > 0).groupBy(F.col("row_id").alias(row)).agg(F.collect_list("runs").alias(hits))
+    marked = rows.join(runs, row, "left").select(*[f"`{c}`" for c in schema.names], hits)
 
     def cut(batches):
         for batch in batches:
@@ -371,7 +372,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove_wo
             for first, n, data, offsets in words.chunks(batch.column(place)):
                 starts, ends, firsts = words.find_words(data, offsets, words.ALPHANUMERIC)
                 hit = np.zeros(len(starts), bool)
-                for k, lists in enumerate(batch.column("_runs").slice(first, n).to_pylist()):
+                for k, lists in enumerate(batch.column(hits).slice(first, n).to_pylist()):
                     for found in lists or ():
                         for x, y in zip(found[::2], found[1::2], strict=True):
                             hit[firsts[k] + x : firsts[k] + y] = True

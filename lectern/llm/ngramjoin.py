@@ -11,7 +11,8 @@ join something new leave a block, so a group of copies costs links in proportion
 Defined results: a null or empty text, or one without words, has no shingle and no link; a text
 of fewer words than a shingle is one shingle; rows that repeat an id are documents of their own
 with one id, which then joins their components' smallest id as usual; a null id never becomes a
-component's id unless the component has no other; an empty table gives no rows; columns of the
+component's id unless the component has no other; a very long text is one set of shingles, held
+whole by the task that reads it; an empty table gives no rows; columns of the
 table named n_shingles or component_id are replaced where documents are returned.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm import setjoin, words
 from lectern.llm.setjoin import SHARE, WIDTH
-from lectern.llm.shared import id_and_text, staged
+from lectern.llm.shared import free_names, id_and_text, numbered, staged
 from lectern.operators.graph import connected_components
 
 _EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
@@ -153,6 +154,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of their component (and those without id)."""
-    dropped = near_duplicates(docs, width, share, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col(f"`{id_col}`") == F.col("dropped_id"), "left_anti")
+    """One row of each component: the one of the smallest id (null ids last), of equal ids the first as the table was read.
+
+    Rows are told apart by a number written with them, so repeated and null ids neither save nor cost a row. All columns stay.
+    """
+    row, head = free_names(docs, "row", "head")
+    rows = numbered(docs, row, "numbered-documents")
+    found = staged(near_duplicates(rows, width, share, row, text_col).select(F.col("doc_id").alias(row), F.col("component_id").alias(head)), "components")
+    # Most components are one row: only the others are looked at.
+    shared = found.groupBy(head).count().where(F.col("count") > 1).select(head)
+    members = found.join(shared, head).join(rows.select(row, F.col(f"`{id_col}`").cast("long").alias("own_id")), row)
+    place = F.struct(F.col("own_id").isNull(), "own_id", row)
+    first = members.groupBy(head).agg(F.min(place)[row].alias("first"))
+    dropped = members.join(first, head).where(F.col(row) != F.col("first")).select(row)
+    return rows.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
