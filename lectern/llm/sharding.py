@@ -68,7 +68,6 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     buckets = max(1, -(-(total or 0) // bucket_bytes))
     own = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(row)), F.lit(buckets))
     counts = rows.groupBy(own.alias(bucket)).agg(F.count("*").alias("count"))
-    dealt = rows.withColumn(bucket, own).join(bucket_offsets(counts, bucket).withColumnRenamed("offset", offset), bucket)
     each, extra = divmod(n, shards)
     firsts = np.array([k * each + min(k, extra) for k in range(shards)])
     order = [(names.index(id_col), "ascending"), (names.index(text_col), "ascending"), (len(names), "ascending")]
@@ -85,7 +84,9 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", shard int, slot long"
     # A task holds one bucket at a time and reads a few.
     tasks = max(min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-buckets // TASK_BUCKETS))
-    dealt = dealt.select(*[F.col(f"`{c}`") for c in names], row, bucket, offset).repartition(tasks, bucket)
+    offsets = bucket_offsets(counts, bucket).withColumnRenamed("offset", offset)
+    # The join and the groups both find the rows where this one exchange has put them.
+    dealt = rows.withColumn(bucket, own).repartition(tasks, bucket).join(offsets, bucket).select(*[F.col(f"`{c}`") for c in names], row, bucket, offset)
     return dealt.groupBy(bucket).applyInArrow(shuffled, schema)
 
 
