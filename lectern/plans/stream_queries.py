@@ -33,7 +33,7 @@ def sliding_rate_limit(spark, sf):
 
 @query("sliding_rate_limit_stream", f"{_WALK} SELECT key, id, us, allowed, retry_us FROM w")
 def sliding_rate_limit_stream(spark, sf):
-    return flow.drain(R.stream_limits(requests(flow.file_stream(spark, sf, "events")), LIMIT, SECONDS), "limits")
+    return R.drain_limits(requests(flow.file_stream(spark, sf, "events")), LIMIT, SECONDS)[0]
 
 
 @query("rate_limit_events", f"{_WALK} SELECT id AS event_id, 'rate_limit.hit' AS action, key AS actor_id, retry_us FROM w WHERE NOT allowed")
