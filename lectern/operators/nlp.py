@@ -13,14 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from lectern.functions import lexicon as L
 from lectern.functions import text as T
 from lectern.functions.arrays import grouped, keep_first, let, run_counts, top_n
-
-ACRONYM_DEFINITION = (
-    r"(?<![A-Za-z0-9_])([A-Z][A-Za-z-]+(?:" + T.WS + r"+[A-Z]?[A-Za-z-]+){1,6})" + T.WS + r"*\(([A-Z][A-Z0-9]{1,8})\)"
-)
-
+from lectern.operators import terms as terms_of
 
 def plain_sentences(text: Column) -> Column:
     """Sentence structs of a text without sections."""
@@ -33,66 +28,37 @@ def plain_sentences(text: Column) -> Column:
     )
 
 
-def entity(text: Column, kind: Column | str) -> Column:
-    return F.struct(text.alias("text"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"))
-
-
-def term_pattern(term: str) -> str:
-    return f"(?:^|[^a-z0-9]){T._quote(term.lower())}(?:$|[^a-z0-9])"
-
-
-def entities(text: Column, terms: dict[str, list[str]] | None = None) -> Column:
-    """Entities of one sentence, distinct per type in order of discovery."""
-    rows = L.term_rows(terms)
-
-    def lexical(low: Column) -> Column:
-        hits = [
-            F.when(F.contains(low, F.lit(t.lower())) & low.rlike(term_pattern(t)), entity(F.lit(t), kind))
-            for kind, t in rows
-        ]
-        return F.array_compact(F.array(*hits))
-
-    defined = F.flatten(
-        F.zip_with(
-            F.regexp_extract_all(text, F.lit(ACRONYM_DEFINITION), F.lit(1)),
-            F.regexp_extract_all(text, F.lit(ACRONYM_DEFINITION), F.lit(2)),
-            lambda name, short: F.array(entity(T.strip(name), "CONCEPT"), entity(short, "ACRONYM")),
-        )
-    )
-    shaped = F.filter(
-        F.transform(
-            T.tokens(text),
-            lambda w: entity(w, F.when(T.is_number(w), "NUMBER").when(w.rlike(T.ACRONYM), "ACRONYM")),
-        ),
-        lambda e: e["type"].isNotNull(),
-    )
-    found = F.concat(let(F.lower(text), lexical), defined, shaped)
-    return keep_first(found, lambda e: F.struct(e["type"], F.lower(e["text"])))
-
-
 def annotate(docs: DataFrame, terms: dict[str, list[str]] | None = None) -> DataFrame:
     """Add tagged tokens and entities to each sentence struct of ``sentences``."""
-    return docs.withColumn(
+    found = docs.withColumn("_entities", terms_of.entities(sentence_texts(), terms))
+    return found.withColumn(
         "sentences",
         F.transform(
             "sentences",
-            lambda s: F.struct(
+            lambda s, i: F.struct(
                 s["no"].alias("no"), s["text"].alias("text"), s["section"].alias("section"), s["role"].alias("role"),
                 s["page"].alias("page"),
                 T.tagged_tokens(s["text"]).alias("tokens"),
-                entities(s["text"], terms).alias("entities"),
+                F.get(F.col("_entities"), i).alias("entities"),
             ),
         ),
-    )
+    ).drop("_entities")
 
 
 def lexicon_match(sentences: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "sentence") -> DataFrame:
     """Whole-term matches of any-size lexicon(type, term) in sentences.
 
-    Candidates come from an equi-join on the term's first alphanumeric run, so
-    work grows with the matches and not with terms x sentences. The lexicon side
+    A lexicon of a checked size goes to every worker as one automaton. Of a larger one, candidates come from an equi-join on the term's first alphanumeric run, so
+    work grows with the matches and not with terms x sentences. That lexicon
     carries no broadcast hint: its size decides at run time.
     """
+    if (rows := terms_of.bounded(lexicon)) is not None:
+        return terms_of.match_rows(sentences, rows, lexicon.schema["type"].dataType, keys, text).distinct()
+    return join_lexicon(sentences, lexicon, keys, text)
+
+
+def join_lexicon(sentences: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "sentence") -> DataFrame:
+    """``lexicon_match`` by an equi-join on first runs, for a lexicon of any size."""
     first_run = F.regexp_extract(F.lower("term"), "[a-z0-9]+", 0)
     terms = lexicon.select("type", "term", F.lower("term").alias("_low"), first_run.alias("_run")).filter(
         F.col("_run") != ""
@@ -142,15 +108,6 @@ def study_keywords(text: Column, n: int = 12) -> Column:
     return top_n(counted, lambda r: F.struct((-r["n"]).alias("a"), r["value"].alias("b")), n)
 
 
-def invalid_phrase(phrase: Column) -> Column:
-    return (
-        (F.char_length(phrase) < 4)
-        | T.is_number(phrase)
-        | phrase.rlike(r"^section +[0-9]+")
-        | F.forall(F.split(phrase, " "), T.is_stop_word)
-    )
-
-
 def sentence_ngrams(tokens: Column, sizes=(2, 3, 4)) -> Column:
     """Runs of consecutive content tokens without verb forms or adverbs."""
 
@@ -169,20 +126,13 @@ def sentence_ngrams(tokens: Column, sizes=(2, 3, 4)) -> Column:
     return let(T.content_tokens(tokens), grams)
 
 
-def key_phrases(sentences: Column, n: int = 30) -> Column:
-    """Weighted phrases: n-grams count one, entities four; two or more needed."""
+def sentence_texts() -> Column:
+    return F.transform("sentences", lambda s: s["text"])
 
-    def of_sentence(s: Column) -> Column:
-        named = F.filter(s["entities"], lambda e: ~e["type"].isin("NUMBER", "METRIC", "ORG"))
-        weighted = F.flatten(F.transform(named, lambda e: F.array_repeat(T.squeeze_strip(F.lower(e["text"])), 4)))
-        return F.filter(F.concat(weighted, sentence_ngrams(s["tokens"])), lambda p: ~invalid_phrase(p))
 
-    counted = F.filter(run_counts(F.flatten(F.transform(sentences, of_sentence))), lambda r: r["n"] >= 2)
-    return top_n(
-        counted,
-        lambda r: F.struct((-r["n"]).alias("a"), (-F.char_length(r["value"])).alias("b"), r["first"].alias("c")),
-        n,
-    )
+def with_key_phrases(docs: DataFrame, terms: dict[str, list[str]] | None = None, n: int = 30, name: str = "phrases") -> DataFrame:
+    """Add the weighted phrases (array<struct<value, n>>) of each document: n-grams count one, entities four; two or more needed."""
+    return docs.withColumn(name, terms_of.key_phrases(sentence_texts(), terms, n))
 
 
 def combined_keywords(phrases: Column, words: Column) -> Column:
@@ -264,7 +214,7 @@ def document_entities(sentences: Column) -> Column:
 def nlp_result(docs: DataFrame, terms: dict[str, list[str]] | None = None) -> DataFrame:
     """Sentences with tokens, entities and score; key phrases, key words, entities, best sentences."""
     full = with_scores(annotate(docs, terms))
-    full = full.withColumn("phrases", key_phrases(F.col("sentences"))).withColumn("words", keywords(F.col("sentences")))
+    full = with_key_phrases(full, terms).withColumn("words", keywords(F.col("sentences")))
     return (
         full.withColumn("key_phrases", F.transform("phrases", lambda p: p["value"]))
         .withColumn("keywords", combined_keywords(F.col("phrases"), F.col("words")))

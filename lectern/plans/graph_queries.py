@@ -417,7 +417,7 @@ def _graph(spark, sf):
     from lectern.operators import nlp
     from lectern.plans.claim_queries import validated
 
-    docs = validated(spark, sf).withColumn("phrases", F.transform(nlp.key_phrases(F.col("sentences")), lambda p: p["value"]))
+    docs = nlp.with_key_phrases(validated(spark, sf)).withColumn("phrases", F.transform("phrases", lambda p: p["value"]))
     docs = cut(docs.select("doc_id", F.filter("claims", C.is_valid).alias("claims"), nlp.concept_candidates(F.col("sentences"), F.col("phrases"), 30).alias("concepts")))
     claims = docs.select("doc_id", F.inline("claims")).withColumn("evidence_id", F.concat(F.lit("evidence-"), F.col("sent_no").cast("string")))
     found = docs.select("doc_id", F.posexplode("concepts").alias("rank", "c")).select("doc_id", "rank", "c.norm", "c.term", "c.score").withColumn("concept_id", F.lit(None).cast("string")).withColumn("label", F.lit(None).cast("string"))

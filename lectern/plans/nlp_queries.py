@@ -107,7 +107,7 @@ pc AS (SELECT doc_id, phrase, sum(weight) AS n, min(row(sent_no, size, c_no)) AS
 )
 def phrase_counts(spark, sf):
     """Weights and lengths of the thirty key phrases of each document (ties are interchangeable)."""
-    docs = annotated(spark, sf).select("doc_id", F.explode(nlp.key_phrases(F.col("sentences"))).alias("p"))
+    docs = nlp.with_key_phrases(sentence_docs(spark, sf), TERMS).select("doc_id", F.explode("phrases").alias("p"))
     return docs.groupBy("doc_id", "p.n", F.char_length("p.value").alias("size")).agg(F.count("*").alias("phrases"))
 
 
@@ -240,7 +240,7 @@ def nlp_result(spark, sf):
 
 @query("concept_candidates")
 def concept_candidates(spark, sf):
-    docs = annotated(spark, sf).withColumn("phrases", F.transform(nlp.key_phrases(F.col("sentences")), lambda p: p["value"]))
+    docs = nlp.with_key_phrases(annotated(spark, sf), TERMS).withColumn("phrases", F.transform("phrases", lambda p: p["value"]))
     rows = docs.select("doc_id", F.posexplode(nlp.concept_candidates(F.col("sentences"), F.col("phrases"))).alias("rank", "c"))
     return rows.select(
         "doc_id", "rank", "c.norm", "c.term", "c.occurrences", "c.n_evidence", F.round("c.score", 6).alias("score"), "c.valid"
