@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.functions.arrays import let  # noqa: F401
+from lectern.operators.prefix import running_sum
 from lectern.session import cut_lineage
 
+#: Ranges of values that asked documents are met in.
+RANGES = 512
+
 # Accuracy bands; functors that are facts rather than rules.
 HIGH_ACCURACY, LOW_ACCURACY = 95, 80
 GROUND_FUNCTORS = (
@@ -16,15 +19,24 @@ GROUND_FUNCTORS = (
 
 
 def belongs_to(relations: DataFrame) -> DataFrame:
-    """Transitive closure (concept, domain) over is_a and part_of; cycles end because pairs are distinct."""
-    step = cut_lineage(
-        relations.filter(F.col("type").isin("is_a", "part_of")).select(F.col("src").alias("concept"), F.col("dst").alias("domain")).distinct()
-    )
-    closed, fresh = step, step
-    while not fresh.isEmpty():
-        longer = fresh.withColumnRenamed("domain", "_mid").join(step.withColumnRenamed("concept", "_mid"), "_mid").select("concept", "domain").distinct()
-        fresh = cut_lineage(longer.join(closed, ["concept", "domain"], "left_anti"))
-        closed = cut_lineage(closed.unionByName(fresh))
+    """Transitive closure (concept, domain) over is_a and part_of; cycles end because pairs are distinct.
+
+    Every round joins the paths found last with all paths so far, on either side, so lengths double and the number of
+    rounds is the logarithm of the longest chain. A round is written once; none is written again.
+    """
+    pairs = ["concept", "domain"]
+    step = relations.filter(F.col("type").isin("is_a", "part_of")).select(F.col("src").alias("concept"), F.col("dst").alias("domain"))
+    rounds = [cut_lineage(step.distinct())]
+    closed = rounds[0]
+    while not rounds[-1].isEmpty():
+        closed = rounds[0]
+        for part in rounds[1:]:
+            closed = closed.unionByName(part)
+        ahead, behind = closed.withColumnRenamed("concept", "_mid"), closed.withColumnRenamed("domain", "_mid")
+        fresh = rounds[-1]
+        longer = fresh.withColumnRenamed("domain", "_mid").join(ahead, "_mid").select(*pairs)
+        longer = longer.unionByName(behind.join(fresh.withColumnRenamed("concept", "_mid"), "_mid").select(*pairs))
+        rounds.append(cut_lineage(longer.distinct().join(closed, pairs, "left_anti")))
     return closed
 
 
@@ -32,24 +44,31 @@ def accuracy_band(value: Column) -> Column:
     return F.when(value > HIGH_ACCURACY, "high").when(value > LOW_ACCURACY, "moderate").otherwise("low")
 
 
-def outperformed(accuracy: DataFrame, bucket: float = 1.0) -> DataFrame:
+def outperformed(accuracy: DataFrame) -> DataFrame:
     """Per (doc_id, value): how many (doc, value) rows have a lower value.
 
-    The pairs themselves grow with the square of the corpus. Counting goes over
-    distinct values in two levels (value ranges, then values in a range), so equal
-    values collapse first and no task sees them all.
+    The pairs themselves grow with the square of the corpus. Equal values are counted first, and the counts of lower
+    values are a running sum over ranges of values that Spark takes from the data.
     """
-    from pyspark.sql import Window
-
-    counts = accuracy.groupBy("value").agg(F.count("*").alias("_n")).withColumn("_b", F.floor(F.col("value") / bucket))
-    sums = counts.groupBy("_b").agg(F.sum("_n").alias("_s"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(bases, "_b")
-    return accuracy.join(ranks.select("value", (F.col("_base") + F.col("_in")).alias("outperforms")), "value").select(
-        "doc_id", "value", "outperforms"
-    )
+    counts = accuracy.groupBy("value").agg(F.count("*").alias("_n"))
+    ranks = running_sum(counts, ["value"], "_n", "outperforms")
+    return accuracy.join(ranks.select("value", "outperforms"), "value").select("doc_id", "value", "outperforms")
+
+
+def outperforms(accuracy: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, other) for the asked documents: every other document that has a value below one of theirs.
+
+    Only a document's best value can decide for it, and only its worst against it. Values are cut into even ranges
+    between the extremes; an asked document meets the ranges up to its own by equality.
+    """
+    best = accuracy.join(asked.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("value").alias("best"))
+    worst = accuracy.groupBy(F.col("doc_id").alias("other")).agg(F.min("value").alias("worst"))
+    ends = accuracy.agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    place = F.least(F.lit(RANGES - 1), F.floor((F.col("worst") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * RANGES)).cast("int")
+    dealt = worst.crossJoin(F.broadcast(ends)).select("other", "worst", place.alias("range"))
+    own = F.least(F.lit(RANGES - 1), F.floor((F.col("best") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * RANGES)).cast("int")
+    wide = best.crossJoin(F.broadcast(ends)).select("doc_id", "best", F.explode(F.sequence(F.lit(0), own)).alias("range"))
+    return wide.join(dealt, "range").filter((F.col("worst") < F.col("best")) & (F.col("doc_id") != F.col("other"))).select("doc_id", "other")
 
 
 def peers(facts: DataFrame, key: str = "b") -> DataFrame:
@@ -68,18 +87,19 @@ def sharing_with(facts: DataFrame, asked: DataFrame, key: str = "b") -> DataFram
 
 
 def key_facts(facts: DataFrame, closure: DataFrame) -> DataFrame:
-    """(doc_id, type, value): nine kinds of fact worth asking about."""
+    """(doc_id, type, value): nine kinds of fact worth asking about, from one scan of the facts.
+
+    A method's domains are looked up once per method, so the closure meets distinct names and not rows.
+    """
     # Functor of each direct kind.
     kinds = {"method": "method", "dataset": "dataset", "accuracy": "accuracy", "solves": "task", "tool": "tool", "sample": "sample", "result": "result", "problem": "problem"}
     named = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    direct = facts.filter(F.col("functor").isin(*kinds)).select(
-        "doc_id", F.element_at(named, F.col("functor")).alias("type"), F.col("b").alias("value")
-    )
-    domains = (
-        facts.filter(F.col("functor") == "method").join(closure, F.col("b") == F.col("concept"))
-        .select("doc_id", F.lit("domain").alias("type"), F.col("domain").alias("value"))
-    )
-    return direct.unionByName(domains).distinct()
+    domains = closure.groupBy(F.col("concept").alias("b")).agg(F.collect_set("domain").alias("_domains"))
+    direct = facts.filter(F.col("functor").isin(*kinds)).select("doc_id", "functor", "b").distinct().join(domains, "b", "left")
+    own = F.array(F.struct(F.element_at(named, F.col("functor")).alias("type"), F.col("b").alias("value")))
+    other = F.transform("_domains", lambda d: F.struct(F.lit("domain").alias("type"), d.alias("value")))
+    every = F.when((F.col("functor") == "method") & F.col("_domains").isNotNull(), F.concat(own, other)).otherwise(own)
+    return direct.select("doc_id", F.explode(every).alias("k")).select("doc_id", "k.type", "k.value").distinct()
 
 
 def in_domain(facts: DataFrame, closure: DataFrame, domains: DataFrame) -> DataFrame:

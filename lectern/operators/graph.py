@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.operators.dedupe import keep_first
+from lectern.operators.ontology import RELATION_WEIGHT, ontology_context
 from lectern.session import cut_lineage
 
 
@@ -206,9 +207,12 @@ CLAIM_EDGES = {
 TYPED_NODES = {"method": "method", "tool": "tool", "data_source": "dataset", "sample": "sample", "metric": "metric"}
 
 
-def build_graph(claims: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_graph(claims: DataFrame, concepts: DataFrame, ontology: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of every document from its valid claims and resolved concepts.
 
+    ``ontology`` is (concepts, relations, ancestors): a concept found in it brings its relations and the chain of its
+    ancestors into the document's graph, each end a node with its label and domain.
+
     Claims that name one node merge their properties, later claims win; of equal edges the
     first claim's stays.
 
@@ -262,7 +266,7 @@ def build_graph(claims: DataFrame, concepts: DataFrame) -> tuple[DataFrame, Data
     concept = F.concat(F.lit("concept:"), F.coalesce(F.col("concept_id"), local))
     nodes = nodes.unionByName(
         concepts.select(
-            *node(concept, F.lit("concept"), F.coalesce("label", "term"), props(score=F.col("score"), rawInput=F.col("term")), place(3, F.col("rank")))
+            *node(concept, F.lit("concept"), F.coalesce("label", "term"), props(status=F.when(F.col("concept_id").isNull(), "document_local").otherwise("ontology"), score=F.col("score"), rawInput=F.col("term")), place(3, F.col("rank")))
         )
     )
     weight, evidence = F.col("confidence"), F.col("evidence_id")
@@ -272,6 +276,17 @@ def build_graph(claims: DataFrame, concepts: DataFrame) -> tuple[DataFrame, Data
     edges = edges.unionByName(
         concepts.select(*link(paper, F.lit("mentions"), concept, F.col("score"), F.lit(None).cast("string"), place(3, F.col("rank"))))
     )
+    if ontology is not None:
+        known, relations, ancestors = ontology
+        found = concepts.filter(F.col("concept_id").isNotNull()).select("doc_id", "concept_id")
+        context = ontology_context(found, known, relations, ancestors)
+        prefixed = lambda c: F.concat(F.lit("concept:"), F.col(c))
+        # A concept's own relation comes before the same edge of a chain.
+        late = place(4, F.when(F.col("weight") == RELATION_WEIGHT, 0).otherwise(1))
+        edges = edges.unionByName(context.select(*link(prefixed("src"), F.col("type"), prefixed("dst"), F.col("weight"), F.lit(None).cast("string"), late)))
+        ends = context.select("doc_id", F.explode(F.array("src", "dst")).alias("concept_id")).unionByName(found).distinct()
+        named = ends.join(known.select(F.col("id").alias("concept_id"), F.col("label").alias("own_label"), "domain"), "concept_id")
+        nodes = nodes.unionByName(named.select(*node(prefixed("concept_id"), F.lit("concept"), F.col("own_label"), props(domain=F.col("domain")), place(4, F.lit(0)))))
     merged = merge_properties(nodes, ("doc_id", "id", "type")).select("doc_id", "id", "type", "label", "props")
     return merged, keep_first(edges, ["doc_id", "src", "type", "dst"], [F.col("pos")]).drop("pos")
 

@@ -61,6 +61,41 @@ def paginate(
     return df.orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
+def beyond(order: list[tuple[str, bool]], last: dict) -> Column:
+    """Rows that come after the row with the key values ``last`` in an order of (column, descending).
+
+    Nulls come last where values descend and first where they ascend, as Spark sorts them. The leading column's
+    bound stands by itself too, so that the scan can leave out what lies before it.
+    """
+    found, equal = F.lit(False), F.lit(True)
+    for name, down in order:
+        c, value = F.col(name), F.lit(last[name])
+        after = (c.isNotNull() if not down else F.lit(False)) if last[name] is None else ((c < value) | c.isNull() if down else c > value)
+        found = found | (equal & after)
+        equal = equal & c.eqNullSafe(value)
+    name, down = order[0]
+    if last[name] is None:
+        return found
+    first = (F.col(name) <= F.lit(last[name])) | F.col(name).isNull() if down else F.col(name) >= F.lit(last[name])
+    return first & found
+
+
+def page_token(page: DataFrame, order: list[tuple[str, bool]], limit: int) -> dict | None:
+    """The key values of a page's last row, for the next ``seek``; None behind the last page. A page is at most ``limit`` rows."""
+    rows = page.select(*[name for name, _ in order]).limit(limit).collect()
+    return rows[-1].asDict() if len(rows) == limit else None
+
+
+def seek(df: DataFrame, order: list[tuple[str, bool]], last: dict | None = None, limit: int | None = None, max_limit: int = MAX_LIMIT) -> DataFrame:
+    """The page that follows the row with the key values ``last`` (the first page without them); ``order`` must end in a unique key.
+
+    What comes before is filtered at the scan, not sorted and skipped: a deep page keeps at most a page per task.
+    """
+    _, limit = clamp_page(1, limit, max_limit)
+    rest = df if last is None else df.filter(beyond(order, last))
+    return rest.orderBy(*[F.desc(name) if down else F.asc(name) for name, down in order]).limit(limit)
+
+
 def page_meta(df: DataFrame, page: int | None, limit: int | None, max_limit: int = MAX_LIMIT) -> DataFrame:
     """Total, page count and neighbours of a page as one row."""
     page, limit = clamp_page(page, limit, max_limit)

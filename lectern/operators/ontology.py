@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import text as T
 from lectern.operators.dedupe import keep_first
+from lectern.session import cut_lineage
 
 # Confidence by kind of match, relation names kept for document facts.
 EXACT, ALIAS, FUZZY, TEXT_ID, TEXT_ALIAS = 1.0, 0.85, 0.6, 0.8, 0.75
@@ -140,6 +141,36 @@ def ontology_context(resolved: DataFrame, concepts: DataFrame, relations: DataFr
     return related.unionByName(chain).distinct()
 
 
+def ancestor_chains(relations: DataFrame) -> DataFrame:
+    """ancestors(concept_id, pos, ancestor_id) of every concept with an is_a parent: root first, the concept itself last.
+
+    A concept's parent is the smallest of its is_a targets. Pointers are doubled: a round joins every concept's chain so
+    far with the chain of its last ancestor, so the rounds are the logarithm of the longest chain. Where parents
+    form a circle, each ancestor counts once, at its first distance.
+    """
+    pair = ["concept_id", "ancestor_id"]
+    parents = relations.filter((F.col("type") == "is_a") & (F.col("src") != F.col("dst"))).groupBy(F.col("src").alias("concept_id")).agg(F.min("dst").alias("ancestor_id"))
+    jump = cut_lineage(parents)
+    rounds, reach = [jump.withColumn("distance", F.lit(1))], 1
+    while True:
+        known = rounds[0]
+        for part in rounds[1:]:
+            known = known.unionByName(part)
+        after = known.select(F.col("concept_id").alias("mid"), F.col("ancestor_id").alias("far"), "distance")
+        ahead = jump.withColumnRenamed("ancestor_id", "mid").join(after, "mid").filter(F.col("far") != F.col("concept_id"))
+        fresh = ahead.groupBy("concept_id", F.col("far").alias("ancestor_id")).agg((F.min("distance") + reach).alias("distance"))
+        fresh = cut_lineage(fresh.join(known.select(*pair), pair, "left_anti"))
+        if fresh.isEmpty():
+            break
+        hop = jump.select(F.col("concept_id").alias("mid"), F.col("ancestor_id").alias("far"))
+        jump = cut_lineage(jump.withColumnRenamed("ancestor_id", "mid").join(hop, "mid").select("concept_id", F.col("far").alias("ancestor_id")))
+        rounds.append(fresh)
+        reach *= 2
+    height = known.groupBy("concept_id").agg(F.max("distance").alias("height"))
+    own = height.select("concept_id", F.col("height").alias("pos"), F.col("concept_id").alias("ancestor_id"))
+    return known.join(height, "concept_id").select("concept_id", (F.col("height") - F.col("distance")).alias("pos"), "ancestor_id").unionByName(own)
+
+
 def key_pairs(ancestors: DataFrame) -> DataFrame:
     """Consecutive ancestors (parent at i, child at i + 1) by equi-join on position."""
     upper = ancestors.select("concept_id", (F.col("pos") + 1).alias("pos"), F.col("ancestor_id").alias("parent"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.operators import derivations as V
 from lectern.operators import facts as R
 from lectern.operators import graph as G
 from lectern.operators import ontology as O
@@ -364,7 +365,16 @@ def same_domain(spark, sf):
 @query("outperforms", f"WITH {_F}, v AS (SELECT doc_id, CAST(b AS DOUBLE) AS value FROM fa WHERE functor = 'accuracy') SELECT doc_id, value, CAST(rank() OVER (ORDER BY value) - 1 AS BIGINT) AS outperforms FROM v")
 def outperforms(spark, sf):
     v = R.goal(facts(spark, sf), "accuracy").select("doc_id", F.col("b").cast("double").alias("value"))
-    return R.outperformed(v, 10.0)
+    return R.outperformed(v)
+
+
+@query("outperforms_of", f"""WITH {_F}, v AS (SELECT doc_id, CAST(b AS DOUBLE) AS value FROM fa WHERE functor = 'accuracy')
+SELECT DISTINCT x.doc_id, y.doc_id AS other FROM v x JOIN v y ON y.value < x.value AND y.doc_id <> x.doc_id WHERE x.doc_id IN (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7)""")
+def outperforms_of(spark, sf):
+    """Pairs for one asked document: the first order of customer 7."""
+    v = R.goal(facts(spark, sf), "accuracy").select("doc_id", F.col("b").cast("double").alias("value"))
+    asked = S.owned_items(spark, sf).filter(F.col("user_id") == 7).agg(F.min("id").alias("doc_id"))
+    return R.outperforms(v, asked)
 
 
 @query("recommended_baseline", f"WITH {_F}, r AS (SELECT 'supplier:' || s_suppkey AS b, 'supplier:' || ((s_suppkey + 1) % 10) AS baseline FROM supplier) SELECT DISTINCT doc_id, baseline FROM fa JOIN r USING (b) WHERE functor = 'method'")
@@ -391,6 +401,50 @@ def goal_query(spark, sf):
     return R.goal(facts(spark, sf), "method", b="supplier:3").select("doc_id", "b")
 
 
+def proof_base(spark, sf):
+    """Order facts and the relations between suppliers, nations and regions, as (functor, args); some accuracies are not known."""
+    own = facts(spark, sf).select("functor", F.array("a", F.when((F.col("functor") != "accuracy") | (F.col("doc_id") % 5 != 0), F.col("b"))).alias("args")).distinct()
+    rel = edges(spark, sf).filter(F.col("type").isin("is_a", "part_of")).select(F.col("type").alias("functor"), F.array("src", "dst").alias("args"))
+    return V.Base(own.unionByName(rel))
+
+
+_P = f"""{_F}, st AS (SELECT DISTINCT functor, a, CASE WHEN functor <> 'accuracy' OR doc_id % 5 <> 0 THEN b END AS b FROM fa),
+cp AS (SELECT 'supplier:' || s_suppkey AS concept, 'nation:' || s_nationkey AS domain, ['is_a(supplier:' || s_suppkey || ', nation:' || s_nationkey || ')'] AS proof FROM supplier
+ UNION ALL SELECT 'supplier:' || s_suppkey, 'region:' || n_regionkey, ['is_a(supplier:' || s_suppkey || ', nation:' || s_nationkey || ')', 'part_of(nation:' || n_nationkey || ', region:' || n_regionkey || ')'] FROM supplier JOIN nation ON n_nationkey = s_nationkey
+ UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, ['part_of(nation:' || n_nationkey || ', region:' || n_regionkey || ')'] FROM nation)"""
+
+
+@query(
+    "goal_proofs",
+    f"""WITH {_P}, j AS (SELECT a AS paper, domain, list_sort(list_concat(['method(' || a || ', ' || b || ')'], proof)) AS proof FROM st JOIN cp ON concept = b WHERE functor = 'method'),
+m AS (SELECT paper, domain, min(row(len(proof), proof)) AS p FROM j GROUP BY 1, 2)
+SELECT paper, domain, array_to_string(struct_extract(p, 2), '; ') AS evidence, 'Paper = ' || paper || ', Domain = ' || domain || ' — derived from: ' || array_to_string(struct_extract(p, 2), ', ') AS explanation FROM m""",
+)
+def goal_proofs(spark, sf):
+    """Which domain every order's methods belong to, with the facts that show it."""
+    found = proof_base(spark, sf).solve(V.atom("key_fact", V.Var("Paper"), "domain", V.Var("Domain")))
+    return found.select(F.col("bindings")["Paper"].alias("paper"), F.col("bindings")["Domain"].alias("domain"), F.array_join("evidence", "; ").alias("evidence"), "explanation")
+
+
+@query(
+    "goal_confidence",
+    f"""WITH {_P} SELECT 'belongs_to(Concept, region:1)' AS goal, count(*) AS answers, CAST(0.7 AS DOUBLE) AS confidence FROM cp WHERE domain = 'region:1'
+ UNION ALL SELECT 'method(Paper, supplier:3)', count(*), 1.0 FROM st WHERE functor = 'method' AND b = 'supplier:3'
+ UNION ALL SELECT 'accuracy(Paper, Value)', count(*), 0.4 FROM st WHERE functor = 'accuracy'
+ UNION ALL SELECT 'high_accuracy(Paper)', count(DISTINCT a), 0.7 FROM st WHERE functor = 'accuracy' AND CAST(b AS DOUBLE) > 95
+ UNION ALL SELECT 'solves(Paper, Value)', 0, 0.0""",
+)
+def goal_confidence(spark, sf):
+    """Bound, open and unanswered goals over facts and rules."""
+    base, paper = proof_base(spark, sf), V.Var("Paper")
+    goals = [V.atom("belongs_to", V.Var("Concept"), "region:1"), V.atom("method", paper, "supplier:3"), V.atom("accuracy", paper, V.Var("Value")), V.atom("high_accuracy", paper), V.atom("solves", paper, V.Var("Value"))]
+    found = None
+    for goal in goals:
+        row = V.goal_confidence(base.solve(goal), goal)
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 @query("answer_confidence", f"WITH {_F}, c AS (SELECT functor, count(*) AS answers FROM fa GROUP BY 1 UNION ALL SELECT 'belongs_to', count(*) FROM cl UNION ALL SELECT 'solves', 0) SELECT functor, answers, CAST(CASE WHEN answers = 0 THEN 0 WHEN functor = 'belongs_to' THEN 0.7 ELSE 1 END AS DOUBLE) AS confidence FROM c")
 def answer_confidence(spark, sf):
     f = facts(spark, sf).groupBy("functor").agg(F.count("*").alias("answers"))
@@ -430,6 +484,63 @@ def cut(df):
     return cut_lineage(df)
 
 
+def ontology_graph(spark, sf):
+    """Parts as documents: their shipments are claims about suppliers, their own names the concepts of an ontology."""
+    li = S.table(spark, sf, "lineitem")
+    claims = li.select(
+        F.col("l_partkey").alias("doc_id"), F.concat_ws("-", F.lit("c"), "l_orderkey", "l_linenumber").alias("id"),
+        F.when(F.col("l_returnflag") == "A", "method").when(F.col("l_returnflag") == "N", "metric").otherwise("result").alias("type"), F.concat(F.lit("Supplier "), "l_suppkey").alias("object"),
+        F.col("l_quantity").alias("value"), F.lit("accuracy").alias("metric"), F.lit(0.5).alias("confidence"), F.lit("e").alias("evidence_id"),
+    )
+    labels = concepts(spark, sf)
+    named = resolved(spark, sf).join(labels.select(F.col("id").alias("concept_id"), "label"), "concept_id", "left")
+    named = named.select("doc_id", F.lit(0).alias("rank"), F.lower("term").alias("norm"), "term", F.lit(0.4).alias("score"), "concept_id", "label")
+    rel = relations(spark, sf)
+    return G.build_graph(claims, named, (labels, rel, O.ancestor_chains(rel)))
+
+
+_CHAIN = """p AS (SELECT src AS c, min(dst) AS a FROM rel WHERE type = 'is_a' GROUP BY 1),
+wk AS (SELECT c, a, 1 AS d, [c] AS seen FROM p UNION ALL SELECT wk.c, p.a, d + 1, list_append(seen, wk.a) FROM wk JOIN p ON p.c = wk.a WHERE NOT list_contains(seen, p.a) AND p.a <> wk.a),
+ch AS (SELECT c AS concept_id, a AS ancestor_id, max(d) OVER (PARTITION BY c) - d AS pos FROM wk UNION ALL SELECT c, c, max(d) FROM wk GROUP BY 1)"""
+_OG = f"""WITH RECURSIVE {_RESOLVED}, {_REL}, {_CHAIN},
+cl AS (SELECT DISTINCT l_partkey AS doc_id, 'paper:' || l_partkey AS paper, 'claim:c-' || l_orderkey || '-' || l_linenumber AS claim, CASE l_returnflag WHEN 'A' THEN 'method' WHEN 'N' THEN 'metric' ELSE 'result' END AS kind,
+ CASE l_returnflag WHEN 'A' THEN 'uses' ELSE 'reports' END AS edge, 'supplier_' || l_suppkey AS slug FROM lineitem),
+sl AS (SELECT doc_id, concept_id, CASE WHEN concept_id IS NULL THEN 'local-' || trim(regexp_replace(lower(term), '[^a-z0-9]+', '_', 'g'), '_') ELSE concept_id END AS name FROM rs),
+sn AS (SELECT DISTINCT doc_id, concept_id FROM rs WHERE concept_id IS NOT NULL),
+g AS (SELECT doc_id, paper AS src, edge AS type, claim AS dst, CAST(0.5 AS DOUBLE) AS weight FROM cl UNION SELECT doc_id, paper, edge, kind || ':' || slug, 0.5 FROM cl WHERE kind <> 'result'
+ UNION SELECT doc_id, claim, 'supports', kind || ':' || slug, 0.5 FROM cl WHERE kind <> 'result' UNION SELECT doc_id, 'paper:' || doc_id, 'mentions', 'concept:' || name, 0.4 FROM sl
+ UNION SELECT doc_id, 'concept:' || src, type, 'concept:' || dst, 0.7 FROM sn JOIN rel ON src = concept_id WHERE dst IN (SELECT id FROM c)
+ UNION SELECT doc_id, 'concept:' || y.ancestor_id, 'is_a', 'concept:' || x.ancestor_id, 0.85 FROM sn JOIN ch x ON x.concept_id = sn.concept_id JOIN ch y ON y.concept_id = x.concept_id AND y.pos = x.pos + 1 WHERE x.ancestor_id IN (SELECT id FROM c)),
+k AS (SELECT doc_id, src, type, dst, CAST(min(weight) AS DOUBLE) AS weight FROM g GROUP BY 1, 2, 3, 4)"""
+
+
+@query("ancestor_chains", f"WITH RECURSIVE {_REL}, {_CHAIN} SELECT concept_id, CAST(pos AS INTEGER) AS pos, ancestor_id FROM ch")
+def ancestor_chains(spark, sf):
+    return O.ancestor_chains(relations(spark, sf))
+
+
+@query("build_graph_ontology", f"{_OG} SELECT doc_id, src, type, dst, weight FROM k")
+def build_graph_ontology(spark, sf):
+    """Edges of every part's graph: claims, mentions, and what the ontology adds to a concept it knows."""
+    _, e = ontology_graph(spark, sf)
+    best = e.groupBy("doc_id", "src", "type", "dst").agg(F.min("weight").alias("weight"))
+    return best.select("doc_id", "src", "type", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "graph_to_facts_ontology",
+    f"""{_OG}, ft AS (SELECT DISTINCT doc_id, 'paper' AS functor, CAST(doc_id AS VARCHAR) AS args FROM (SELECT doc_id FROM cl UNION SELECT doc_id FROM rs)
+ UNION SELECT doc_id, 'mentions', doc_id || ',' || substr(dst, 9) FROM k WHERE type = 'mentions'
+ UNION SELECT doc_id, CASE WHEN type IN ('method', 'claim', 'paper') THEN 'concept_' || type ELSE type END, substr(src, 9) || ',' || substr(dst, 9) FROM k WHERE src LIKE 'concept:%' AND substr(src, 9) <> substr(dst, 9))
+SELECT doc_id, functor, args FROM ft""",
+)
+def graph_to_facts_ontology(spark, sf):
+    """Papers, mentions and concept relations of these graphs as facts."""
+    n, e = ontology_graph(spark, sf)
+    kept = e.filter((F.col("type") == "mentions") | F.col("src").startswith("concept:"))
+    return G.graph_to_facts(n, kept).select("doc_id", "functor", F.array_join("args", ",").alias("args"))
+
+
 @query("graph_to_facts")
 def graph_to_facts(spark, sf):
     n, e = _graph(spark, sf)

@@ -587,6 +587,17 @@ def paginate(spark, sf):
     return listings.paginate(S.owned_items(spark, sf), [F.desc("score"), F.col("id")], 3, 80).select("id", "user_id", "score")
 
 
+@query(
+    "paginate_seek",
+    f"WITH {S.ITEMS_SQL} SELECT id, user_id, score FROM items ORDER BY score DESC, id LIMIT 50 OFFSET 150",
+)
+def paginate_seek(spark, sf):
+    """The fourth page by the keys of the third page's last row."""
+    order, items = [("score", True), ("id", False)], S.owned_items(spark, sf)
+    third = listings.paginate(items, [F.desc("score"), F.col("id")], 3, 50)
+    return listings.seek(items, order, listings.page_token(third, order, 50), 50).select("id", "user_id", "score")
+
+
 @query(
     "page_meta",
     f"WITH {S.ITEMS_SQL}, t AS (SELECT count(*) AS total FROM items) SELECT total, 3 AS page, 50 AS \"limit\", CAST(ceil(total / 50.0) AS BIGINT) AS total_pages, 3 < ceil(total / 50.0) AS has_next, true AS has_prev FROM t",
