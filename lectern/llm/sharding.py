@@ -82,11 +82,11 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
         return pa.Table.from_arrays(columns, names=[*names, "shard", "slot"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", shard int, slot long"
-    # A task holds one bucket at a time and reads a few.
-    tasks = max(min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-buckets // TASK_BUCKETS))
+    # A task holds one bucket at a time and reads a few. With fewer tasks than Spark's own number, the join would deal again.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // TASK_BUCKETS))
     offsets = bucket_offsets(counts, bucket).withColumnRenamed("offset", offset)
     # The join and the groups both find the rows where this one exchange has put them.
-    dealt = rows.withColumn(bucket, own).repartition(tasks, bucket).join(offsets, bucket).select(*[F.col(f"`{c}`") for c in names], row, bucket, offset)
+    dealt = rows.withColumn(bucket, own).repartition(tasks, bucket).join(offsets.hint("merge"), bucket).select(*[F.col(f"`{c}`") for c in names], row, bucket, offset)
     return dealt.groupBy(bucket).applyInArrow(shuffled, schema)
 
 
