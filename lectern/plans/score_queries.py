@@ -152,35 +152,59 @@ def resolve_title(spark, sf):
 
 # ---- amounts -------------------------------------------------------------------------------------
 
-# A case wording wraps each order's amount; the amounts themselves come from the table.
-_TEXT = "'The monthly rent is $' || format('{:,.2f}', o_totalprice) || ' per month. A 70-seat restaurant sells at a price of $4 per pint. Best case is ' || (o_orderkey % 7 + 1) || ' barrels per seat. One barrel holds 31 gallons. One gallon holds 8 pints.'"
+# Every order is a case study of up to 25 lines; which lines it has, and all amounts, follow from the order.
+# (wording, growth, first year): # is the amount.
+LINES = [
+    ("Brewpub system costs $#", None, None), ("Construction is planned at $#", None, None), ("The initial licence fee is $#", None, None), ("The media company asks $#", None, None),
+    ("Net working capital needs $#", None, None), ("Completed market research was $#", None, None), ("The selling price is $# per pint", None, None),
+    ("The ingredient cost is $# and will increase by 4%", 4.0, None), ("Rent is $# per month from year 2", None, 2), ("Maintenance is $# a year", None, None), ("The brewery operator gets $#", None, None),
+    ("Insurance adds $#", None, None), ("Utilities add $# and rise 3 %", 3.0, None), ("Each licence renewal is $#", None, None), ("Advertising takes $#", None, None), ("The salvage value is $#", None, None),
+    ("A renovation in year 5 needs $#", None, 5), ("The tax rate is #%", None, None), ("The cost of capital is #%", None, None), ("An economic life of # years is assumed", None, None), ("It is a #-seat restaurant", None, None),
+    ("Best-case sales are # barrels per seat", None, None), ("Worst-case sales are # barrels per seat", None, None), ("One barrel holds # gallons", None, None), ("One gallon holds # pints", None, None),
+]
+_WHOLE = 17  # lines before have amounts in dollars, written with thousands
 
 
 def case_texts(spark, sf):
-    text = F.concat(
-        F.lit("The monthly rent is $"), F.format_number("score", 2),
-        F.lit(" per month. A 70-seat restaurant sells at a price of $4 per pint. Best case is "), (F.col("id") % 7 + 1).cast("string"),
-        F.lit(" barrels per seat. One barrel holds 31 gallons. One gallon holds 8 pints."),
-    )
-    return S.spread(S.owned_items(spark, sf)).select(F.col("id").alias("doc_id"), text.alias("text"))
-
-
-@query(
-    "financial_inputs",
-    f"""WITH t AS (SELECT o_orderkey AS doc_id, o_totalprice AS rent, CAST(o_orderkey % 7 + 1 AS DOUBLE) AS barrels FROM orders)
-SELECT doc_id, 'Monthly rent' AS label, rent AS value, 'USD' AS unit, 'monthly' AS frequency FROM t UNION ALL SELECT doc_id, 'Restaurant seats', 70, 'seats', 'once' FROM t
-UNION ALL SELECT doc_id, 'Selling price per pint', 4, 'USD', 'once' FROM t UNION ALL SELECT doc_id, 'Best-case barrels per seat', barrels, 'barrels', 'yearly' FROM t
-UNION ALL SELECT doc_id, 'Gallons per barrel', 31, 'gallons', 'once' FROM t UNION ALL SELECT doc_id, 'Pints per gallon', 8, 'pints', 'once' FROM t""",
-)
+    """(doc_id, text, pages): the lines in turn on two pages."""
+    doc = F.col("id")
+
+    def said(k: int, wording: str):
+        amount = (doc * (k + 3)) % (90_000 if k < _WHOLE else 40) + 1
+        shown = F.format_number(amount, 0) if k < _WHOLE else amount.cast("string")
+        before, after = wording.split("#")
+        return F.when(doc % (k + 2) != 0, F.concat(F.lit(before), shown, F.lit(after + ".")))
+
+    lines = [said(k, w) for k, (w, _, _) in enumerate(LINES)]
+    more = [
+        F.when(doc % 4 == 0, F.lit("A quote of $1 per month stands elsewhere.")), F.when(doc % 3 == 0, F.lit("Straight-line depreciation applies.")), F.when(doc % 5 == 0, F.lit("It is a sunk cost.")),
+        F.when(doc % 2 == 0, F.lit("A sensitivity analysis is asked for.")), F.when(doc % 7 != 0, F.lit("Operating cash flow and NPV are required.")),
+    ]
+    first = F.concat(F.lit("Anna Berg and Carl Dorn of Old Mill Restaurant decide whether to invest in project "), doc.cast("string"), F.lit("."))
+    page = lambda *parts: F.array_join(F.array_compact(F.array(*parts)), "\n")
+    rows = S.spread(S.owned_items(spark, sf)).select(doc.alias("doc_id"), F.array(page(first, *lines[::2]), page(*lines[1::2], *more)).alias("pages"))
+    return rows.select("doc_id", F.array_join("pages", "\n").alias("text"), "pages")
+
+
+_CASES = "o AS (SELECT o_orderkey AS doc_id FROM orders), a AS (" + " UNION ALL ".join(
+    f"""SELECT doc_id, {k} AS k, '{M.PATTERNS[k][0]}' AS label, CAST((doc_id * {k + 3}) % {90_000 if k < _WHOLE else 40} + 1 AS DOUBLE) AS value, '{M.PATTERNS[k][1]}' AS unit, '{M.PATTERNS[k][2]}' AS frequency,
+ CAST({g or 'NULL'} AS DOUBLE) AS growth, CAST({y or 'NULL'} AS INTEGER) AS start_year, '{w.split('#')[0]}' || {"format('{:,}', (doc_id * %d) %% 90000 + 1)" % (k + 3) if k < _WHOLE else f"CAST((doc_id * {k + 3}) % 40 + 1 AS VARCHAR)"} || '{w.split('#')[1]}.' AS evidence, {1 + k % 2} AS page FROM o WHERE doc_id % {k + 2} <> 0"""
+    for k, (w, g, y) in enumerate(LINES)
+) + """), v AS (SELECT doc_id, max(value) FILTER (k = 6) AS price, max(value) FILTER (k = 20) AS seats, max(value) FILTER (k = 21) AS best, max(value) FILTER (k = 22) AS worst, max(value) FILTER (k = 23) * max(value) FILTER (k = 24) AS pints,
+ coalesce(bool_or(k = 1), false) AS built, coalesce(bool_or(k = 5), false) AS asked, coalesce(bool_or(k = 8), false) AS rented, coalesce(bool_or(k = 16), false) AS renewed FROM o LEFT JOIN a USING (doc_id) GROUP BY 1)"""
+
+
+@query("financial_inputs", f"WITH {_CASES} SELECT doc_id, label, value, unit, frequency, growth, start_year, evidence, CAST(page AS INTEGER) AS page FROM a")
 def financial_inputs(spark, sf):
-    rows = case_texts(spark, sf).select("doc_id", F.explode(M.amounts(F.col("text"))).alias("a"))
-    return rows.select("doc_id", "a.label", "a.value", "a.unit", "a.frequency")
+    rows = case_texts(spark, sf).select("doc_id", F.explode(M.amounts(F.col("text"), pages=F.col("pages"))).alias("a"))
+    return rows.select("doc_id", "a.label", "a.value", "a.unit", "a.frequency", "a.growth", "a.start_year", "a.evidence", "a.page")
 
 
 @query(
     "derived_calculations",
-    """WITH t AS (SELECT o_orderkey AS doc_id, CAST(70 * (o_orderkey % 7 + 1) * 248 AS DOUBLE) AS volume FROM orders) SELECT doc_id, 'Pints per barrel' AS label, CAST(248 AS DOUBLE) AS value FROM t
-UNION ALL SELECT doc_id, 'Best-case first-year volume', volume FROM t UNION ALL SELECT doc_id, 'Best-case first-year revenue', volume * 4 FROM t""",
+    f"""WITH {_CASES} SELECT doc_id, 'Pints per barrel' AS label, pints AS value FROM v WHERE pints IS NOT NULL
+UNION ALL SELECT doc_id, 'Best-case first-year volume', seats * best * pints FROM v WHERE seats * best * pints IS NOT NULL UNION ALL SELECT doc_id, 'Best-case first-year revenue', seats * best * pints * price FROM v WHERE seats * best * pints * price IS NOT NULL
+UNION ALL SELECT doc_id, 'Worst-case first-year volume', seats * worst * pints FROM v WHERE seats * worst * pints IS NOT NULL UNION ALL SELECT doc_id, 'Worst-case first-year revenue', seats * worst * pints * price FROM v WHERE seats * worst * pints * price IS NOT NULL""",
 )
 def derived_calculations(spark, sf):
     rows = case_texts(spark, sf).select("doc_id", F.explode(M.derived(M.amounts(F.col("text")))).alias("d"))
@@ -210,10 +234,31 @@ def evidence_page_lookup(spark, sf):
     return docs.select("doc_id", M.evidence_page(F.col("p"), F.element_at("p", -1)).alias("page"))
 
 
-@query("case_profile")
+_TRUE = lambda test, text: f"CASE WHEN {test} THEN '{text}' END"
+_PART = "(SELECT evidence FROM a WHERE a.doc_id = v.doc_id AND k = {k})"
+
+
+@query(
+    "case_profile",
+    f"""WITH {_CASES} SELECT doc_id, 'Anna Berg and Carl Dorn of Old Mill Restaurant decide whether to invest in project ' || doc_id || '.' AS decision, 'Anna Berg|Carl Dorn|Old Mill Restaurant' AS actors,
+ 'Capital-budgeting analysis using ' || concat_ws(', ', CASE WHEN doc_id % 7 <> 0 THEN 'operating and incremental cash flows' ELSE 'cash-flow analysis' END, {_TRUE('doc_id % 7 <> 0', 'NPV')}, {_TRUE('best IS NOT NULL OR worst IS NOT NULL', 'scenario analysis')}, {_TRUE('doc_id % 2 = 0', 'sensitivity analysis')}) || '.' AS method,
+ concat_ws('|', 'Best-case scenario=' || {_PART.format(k=21)}, 'Worst-case scenario=' || {_PART.format(k=22)}, 'Renovation scenario=' || {_PART.format(k=16)}, {_TRUE('doc_id % 2 = 0', 'Cost-of-capital sensitivity=A sensitivity analysis is asked for.')}) AS scenarios,
+ concat_ws('|', {_TRUE('rented AND doc_id % 4 = 0', 'rent')}, {_TRUE('built AND doc_id % 3 = 0', 'depreciation')}, {_TRUE('asked AND doc_id % 5 <> 0', 'sunk')}) AS assumptions FROM v""",
+)
 def case_profile(spark, sf):
-    docs = case_texts(spark, sf).select("doc_id", M.case_profile(F.col("text")).alias("c"))
-    return docs.select("doc_id", "c.decision", F.size("c.inputs").alias("inputs"), F.size("c.derived").alias("derived"), F.array_join("c.required", "|").alias("required"))
+    docs = case_texts(spark, sf).select("doc_id", M.case_profile(F.col("text"), pages=F.col("pages")).alias("c"))
+    topic = lambda t: F.when(F.contains(t, F.lit("rent")), "rent").when(F.contains(t, F.lit("depreciation")), "depreciation").otherwise("sunk")
+    return docs.select(
+        "doc_id", "c.decision", F.array_join("c.actors", "|").alias("actors"), "c.method",
+        F.array_join(F.transform("c.scenarios", lambda x: F.concat(x["name"], F.lit("="), x["evidence"])), "|").alias("scenarios"), F.array_join(F.transform("c.assumptions", topic), "|").alias("assumptions"),
+    )
+
+
+@query("case_summaries")
+def case_summaries(spark, sf):
+    """Amounts, derived figures and required analyses of the cases as counts beside their summaries."""
+    docs = case_texts(spark, sf).select("doc_id", M.case_profile(F.col("text"), pages=F.col("pages")).alias("c"))
+    return docs.select("doc_id", F.size("c.inputs").alias("inputs"), F.size("c.derived").alias("derived"), F.array_join("c.required", "|").alias("required"), M.case_summary(F.col("c"), F.lit("Case")).alias("summary"))
 
 
 @query("summary_case")
