@@ -18,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lectern.llm.shared import free_names, numbered, staged
+from lectern.llm.shared import free_names, staged
 
 SHARDS = 16
 SEED = 20240229
 BUCKET_BYTES = 24 << 20
 #: Buckets that a task reads, on average, on tables of very many buckets.
 TASK_BUCKETS = 8
+#: Buckets whose offsets are sent to every worker, at most.
+BROADCAST_BUCKETS = 1 << 20
 
 
 def sizes(text_col: str = "text"):
@@ -54,42 +56,53 @@ def bucket_offsets(counts: DataFrame, bucket: str, group: int = 1 << 12) -> Data
     return own.join(sums, "run").select(bucket, (F.col("base") + F.col("own")).alias("offset"))
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows with ``shard`` and ``slot``; not yet written.
+def shuffle_into_buckets(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str, int]:
+    """All rows dealt to buckets and shuffled in them, with the names of the columns of the bucket and of the place in it, and the number of buckets.
 
-    Rows are written with a number first: buckets are hashes of it together with id and text, so neither null
-    nor repeated ids, nor rows repeated as a whole, gather in one bucket.
+    A bucket is a hash of the row's number and id, so neither null nor repeated ids, nor rows repeated as a whole,
+    gather in one. Rows are read once for their sizes and moved once.
     """
-    docs = docs.drop("shard", "slot")
     names = docs.columns
-    row, bucket, offset = free_names(docs, "row", "bucket", "offset")
-    rows = numbered(docs, row, "numbered-documents")
-    total, n = rows.agg(F.sum(sizes(text_col)), F.count("*")).first()
-    buckets = max(1, -(-(total or 0) // bucket_bytes))
-    own = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(row)), F.lit(buckets))
-    counts = rows.groupBy(own.alias(bucket)).agg(F.count("*").alias("count"))
-    each, extra = divmod(n, shards)
-    firsts = np.array([k * each + min(k, extra) for k in range(shards)])
+    row, bucket, place = free_names(docs, "row", "bucket", "place")
+    total = docs.agg(F.sum(sizes(text_col))).first()[0] or 0
+    buckets = max(1, -(-total // bucket_bytes))
+    dealt = docs.withColumn(row, F.monotonically_increasing_id())
+    dealt = dealt.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(row)), F.lit(buckets)))
     order = [(names.index(id_col), "ascending"), (names.index(text_col), "ascending"), (len(names), "ascending")]
 
     def shuffled(group: pa.Table) -> pa.Table:
-        number, before = (group.column(k)[0].as_py() for k in (len(names) + 1, len(names) + 2))
+        number = group.column(len(names) + 1)[0].as_py()
         plain = group.rename_columns([str(k) for k in range(group.num_columns)])
         plain = plain.sort_by([(str(k), way) for k, way in order]).take(pa.array(fisher_yates(len(plain), seed + number)))
-        place = before + np.arange(len(plain))
-        shard = np.searchsorted(firsts, place, "right") - 1
-        columns = [*plain.columns[: len(names)], pa.array(shard, pa.int32()), pa.array(place - firsts[shard])]
-        return pa.Table.from_arrays(columns, names=[*names, "shard", "slot"])
+        columns = [*plain.columns[: len(names)], plain.columns[-1], pa.array(np.arange(len(plain)))]
+        return pa.Table.from_arrays(columns, names=[*names, bucket, place])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", shard int, slot long"
-    # A task holds one bucket at a time and reads a few. With fewer tasks than Spark's own number, the join would deal again.
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{bucket}` long, `{place}` long"
+    # A task holds one bucket at a time and reads a few.
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // TASK_BUCKETS))
-    offsets = bucket_offsets(counts, bucket).withColumnRenamed("offset", offset)
-    # The join and the groups both find the rows where this one exchange has put them.
-    dealt = rows.withColumn(bucket, own).repartition(tasks, bucket).join(offsets.hint("merge"), bucket).select(*[F.col(f"`{c}`") for c in names], row, bucket, offset)
-    return dealt.groupBy(bucket).applyInArrow(shuffled, schema)
+    dealt = dealt.select(*[F.col(f"`{c}`") for c in names], row, bucket).repartition(tasks, bucket)
+    return dealt.groupBy(bucket).applyInArrow(shuffled, schema), bucket, place, buckets
 
 
 def write_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards (rows of a file in slot order) to the shared folder and read them back."""
-    return staged(shuffle_into_shards(docs, shards, seed, bucket_bytes, id_col, text_col).sortWithinPartitions("shard", "slot"), "shards", "shard")
+    """Write the shuffled buckets to the shared folder; returns the written rows with ``shard`` and ``slot``.
+
+    A shard is the k-th run of buckets, cut to equal counts: its rows stand one after another in the files of its
+    buckets, in slot order.
+    """
+    docs = docs.drop("shard", "slot")
+    made, bucket, place, buckets = shuffle_into_buckets(docs, seed, bucket_bytes, id_col, text_col)
+    written = staged(made, "shuffled-buckets")
+    counts = written.groupBy(bucket).agg(F.count("*").alias("count"))
+    offset, = free_names(written, "offset")
+    offsets = bucket_offsets(counts, bucket).withColumnRenamed("offset", offset)
+    # 16 bytes a bucket; beyond the limit the join moves the rows.
+    placed = written.join(F.broadcast(offsets) if buckets <= BROADCAST_BUCKETS else offsets, bucket)
+    n = written.count()
+    each, extra = divmod(n, shards)
+    at = F.col(offset) + F.col(place)
+    wide = extra * (each + 1)  # rows in shards with one row more
+    shard = F.when(at < wide, F.floor(at / (each + 1))).otherwise(extra + F.floor((at - wide) / max(each, 1)))
+    slot = at - F.when(at < wide, F.col("shard") * (each + 1)).otherwise(wide + (F.col("shard") - extra) * each)
+    placed = placed.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long"))
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
