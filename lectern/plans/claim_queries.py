@@ -9,7 +9,7 @@ from lectern.operators import claims as C
 from lectern.operators import classify as K
 from lectern.operators import nlp
 from lectern.plans import sql as Q
-from lectern.plans.nlp_queries import _SCORES, LEXICON_SQL, TERMS, annotated
+from lectern.plans.nlp_queries import _SCORES, LEXICON_SQL, TERMS, annotated, _ORDERED, rounded_scores
 from lectern.plans.registry import query
 from lectern.sources import tables as S
 
@@ -56,14 +56,17 @@ def claims_method(spark, sf):
     return _rows(annotated(spark, sf), C.method_claims(F.col("sentences"), SIGNALS["method"]))
 
 
-@query("longest_entities", f"{_HITS} SELECT doc_id, sent_no, max(length(term)) AS longest FROM hits GROUP BY 1, 2")
+@query(
+    "longest_entities",
+    f"""WITH {Q.sentences()}, {_ORDERED}, r AS (SELECT doc_id, sent_no, term, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY length(term) DESC, place) AS rk FROM sentences JOIN ordered
+  ON regexp_matches(lower(sentence), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')) SELECT doc_id, sent_no, string_agg(term, '|' ORDER BY rk) AS longest FROM r WHERE rk <= 2 GROUP BY 1, 2""",
+)
 def longest_entities(spark, sf):
+    """The two longest terms of each sentence."""
     rows = annotated(spark, sf).select("doc_id", F.explode("sentences").alias("s"))
     lexical = F.filter("s.entities", lambda e: ~e["type"].isin("NUMBER", "ACRONYM"))
-    best = F.get(C.longest_entities(lexical, 1), F.lit(0))["text"]
-    return rows.select("doc_id", F.col("s.no").alias("sent_no"), F.char_length(best).cast("bigint").alias("longest")).filter(
-        "longest is not null"
-    )
+    best = F.transform(C.longest_entities(lexical, 2), lambda e: e["text"])
+    return rows.select("doc_id", F.col("s.no").alias("sent_no"), F.array_join(best, "|").alias("longest")).filter("longest <> ''")
 
 
 @query("claims_tool", f"{_HITS} SELECT doc_id, sent_no, term AS object, CAST(0.88 AS DOUBLE) AS confidence FROM hits WHERE type = 'TOOL'")
@@ -124,7 +127,7 @@ def claims_result(spark, sf):
 @query(
     "claims_signal",
     f"""WITH {Q.sentences()} """ + " UNION ALL ".join(
-        f"SELECT doc_id, sent_no, '{k}' AS type, length(sentence) AS size FROM sentences WHERE {_has(SIGNALS[k])}"
+        f"SELECT doc_id, sent_no, '{k}' AS type, sentence AS evidence FROM sentences WHERE {_has(SIGNALS[k])}"
         for k in ("contribution", "limitation", "future_work")
     ),
 )
@@ -132,7 +135,7 @@ def claims_signal(spark, sf):
     docs = annotated(spark, sf)
     lists = F.concat(*[C.signal_claims(F.col("sentences"), k, SIGNALS[k]) for k in ("contribution", "limitation", "future_work")])
     rows = docs.select("doc_id", F.explode(lists).alias("c"))
-    return rows.select("doc_id", "c.sent_no", "c.type", F.char_length("c.evidence").cast("bigint").alias("size"))
+    return rows.select("doc_id", "c.sent_no", "c.type", "c.evidence")
 
 
 @query(
@@ -145,23 +148,20 @@ def claims_definition(spark, sf):
     return _rows(annotated(spark, sf), C.definition_claims(F.col("sentences"), DEFINITION))
 
 
-@query(
-    "claims_problem",
-    f"""WITH {Q.sentences()}, {Q.TOKENS}, {_SCORES},
-f AS (SELECT s.doc_id, s.sent_no, s.sentence, round(c.score, 9) AS score, {_has(SIGNALS['problem'])} AS sig FROM sentences s JOIN scores c USING (doc_id, sent_no)),
-m AS (SELECT doc_id, bool_or(sig) AS any_sig, max(CASE WHEN sig THEN score END) AS best FROM f GROUP BY 1)
-SELECT doc_id, CASE WHEN any_sig THEN CAST(0.86 AS DOUBLE) ELSE 0.62 END AS confidence, round(best + 1e-9, 6) AS score FROM m""",
-)
-def claims_problem(spark, sf):
-    """Confidence and score of each document's problem sentence."""
-    docs = nlp.with_scores(annotated(spark, sf))
+_PICKED = f"""f AS (SELECT s.doc_id, s.sent_no, s.sentence, round(c.score + 1e-12, 9) AS score, {_has(SIGNALS['problem'])} AS sig FROM sentences s JOIN scores c USING (doc_id, sent_no)),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sig DESC, CASE WHEN sig THEN score ELSE 0 END DESC, sent_no) AS rk FROM f)"""
+
+
+def _problems(spark, sf):
+    docs = rounded_scores(nlp.with_scores(annotated(spark, sf)))
     docs = docs.withColumn("sentences", F.transform("sentences", lambda s: s.withField("role", F.lit("background"))))
-    picked = docs.select("doc_id", "sentences", F.explode(C.problem_claims(F.col("sentences"), SIGNALS["problem"])).alias("c"))
-    score = F.get("sentences", F.col("c.sent_no"))["score"]
-    return picked.select(
-        "doc_id", F.round("c.confidence", 6).alias("confidence"),
-        F.when(F.col("c.confidence") > 0.8, F.round(score + 1e-9, 6)).alias("score"),
-    )
+    return docs.select("doc_id", "sentences", F.explode(C.problem_claims(F.col("sentences"), SIGNALS["problem"])).alias("c"))
+
+
+@query("claims_problem", f"WITH {Q.sentences()}, {Q.TOKENS}, {_SCORES}, {_PICKED} SELECT doc_id, sent_no, sentence AS object, CASE WHEN sig THEN CAST(0.86 AS DOUBLE) ELSE 0.62 END AS confidence FROM m WHERE rk = 1")
+def claims_problem(spark, sf):
+    """Each document's problem sentence as a claim."""
+    return _problems(spark, sf).select("doc_id", "c.sent_no", "c.object", F.round("c.confidence", 6).alias("confidence"))
 
 
 def extracted(spark, sf):
@@ -295,10 +295,12 @@ def structural_number(spark, sf):
 
 @query(
     "best_problem_sentence",
-    f"""WITH {Q.sentences()}, f AS (SELECT *, {_has(SIGNALS['problem'])} AS sig FROM sentences) SELECT doc_id, count(*) AS scoped, count_if(sig) AS flagged FROM f GROUP BY 1""",
+    f"""WITH {Q.sentences()}, {Q.TOKENS}, {_SCORES}, {_PICKED}, n AS (SELECT doc_id, count(*) AS scoped, count_if(sig) AS flagged FROM f GROUP BY 1)
+SELECT doc_id, scoped, flagged, sentence, CASE WHEN sig THEN round(score, 6) END AS score FROM m JOIN n USING (doc_id) WHERE rk = 1""",
 )
 def best_problem_sentence(spark, sf):
-    """Scope and flagged counts the choice of the problem sentence rests on."""
-    docs = S.documents(spark, sf).select("doc_id", T.sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
-    flagged = F.filter("s", lambda t: T.contains_signal(t, SIGNALS["problem"]))
-    return docs.select("doc_id", F.size("s").cast("bigint").alias("scoped"), F.size(flagged).cast("bigint").alias("flagged"))
+    """The chosen sentence with its score, and how many were in scope and flagged."""
+    rows = _problems(spark, sf)
+    flagged = F.filter("sentences", lambda s: T.contains_signal(s["text"], SIGNALS["problem"]))
+    score = F.round(F.get("sentences", F.col("c.sent_no"))["score"], 6)
+    return rows.select("doc_id", F.size("sentences").cast("bigint").alias("scoped"), F.size(flagged).cast("bigint").alias("flagged"), F.col("c.object").alias("sentence"), F.when(F.col("c.confidence") > 0.8, score).alias("score"))

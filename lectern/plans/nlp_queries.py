@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.lexicon import term_rows
 from lectern.functions.arrays import let
 from lectern.operators import nlp
 from lectern.plans import sql as Q
@@ -93,22 +94,25 @@ _BAD_PHRASE = f"(length(phrase) < 4 OR regexp_matches(phrase, '{T.NUMBER}') OR r
 _RANK_PHRASES = """pr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(phrase) DESC, f) AS rk FROM pc)"""
 
 
+_ORDERED = "ordered AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(term_rows(TERMS))) + ") v(place, type, term))"
+
+
 @query(
     "phrase_counts",
-    f"""{_BASE}, {_GRAMS}, {LEXICON_SQL}, ent AS (
-  SELECT s.doc_id, s.sent_no, -1 AS size, x.term AS phrase, x.type FROM sentences s JOIN lexicon x
+    f"""{_BASE}, {_GRAMS}, {_ORDERED}, ent AS (
+  SELECT s.doc_id, s.sent_no, -1 AS size, x.term AS phrase, x.place FROM sentences s JOIN ordered x
     ON regexp_matches(lower(sentence), '(^|[^a-z0-9])' || x.term || '($|[^a-z0-9])') WHERE x.type <> 'METRIC'),
-shaped AS (SELECT DISTINCT doc_id, sent_no, low AS phrase FROM tokens WHERE regexp_matches(word, '{T.ACRONYM}')),
+shaped AS (SELECT doc_id, sent_no, low AS phrase, min(tok_no) AS place FROM tokens WHERE regexp_matches(word, '{T.ACRONYM}') GROUP BY ALL),
 w AS (SELECT doc_id, sent_no, size, c_no, phrase, 1 AS weight FROM kept
-  UNION ALL SELECT doc_id, sent_no, size, CASE type WHEN 'METHOD' THEN 1 WHEN 'DATASET' THEN 2 WHEN 'TOOL' THEN 3 ELSE 4 END * 100 - length(phrase), phrase, 4 FROM ent
-  UNION ALL SELECT doc_id, sent_no, 0, 0, phrase, 4 FROM shaped),
+  UNION ALL SELECT doc_id, sent_no, size, place, phrase, 4 FROM ent
+  UNION ALL SELECT doc_id, sent_no, 0, place, phrase, 4 FROM shaped),
 pc AS (SELECT doc_id, phrase, sum(weight) AS n, min(row(sent_no, size, c_no)) AS f FROM w WHERE NOT {_BAD_PHRASE} GROUP BY 1, 2 HAVING sum(weight) >= 2),
-{_RANK_PHRASES} SELECT doc_id, n, CAST(length(phrase) AS INTEGER) AS size, count(*) AS phrases FROM pr WHERE rk <= 30 GROUP BY ALL""".replace("SELECT doc_id, n,", "SELECT doc_id, CAST(n AS INTEGER) AS n,"),
+{_RANK_PHRASES} SELECT doc_id, CAST(rk AS INTEGER) AS rank, phrase, CAST(n AS INTEGER) AS n FROM pr WHERE rk <= 30""",
 )
 def phrase_counts(spark, sf):
-    """Weights and lengths of the thirty key phrases of each document (ties are interchangeable)."""
-    docs = nlp.with_key_phrases(sentence_docs(spark, sf), TERMS).select("doc_id", F.explode("phrases").alias("p"))
-    return docs.groupBy("doc_id", "p.n", F.char_length("p.value").alias("size")).agg(F.count("*").alias("phrases"))
+    """The thirty key phrases of each document with their weights."""
+    docs = nlp.with_key_phrases(sentence_docs(spark, sf), TERMS).select("doc_id", F.posexplode("phrases").alias("i", "p"))
+    return docs.select("doc_id", (F.col("i") + 1).alias("rank"), F.col("p.value").alias("phrase"), "p.n")
 
 
 @query(
@@ -152,18 +156,20 @@ def sentence_similarity_join(spark, sf):
     return docs.select("doc_id", F.col("s.no").alias("sent_no"), F.round(F.col("s.score") + 1e-9, 6).alias("score"))
 
 
+def rounded_scores(docs):
+    """Scores to nine places, so that sums in another order rank alike."""
+    return docs.withColumn("sentences", F.transform("sentences", lambda s: s.withField("score", F.round(s["score"] + 1e-12, 9))))
+
+
 @query(
     "top_sentences",
-    f"""WITH {Q.sentences()}, {Q.TOKENS}, {_SCORES}, r AS (SELECT doc_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_no) AS rk FROM scores)
-SELECT doc_id, CAST(rk AS INTEGER) AS rank, round(score + 1e-9, 6) AS score FROM r WHERE rk <= 8""",
+    f"""WITH {Q.sentences()}, {Q.TOKENS}, {_SCORES}, r AS (SELECT doc_id, sent_no, row_number() OVER (PARTITION BY doc_id ORDER BY round(score + 1e-12, 9) DESC, sent_no) AS rk FROM scores)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) AS INTEGER) AS place, sent_no, sentence FROM r JOIN sentences USING (doc_id, sent_no) WHERE rk <= 8""",
 )
 def top_sentences(spark, sf):
-    """Scores of the eight best sentences (ties are interchangeable)."""
-    from lectern.functions.arrays import top_n
-
-    best = top_n(F.col("sentences"), lambda s: F.struct((-s["score"]).alias("a"), s["no"].alias("b")), 8)
-    docs = nlp.with_scores(sentence_docs(spark, sf)).select("doc_id", F.posexplode(best).alias("i", "s"))
-    return docs.select("doc_id", (F.col("i") + 1).alias("rank"), F.round(F.col("s.score") + 1e-9, 6).alias("score"))
+    """The eight best sentences in the order of the document."""
+    docs = rounded_scores(nlp.with_scores(sentence_docs(spark, sf))).select("doc_id", F.posexplode(nlp.top_sentences(F.col("sentences"))).alias("i", "s"))
+    return docs.select("doc_id", (F.col("i") + 1).alias("place"), F.col("s.no").alias("sent_no"), F.col("s.text").alias("sentence"))
 
 
 @query(

@@ -10,6 +10,7 @@ from lectern.plans import sql as Q
 from lectern.plans.registry import query
 from lectern.plans.text_queries import _BAD, _VISIBLE, _ratio_sql
 from lectern.sources import collections as C, ingest, tables as S
+from lectern.sources.guarded import Guard, guarded
 
 
 def joined(column):
@@ -143,25 +144,24 @@ def keyed_upsert(spark, sf):
 
 @query(
     "failed_upsert",
-    """WITH ok AS (SELECT d.doc_id AS note_id, 'complete' AS stage, CAST(NULL AS VARCHAR) AS failed_stage,
-    CAST(NULL AS VARCHAR) AS failed_reason, CAST(l.quality AS DOUBLE) AS confidence
-  FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 0),
-bad AS (SELECT d.doc_id AS note_id, 'nlp' AS stage, 'nlp' AS failed_stage, 'flagged text' AS failed_reason, CAST(NULL AS DOUBLE) AS confidence
-  FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1)
-SELECT * FROM ok UNION ALL SELECT * FROM bad""",
+    """WITH g AS (SELECT doc_id, nullif(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'), '') AS body, regexp_extract(text, '[0-9]+') AS digits, text FROM documents),
+n AS (SELECT *, TRY_CAST(digits AS INTEGER) AS number, regexp_matches(text, '[\x01-\x08\x0E-\x1F]') AS dirty FROM g),
+s AS (SELECT doc_id, CASE WHEN body IS NULL THEN 'text' WHEN dirty THEN 'decoding' WHEN number IS NULL THEN 'number' WHEN number > 100000 THEN 'range' END AS stage, digits, number FROM n)
+SELECT doc_id AS note_id, coalesce(stage, 'complete') AS stage, stage AS failed_stage, CASE stage WHEN 'text' THEN 'no readable text' WHEN 'decoding' THEN 'control characters' WHEN 'number' THEN CASE WHEN digits = '' THEN 'no number' ELSE 'number too long: ' || digits END
+ WHEN 'range' THEN 'out of range: ' || number END AS failed_reason, CASE WHEN stage IS NULL THEN number / 100000.0 END::DOUBLE AS confidence FROM s""",
 )
 def failed_upsert(spark, sf):
-    docs = S.table(spark, sf, "documents").select("doc_id").join(S.table(spark, sf, "labels"), "doc_id")
-    good = docs.filter(F.col("toxic") == 0).select(
-        F.col("doc_id").alias("note_id"),
-        F.lit("complete").alias("stage"),
-        F.lit(None).cast("string").alias("failed_stage"),
-        F.lit(None).cast("string").alias("failed_reason"),
-        F.col("quality").cast("double").alias("confidence"),
-    )
-    failures = docs.filter(F.col("toxic") == 1).select(
-        F.col("doc_id").alias("note_id"), F.lit("nlp").alias("at"), F.lit("flagged text").alias("why")
-    )
+    """Documents by what their own text lets a stage do: readable, clean, with a number that fits and is in range."""
+    digits = F.regexp_extract("text", "[0-9]+", 0)
+    guards = [
+        Guard("text_", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")), "no readable text"),
+        Guard("decoding", F.when(~F.col("text_").rlike(r"[\x01-\x08\x0E-\x1F]"), F.col("text_")), "control characters"),
+        Guard("number", digits.try_cast("int"), F.when(digits == "", "no number").otherwise(F.concat(F.lit("number too long: "), digits))),
+        Guard("range", F.when(F.col("number") <= 100000, F.col("number") / 100000), lambda: F.concat(F.lit("out of range: "), F.col("number").cast("string"))),
+    ]
+    seen = guarded(S.documents(spark, sf).select("doc_id", "text"), guards).withColumn("failed_stage", F.when(F.col("failed_stage") == "text_", "text").otherwise(F.col("failed_stage")))
+    good = seen.filter(F.col("failed_stage").isNull()).select(F.col("doc_id").alias("note_id"), F.lit("complete").alias("stage"), "failed_stage", "failed_reason", F.col("range").alias("confidence"))
+    failures = seen.filter(F.col("failed_stage").isNotNull()).select(F.col("doc_id").alias("note_id"), F.col("failed_stage").alias("at"), F.col("failed_reason").alias("why"))
     return good.unionByName(C.failed_rows(failures, good, "note_id", "at", "why"))
 
 
