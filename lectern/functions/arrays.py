@@ -83,19 +83,6 @@ def first_where(items: Column, test: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(items, test), F.lit(0))
 
 
-def sum_of(items: Column, value: Callable[[Column], Column]) -> Column:
-    """Sum of ``value`` over the elements as a double."""
-    return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + value(x).cast("double"))
-
-
-def contains_any(text: Column, phrases) -> Column:
-    """True when any of the plain phrases occurs in ``text`` (already lower-cased)."""
-    test = F.lit(False)
-    for phrase in phrases:
-        test = test | F.contains(text, F.lit(phrase))
-    return test
-
-
 def grouped(items: Column, key: Callable[[Column], Column]) -> Column:
     """array<struct<key, first, items>>: elements by key in first-seen order, each group in order."""
     def runs(s: Column, source: Column) -> Column:

@@ -322,8 +322,9 @@ def clean_documents(docs: DataFrame, references: str = REFERENCES) -> DataFrame:
         .withColumn("_lines", page_lines(F.col("_pages"), references))
     )
 
-    def page(p: Column, every: Column) -> Column:
-        mine = F.filter(every, lambda l: l["page_no"] == p["page_no"])
+    def page(p: Column, k: Column, every: Column, cuts: Column) -> Column:
+        # Lines stand in order of pages, so a page's own are one slice.
+        mine = F.slice(every, F.get(cuts, k) + 1, F.get(cuts, k + 1) - F.get(cuts, k))
 
         def build(lines: Column) -> Column:
             shown = F.array_join(
@@ -342,9 +343,10 @@ def clean_documents(docs: DataFrame, references: str = REFERENCES) -> DataFrame:
 
         return let(mine, build)
 
-    df = df.withColumn(
-        "_built", let(F.col("_lines"), lambda every: F.transform("_pages", lambda p: page(p, every)))
-    )
+    sizes = F.transform("_pages", lambda p: F.size(F.split(T.unix_newlines(p["raw_text"]), "\n")))
+    cuts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    both = let(F.struct(F.col("_lines").alias("lines"), cuts.alias("cuts")), lambda x: F.transform("_pages", lambda p, k: page(p, k, x["lines"], x["cuts"])))
+    df = df.withColumn("_built", both)
     # Pages per document are few, so running offsets fold inside the row.
     placed = F.aggregate(
         F.transform(

@@ -64,10 +64,6 @@ def question_error(q: Column) -> Column:
     )
 
 
-def quiz_is_valid(questions: Column) -> Column:
-    return F.size(questions).between(1, MAX_QUESTIONS) & F.forall(questions, lambda q: question_error(q).isNull())
-
-
 def knowledge_errors() -> Column:
     """Rules of a stored result row (stage, confidence, has_core, has_facts, has_graph, has_gaps)."""
     done = F.col("stage") == "complete"

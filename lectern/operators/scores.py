@@ -90,10 +90,6 @@ def coverage_report(check_list: Column, components: dict[str, Column], text_pass
     return F.struct(score.alias("score"), status.alias("status"), missing.alias("missing"), structure.alias("structure"))
 
 
-def study_concept_quality(n: Column, mean_confidence: Column) -> Column:
-    return F.when(n > 0, clamp_unit(mean_confidence * 0.72 + F.least(n / 12, F.lit(1.0)) * 0.28)).otherwise(0.0)
-
-
 def calibrated(overall: Column, quality: Column, status: Column, text_passed: Column) -> Column:
     """Confidence blended with quality and capped by status."""
     blend = clamp_unit(overall * 0.58 + quality * 0.42)

@@ -23,18 +23,25 @@ def heading_candidates(text: Column) -> Column:
     def find(lines: Column) -> Column:
         shaped = F.transform(lines, lambda l, i: F.struct(i.alias("i"), H.heading_of(l).alias("h")))
         # Number of the last line that is not blank: a heading after it heads nothing.
-        last = F.array_max(F.transform(lines, lambda l, i: F.when(T.strip(l) != "", i)))
+        trimmed = F.regexp_replace(text, T.WS + "+$", "")
+        last = F.char_length(trimmed) - F.char_length(F.replace(trimmed, F.lit("\n"), F.lit("")))
         hits = F.filter(shaped, lambda s: s["h"].isNotNull())
 
-        def place(s: Column) -> Column:
-            before = F.aggregate(F.slice(lines, 1, s["i"]), F.lit(0), lambda acc, l: acc + F.char_length(l) + 1)
-            return let(
-                before,
-                lambda at: F.struct(
-                    s["h"]["line"].alias("line"), s["h"]["heading"].alias("heading"), s["h"]["number"].alias("number"),
-                    s["h"]["level"].alias("level"), at.alias("start"),
-                    (at + F.char_length(s["h"]["line"]) + 1).alias("body"), (s["i"] < s["last"]).alias("followed"),
-                ),
+        def starts_of(hits: Column) -> Column:
+            """Where each heading begins: from one heading to the next, so every line is measured once."""
+
+            def step(acc: Column, s: Column) -> Column:
+                way = F.aggregate(F.slice(lines, acc["i"] + 1, s["i"] - acc["i"]), F.lit(0), lambda n, l: n + F.char_length(l) + 1)
+                return let(acc["at"] + way, lambda at: F.struct(s["i"].alias("i"), at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
+
+            begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+            return F.aggregate(hits, begin, step, lambda acc: acc["out"])
+
+        def place(s: Column, at: Column, last: Column) -> Column:
+            return F.struct(
+                s["h"]["line"].alias("line"), s["h"]["heading"].alias("heading"), s["h"]["number"].alias("number"),
+                s["h"]["level"].alias("level"), at.alias("start"),
+                (at + F.char_length(s["h"]["line"]) + 1).alias("body"), (s["i"] < last).alias("followed"),
             )
 
         def genuine(c: Column) -> Column:
@@ -43,8 +50,8 @@ def heading_candidates(text: Column) -> Column:
             )
 
         def placed(x: Column) -> Column:
-            numbered = F.transform(x["hits"], lambda s: F.struct(s["i"].alias("i"), s["h"].alias("h"), x["last"].alias("last")))
-            return F.filter(F.transform(numbered, place), genuine)
+            found = let(starts_of(x["hits"]), lambda at: F.transform(x["hits"], lambda s, k: place(s, F.get(at, k), x["last"])))
+            return F.filter(found, genuine)
 
         return let(F.struct(hits.alias("hits"), last.alias("last")), placed)
 
