@@ -193,8 +193,8 @@ def validated(spark, sf):
     return docs.withColumn("claims", C.validate_claims(falsified))
 
 
-@query("validate_claims")
-def validate_claims(spark, sf):
+@query("validate_claims_texts")
+def validate_claims_texts(spark, sf):
     rows = validated(spark, sf).select("doc_id", F.explode("claims").alias("c"))
     return rows.select("doc_id", "c.id", "c.status", "c.is_duplicate", F.array_join("c.messages", "|").alias("messages"), "c.confidence")
 
@@ -210,29 +210,107 @@ def with_states(spark, sf):
     return docs.withColumn("states", C.field_states(expected_array(K.EXPECTED_FIELDS["research_paper"]), F.col("valid")))
 
 
-@query("field_states")
-def field_states(spark, sf):
+@query("field_states_texts")
+def field_states_texts(spark, sf):
     return with_states(spark, sf).select("doc_id", F.inline("states"))
 
 
-@query("validation_report")
-def validation_report(spark, sf):
+@query("validation_report_texts")
+def validation_report_texts(spark, sf):
     docs = with_states(spark, sf)
     return docs.select("doc_id", C.validation_report(F.col("claims"), F.col("states"), F.lit(0)).alias("r")).select("doc_id", "r.*")
 
 
-@query("headline_pivot")
-def headline_pivot(spark, sf):
+@query("headline_pivot_texts")
+def headline_pivot_texts(spark, sf):
     docs = with_states(spark, sf).withColumn("h", C.headline(F.col("valid")))
     return docs.select("doc_id", "h.method", "h.dataset", "h.problem", "h.limitations", "h.future_work", F.array_join("h.contributions", "|").alias("contributions"))
 
 
-@query("key_points")
-def key_points(spark, sf):
+@query("key_points_texts")
+def key_points_texts(spark, sf):
     docs = with_states(spark, sf)
     return docs.select("doc_id", F.posexplode(C.key_points(F.col("valid"))).alias("pos", "k")).select("doc_id", "pos", "k.label", "k.value")
 
 
+# ---- the same checks on claims made of line items ------------------------------------------------
+
+_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+
+
+def line_claims(spark, sf):
+    """Every order's lines as claims: some without evidence, with another number or another metric than it, or repeated."""
+    lines = S.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(*_ORDER))).alias("lines"))
+
+    def one(x, i):
+        result = x["l_returnflag"] == "N"
+        kind = F.when(x["l_returnflag"] == "A", "method").when(result, "result").when(x["l_suppkey"] % 2 == 0, "contribution").otherwise("limitation")
+        shown = (x["l_quantity"] + F.when(x["l_partkey"] % 3 == 0, 1).otherwise(0)).cast("int").cast("string")
+        evidence = F.when(x["l_suppkey"] % 5 == 0, "").when(result, F.concat(F.lit("An accuracy of "), shown, F.lit("% was measured"))).otherwise("Said in words")
+        sentence = F.struct(i.alias("no"), evidence.alias("text"), F.lit("Results").alias("section"), F.lit(1).alias("page"))
+        metric = F.when(result, F.when(x["l_partkey"] % 2 == 0, "accuracy").otherwise("recall"))
+        made = C.claim(sentence, kind, "Document", "states", F.concat(F.lit("Part "), (x["l_partkey"] % 20).cast("string")), 0.8, metric, F.when(result, x["l_quantity"]))
+        return made.withField("claim_no", i + 1).withField("id", F.concat(F.lit("claim-"), kind, F.lit("-"), (i + 1).cast("string")))
+
+    docs = lines.select("doc_id", C.validate_claims(F.transform("lines", one)).alias("claims")).withColumn("valid", F.filter("claims", C.is_valid))
+    return docs.withColumn("states", C.field_states(expected_array(K.EXPECTED_FIELDS["research_paper"]), F.col("valid")))
+
+
+_LINES = f"""l AS (SELECT *, l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS claim_no FROM lineitem),
+c AS (SELECT doc_id, claim_no, CASE WHEN l_returnflag = 'A' THEN 'method' WHEN l_returnflag = 'N' THEN 'result' WHEN l_suppkey % 2 = 0 THEN 'contribution' ELSE 'limitation' END AS type, 'Part ' || l_partkey % 20 AS object,
+ CASE WHEN l_returnflag = 'N' THEN CASE WHEN l_partkey % 2 = 0 THEN 'accuracy' ELSE 'recall' END END AS metric, CASE WHEN l_returnflag = 'N' THEN l_quantity END AS value, l_suppkey % 5 = 0 AS bare, l_partkey % 3 = 0 AS other FROM l),
+e AS (SELECT *, value IS NOT NULL AND (bare OR other) AS wrong_number, metric IS NOT NULL AND (bare OR metric = 'recall') AS wrong_metric, row_number() OVER (PARTITION BY doc_id, type, object ORDER BY claim_no) > 1 AS dup FROM c),
+j AS (SELECT *, bare OR wrong_number OR wrong_metric AS bad, bare::INT + wrong_number::INT + wrong_metric::INT AS errors FROM e),
+va AS (SELECT * FROM j WHERE NOT bad AND NOT dup),
+ef AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{f}', {str(r).lower()})" for i, (f, r, _) in enumerate(K.EXPECTED_FIELDS['research_paper']))}) v(place, field, required)),
+st AS (SELECT d.doc_id, field, required, CASE WHEN EXISTS (SELECT 1 FROM va WHERE va.doc_id = d.doc_id AND va.type = ef.field) THEN 'present' ELSE 'missing' END AS state FROM (SELECT DISTINCT doc_id FROM c) d, ef)"""
+
+
+@query("validate_claims", f"WITH {_LINES} SELECT doc_id, 'claim-' || type || '-' || claim_no AS id, CASE WHEN bad THEN 'rejected' ELSE 'valid' END AS status, dup AS is_duplicate, concat_ws('|', CASE WHEN bare THEN 'missing_evidence' END, CASE WHEN wrong_number THEN 'unsupported_number' END, CASE WHEN wrong_metric THEN 'metric_mismatch' END) AS messages, CASE WHEN bad THEN 0.35 ELSE 0.8 END::DOUBLE AS confidence FROM j")
+def validate_claims(spark, sf):
+    rows = line_claims(spark, sf).select("doc_id", F.explode("claims").alias("c"))
+    return rows.select("doc_id", "c.id", "c.status", "c.is_duplicate", F.array_join("c.messages", "|").alias("messages"), "c.confidence")
+
+
+@query("field_states", f"WITH {_LINES} SELECT doc_id, field, required, state FROM st")
+def field_states(spark, sf):
+    return line_claims(spark, sf).select("doc_id", F.inline("states"))
+
+
+@query(
+    "validation_report",
+    f"""WITH {_LINES}, v AS (SELECT doc_id, count(*) AS valid, CASE WHEN count(DISTINCT value) FILTER (type = 'result' AND metric = 'accuracy') > 1 THEN 1 ELSE 0 END AS clash FROM va GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS missing FROM st WHERE required AND state = 'missing' GROUP BY 1), a AS (SELECT doc_id, count(*) AS n, sum(errors) AS errors FROM j GROUP BY 1),
+r AS (SELECT doc_id, coalesce(valid, 0) AS valid, n, errors, coalesce(missing, 0) AS missing, coalesce(clash, 0) AS clash FROM a LEFT JOIN v USING (doc_id) LEFT JOIN m USING (doc_id))
+SELECT doc_id, CAST(valid AS INTEGER) AS valid, CAST(n - valid AS INTEGER) AS rejected, valid / CAST(n AS DOUBLE) AS grounded_ratio, CAST(1 AS DOUBLE) AS numeric_ratio, 1 - clash / CAST(greatest(1, valid) AS DOUBLE) AS consistency,
+ CAST(errors AS INTEGER) AS claim_errors, CAST(missing AS INTEGER) AS missing_required, clash AS contradictions, 0 AS invalid_concepts, valid > 0 AND errors + missing = 0 AS passed FROM r""",
+)
+def validation_report(spark, sf):
+    docs = line_claims(spark, sf)
+    return docs.select("doc_id", C.validation_report(F.col("claims"), F.col("states"), F.lit(0)).alias("r")).select("doc_id", "r.*")
+
+
+@query(
+    "headline_pivot",
+    f"""WITH {_LINES} SELECT d.doc_id, arg_min(object, claim_no) FILTER (type = 'method') AS method, arg_min(object, claim_no) FILTER (type = 'limitation') AS limitations, arg_min(value, claim_no) FILTER (type = 'result' AND metric = 'accuracy') AS accuracy,
+ arg_min(metric, claim_no) FILTER (type = 'result') AS metric, coalesce(string_agg(object, '|' ORDER BY claim_no) FILTER (type = 'contribution'), '') AS contributions FROM (SELECT DISTINCT doc_id FROM c) d LEFT JOIN va USING (doc_id) GROUP BY 1""",
+)
+def headline_pivot(spark, sf):
+    docs = line_claims(spark, sf).withColumn("h", C.headline(F.col("valid")))
+    return docs.select("doc_id", "h.method", "h.limitations", "h.accuracy", "h.metric", F.array_join("h.contributions", "|").alias("contributions"))
+
+
+@query(
+    "key_points",
+    f"""WITH {_LINES}, q AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{lab}', {n})" for i, (k, lab, n) in enumerate(C.KEY_POINTS))}) v(place, type, label, quota)),
+r AS (SELECT doc_id, place, label, object AS value, claim_no, row_number() OVER (PARTITION BY doc_id, type ORDER BY claim_no) AS k, quota FROM va JOIN q USING (type))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, claim_no) - 1 AS INTEGER) AS pos, label, value FROM r WHERE k <= quota""",
+)
+def key_points(spark, sf):
+    docs = line_claims(spark, sf)
+    return docs.select("doc_id", F.posexplode(C.key_points(F.col("valid"))).alias("pos", "k")).select("doc_id", "pos", "k.label", "k.value")
+
+
 @query(
     "metric_contradiction",
     """SELECT l_orderkey AS doc_id, count(DISTINCT l_quantity) AS "values", CAST((count(DISTINCT l_quantity) > 1)::INT AS INTEGER) AS contradiction

@@ -459,8 +459,8 @@ def fact_evidence_join(spark, sf):
     return R.fact_evidence(answers, facts(spark, sf))
 
 
-@query("build_graph")
-def build_graph(spark, sf):
+@query("build_graph_texts")
+def build_graph_texts(spark, sf):
     """Edges of the claim and concept graph of every document."""
     n, e = _graph(spark, sf)
     return e.select("doc_id", "src", "type", "dst", F.round("weight", 6).alias("weight"))
@@ -519,8 +519,8 @@ def ancestor_chains(spark, sf):
     return O.ancestor_chains(relations(spark, sf))
 
 
-@query("build_graph_ontology", f"{_OG} SELECT doc_id, src, type, dst, weight FROM k")
-def build_graph_ontology(spark, sf):
+@query("build_graph", f"{_OG} SELECT doc_id, src, type, dst, weight FROM k")
+def build_graph(spark, sf):
     """Edges of every part's graph: claims, mentions, and what the ontology adds to a concept it knows."""
     _, e = ontology_graph(spark, sf)
     best = e.groupBy("doc_id", "src", "type", "dst").agg(F.min("weight").alias("weight"))
@@ -528,20 +528,20 @@ def build_graph_ontology(spark, sf):
 
 
 @query(
-    "graph_to_facts_ontology",
+    "graph_to_facts",
     f"""{_OG}, ft AS (SELECT DISTINCT doc_id, 'paper' AS functor, CAST(doc_id AS VARCHAR) AS args FROM (SELECT doc_id FROM cl UNION SELECT doc_id FROM rs)
  UNION SELECT doc_id, 'mentions', doc_id || ',' || substr(dst, 9) FROM k WHERE type = 'mentions'
  UNION SELECT doc_id, CASE WHEN type IN ('method', 'claim', 'paper') THEN 'concept_' || type ELSE type END, substr(src, 9) || ',' || substr(dst, 9) FROM k WHERE src LIKE 'concept:%' AND substr(src, 9) <> substr(dst, 9))
 SELECT doc_id, functor, args FROM ft""",
 )
-def graph_to_facts_ontology(spark, sf):
+def graph_to_facts(spark, sf):
     """Papers, mentions and concept relations of these graphs as facts."""
     n, e = ontology_graph(spark, sf)
     kept = e.filter((F.col("type") == "mentions") | F.col("src").startswith("concept:"))
     return G.graph_to_facts(n, kept).select("doc_id", "functor", F.array_join("args", ",").alias("args"))
 
 
-@query("graph_to_facts")
-def graph_to_facts(spark, sf):
+@query("graph_to_facts_texts")
+def graph_to_facts_texts(spark, sf):
     n, e = _graph(spark, sf)
     return G.graph_to_facts(n, e).select("doc_id", "functor", F.array_join("args", ",").alias("args"))
