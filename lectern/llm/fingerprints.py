@@ -8,11 +8,16 @@ range from the whole lexicon to less than one of its terms, and a place is fille
 leaves alone. A text that fills no place has the hash of all its terms of the lexicon in the first
 one or, if it has none there, the hash of all its terms.
 
-The lexicon is broadcast: at most (mean distinct terms of a text) / ``LEAST_SHARE`` terms can
-occur in that share of the texts, however many texts there are.
+Beside the places stands I-Match proper: one hash of all terms of the text in the lexicon. The number
+of levels follows from the lexicon alone, so fingerprints made with one written lexicon can be compared
+whichever tables they come from.
+
+At most (mean distinct terms of a text) / ``LEAST_SHARE`` terms can occur in that share of the texts,
+however many texts there are. A lexicon of up to ``BROADCAST_TERMS`` is broadcast, a larger one is joined.
 
 Defined results: a null text is an empty text; texts without terms have an empty fingerprint and
-are alike to each other only; texts of at most ``SHORT_TERMS`` terms use all their terms; rows
+are alike to each other only; texts of at most ``SHORT_TERMS`` terms use all their terms; a very long
+text has one array of its terms, and places in the finer levels; rows
 that repeat an id follow in the order of a hash of their text; an empty table gives no rows;
 further columns of the table are not read.
 """
@@ -29,6 +34,7 @@ SHORT_TERMS = 32
 SUBSETS = ((1, 1), (4, 4), (16, 12), (64, 12), (256, 12), (1024, 12))
 #: Terms of a text in one part, beyond which nearly any edit would change its hash.
 PLACE_TERMS = 3
+BROADCAST_TERMS = 1 << 22
 
 
 def terms(text: Column) -> Column:
@@ -136,15 +142,16 @@ def edited(n_chars: Column) -> Column:
     return F.concat(F.substring(F.col("text"), F.lit(1), (n_chars - quarter).cast("int")), F.substring(F.col("next_text"), F.lit(1), quarter))
 
 
-def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited form.
+def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """Fingerprints of every text and of its edited form, by the lexicon ``known`` (as ``lexicon`` makes it) or that of the texts themselves.
 
     Columns: doc_id, tie (hash of the text), nth (number of the row in its stretch), next_doc_id, next_tie, n_chars, edited_sha256,
-    places and edited_places (arrays of hashes).
+    lexicon_hash and edited_lexicon_hash (null without such terms), places and edited_places (arrays of hashes).
     """
     texts = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    known = staged(lexicon(texts, least, most), "lexicon")
-    levels = subsets(known.count())
+    known = known if known is not None else staged(lexicon(texts, least, most), "lexicon")
+    n_known = known.count()
+    levels = subsets(n_known)
     rows = with_next(texts).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited(F.col("n_chars")))
     keys = ["doc_id", "tie", "nth", "next_doc_id", "next_tie", "n_chars", "edited_sha256"]
     # Bytes while it travels.
@@ -163,12 +170,15 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     short = F.when(F.size("own") <= SHORT_TERMS, 1).otherwise(0) + F.when(F.size("other") <= SHORT_TERMS, 2).otherwise(0)
     sides = rows.select(*keys, short.alias("short"), F.explode(sides).alias("x")).select(*keys, "short", "x.side", F.explode("x.terms").alias("word"))
     words = sides.select(*keys, "side", "short", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"))
-    found = words.join(F.broadcast(known.withColumn("known", F.lit(3))), "term", "left")
+    marked = known.withColumn("known", F.lit(3))
+    found = words.join(F.broadcast(marked) if n_known <= BROADCAST_TERMS else marked, "term", "left")
     used = F.col("side").bitwiseAND(F.coalesce("known", "short"))
     kept = found.withColumn("used", used).where((F.col("used") > 0) | F.col("term").isNull())
     # Terms are grouped as 32-bit hashes, half the size of those that met the lexicon.
     of = [F.collect_list(F.when((F.col("used") == side) & F.col("term").isNotNull(), F.hash("term"))).alias(f"of{side}") for side in (1, 2, 3)]
     grouped = kept.groupBy(*keys).agg(*of).select(*keys, F.sort_array(F.concat("of1", "of3")).alias("own"), F.sort_array(F.concat("of2", "of3")).alias("other"))
+    for name, side in (("lexicon_hash", "own"), ("edited_lexicon_hash", "other")):
+        grouped = grouped.withColumn(name, F.when(F.size(side) > 0, F.lower(F.hex(F.xxhash64(side)))))
     made = with_fingerprints(grouped, {"places": ("own", "own_terms"), "edited_places": ("other", "other_terms")}, levels)
     return made.withColumn("edited_sha256", F.lower(F.hex("edited_sha256")))
 
@@ -181,6 +191,7 @@ def compare(table: DataFrame) -> DataFrame:
     return table.join(following, same).select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("places")).alias("fingerprint"), as_text(F.col("edited_places")).alias("edited_fingerprint"),
         likeness(F.col("places"), F.col("edited_places")).alias("near_edited"), likeness(F.col("places"), F.col("next_places")).alias("near_next"),
+        "lexicon_hash", "edited_lexicon_hash",
     )
 
 
