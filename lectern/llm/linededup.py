@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from lectern.functions.arrays import let
 from lectern.llm import setjoin, words
 from lectern.llm.setjoin import SHARE, WIDTH
 from lectern.llm.shared import free_names, staged
@@ -143,6 +144,16 @@ def removed_lines(texts: DataFrame, width: int = WIDTH, share: int = SHARE) -> D
     return gone.groupBy("key", "tie").agg(F.collect_set("line").alias("lines"))
 
 
+def _without(x: Column) -> Column:
+    """The text of ``parts`` without the lines numbered in ``gone`` (sorted): what stands between them, and behind the last."""
+
+    def between(ends: Column) -> Column:
+        before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(ends, k - 1))
+        return F.transform(ends, lambda end, k: F.slice(x["parts"], (before(k) + 2).cast("int"), (end - before(k) - 1).cast("int")))
+
+    return F.array_join(F.flatten(let(F.concat(x["gone"], F.array(F.size(x["parts"]).cast("long"))), between)), "\n")
+
+
 def dedup_lines(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns with the later similar lines taken out, plus ``n_lines`` (before) and ``n_removed``."""
     docs = docs.drop("n_lines", "n_removed")
@@ -154,11 +165,7 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_col:
     gone = staged(removed_lines(texts, width, share), "removed-lines").select(F.col("key").alias(key), F.col("tie").alias(tie), F.sort_array("lines").alias(lines))
     joined = docs.join(gone, (keyed["key"] == F.col(key)) & (keyed["tie"] == F.col(tie)), "left")
     parts = F.split(text, "\n")
-    # The lines between one removed line and the next, and those behind the last.
-    ends = F.concat(F.col(lines), F.array(F.size(parts).cast("long")))
-    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(ends, k - 1))
-    between = F.transform(ends, lambda end, k: F.slice(parts, (before(k) + 2).cast("int"), (end - before(k) - 1).cast("int")))
-    cleaned = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(F.flatten(between), "\n"))
+    cleaned = F.when(F.col(lines).isNull(), text).otherwise(let(F.struct(parts.alias("parts"), F.col(lines).alias("gone")), _without))
     columns = [cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
     return joined.select(*columns, F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size(lines), F.lit(0)).alias("n_removed"))
 
