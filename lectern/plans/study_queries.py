@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lectern.functions import drafts as D
 from lectern.functions import text as T
@@ -338,27 +338,42 @@ def validated_key_terms(spark, sf):
 # ---- grounding -----------------------------------------------------------------------------------
 
 
-def claim_drafts(spark, sf):
-    """Benchmark passages as draft claims, by number of the passage."""
-    bench = S.table(spark, sf, "benchmark")
-    flat = F.regexp_replace(F.regexp_replace("text", r'["\\]', ""), T.WS + "+", " ")
-    payload = F.concat(F.lit('```json\n{"claims":[{"type":"method","object":"passage '), F.col("item_id").cast("string"), F.lit('","evidenceText":"'), flat, F.lit('","confidence":0.95}]}\n```'))
-    return bench.select("item_id", payload.alias("payload"))
+_WORDED, _COUNTED = "[A-Za-z][A-Za-z ]{20,60}[A-Za-z]", "[A-Za-z]{3,} [0-9]{1,4}"
 
 
 def drafts_per_document(spark, sf):
-    items = claim_drafts(spark, sf)
-    docs = S.table(spark, sf, "documents").select("doc_id")
-    # A document drafts the passage of its own number, counted round; planted passages are found, the rest rejected.
-    numbers = F.broadcast(S.table(spark, sf, "benchmark").agg((F.max("item_id") + 1).alias("n")))
-    return docs.crossJoin(numbers).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id")).join(items, "item_id").select("doc_id", "payload")
+    """Four draft claims a document: a benchmark passage, and words of its own text without a number, without a metric, and with their number.
+
+    Passages are numbered by rank and dealt round, so every document has one; planted passages are found, the others rejected.
+    """
+    bench = S.table(spark, sf, "benchmark")
+    clean = F.regexp_replace(F.regexp_replace("text", r'["\\]', ""), T.WS + "+", " ")
+    ranked = bench.select("item_id", clean.alias("passage")).withColumn("place", F.row_number().over(Window.orderBy("item_id")) - 1)
+    total = F.broadcast(bench.agg(F.count("*").alias("n")))
+    docs = S.table(spark, sf, "documents").select("doc_id", "text").crossJoin(total).withColumn("place", F.col("doc_id") % F.col("n")).join(ranked, "place")
+    worded, counted = (F.regexp_extract("text", p, 0) for p in (_WORDED, _COUNTED))
+
+    def draft(kind, obj, evidence, number=None, metric=None):
+        return F.struct(
+            F.lit(kind).alias("type"), obj.alias("object"), evidence.alias("evidenceText"), F.lit(0.95).alias("confidence"),
+            (F.lit(None).cast("string") if number is None else number.cast("string")).try_cast("double").alias("numericValue"), F.lit(metric).cast("string").alias("metric"),
+        )
+
+    claims = F.array(
+        draft("method", F.concat(F.lit("passage "), F.col("item_id").cast("string")), F.col("passage")), draft("result", F.lit("number"), worded, F.col("doc_id") % 7),
+        draft("result", F.lit("metric"), worded, metric="accuracy"), draft("result", F.lit("counted"), counted, F.regexp_extract(counted, "[0-9]+$", 0)),
+    )
+    return docs.select("doc_id", F.concat(F.lit("```json\n"), F.to_json(F.struct(claims.alias("claims"))), F.lit("\n```")).alias("payload"))
 
 
 @query(
     "claim_grounding_join",
-    f"""WITH n AS (SELECT max(item_id) + 1 AS n FROM benchmark), d AS (SELECT l.doc_id, b.item_id, {Q.squeeze("regexp_replace(b.text, '[\"\\\\]', '', 'g')")} AS ev FROM documents l, n JOIN benchmark b ON b.item_id = l.doc_id % n),
-s AS (SELECT d.*, trim({Q.squeeze('lower(x.text)')}, ' ') AS src, trim({Q.squeeze('lower(ev)')}, ' ') AS e FROM d JOIN documents x USING (doc_id))
-SELECT doc_id, 'passage ' || item_id AS object, CASE WHEN contains(src, e) THEN CAST(instr(src, e) - 1 AS INTEGER) END AS start, CAST(0.9 AS DOUBLE) AS confidence, CASE WHEN contains(src, e) THEN NULL ELSE 'not_in_source' END AS rejected FROM s""",
+    f"""WITH i AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark),
+w AS (SELECT doc_id, text, trim({Q.squeeze('lower(text)')}, ' ') AS src, regexp_extract(text, '{_WORDED}') AS worded, regexp_extract(text, '{_COUNTED}') AS counted FROM documents),
+d AS (SELECT doc_id, src, 'passage ' || item_id AS object, {Q.squeeze("regexp_replace(i.text, '[\"\\\\]', '', 'g')")} AS ev, NULL AS late FROM w JOIN i ON place = doc_id % n
+ UNION ALL SELECT doc_id, src, 'number', worded, 'number' FROM w UNION ALL SELECT doc_id, src, 'metric', worded, CASE WHEN regexp_matches(lower(worded), 'accura(te|cy)') THEN NULL ELSE 'metric' END FROM w UNION ALL SELECT doc_id, src, 'counted', counted, NULL FROM w),
+s AS (SELECT *, instr(src, trim({Q.squeeze('lower(ev)')}, ' ')) AS pos FROM d)
+SELECT doc_id, object, CASE WHEN pos > 0 THEN CAST(pos - 1 AS INTEGER) END AS start, CAST(0.9 AS DOUBLE) AS confidence, CASE WHEN ev = '' THEN 'incomplete' WHEN pos = 0 THEN 'not_in_source' ELSE late END AS rejected FROM s""",
 )
 def claim_grounding_join(spark, sf):
     docs = S.table(spark, sf, "documents").select("doc_id", "text")
@@ -377,11 +392,11 @@ def grounding_pairs(spark, sf):
     return find_passages(S.table(spark, sf, "benchmark"), S.documents(spark, sf)).select("item_id", "doc_id", "start")
 
 
-@query("repair_merge", "SELECT o_orderkey AS doc_id, o_orderstatus AS type, o_orderpriority AS object, 'symbolic' AS source FROM orders UNION ALL SELECT o_orderkey, 'P', 'draft', 'ai' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'P'")
+@query("repair_merge", "SELECT o_orderkey AS doc_id, o_orderstatus AS type, o_orderpriority AS object, 'symbolic' AS source FROM orders UNION ALL SELECT o_orderkey, 'P', 'draft', 'ai' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'P' AND o_orderkey % 7 <> 3")
 def repair_merge(spark, sf):
     items = S.owned_items(spark, sf)
     claims = items.select(F.col("id").alias("doc_id"), F.col("stage").alias("type"), F.col("title").alias("object"))
-    grounded = items.select(F.col("id").alias("doc_id"), F.lit("P").alias("type"), F.lit("draft").alias("object"), F.when(F.col("id") % 7 == 100, "no").alias("rejected"))
+    grounded = items.select(F.col("id").alias("doc_id"), F.lit("P").alias("type"), F.lit("draft").alias("object"), F.when(F.col("id") % 7 == 3, "not_in_source").alias("rejected"))
     missing = items.filter(F.col("id") % 2 == 0).select(F.col("id").alias("doc_id"), F.lit("P").alias("type"))
     return G.repair_merge(claims, grounded, missing)
 
