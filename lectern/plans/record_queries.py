@@ -11,6 +11,7 @@ from lectern.plans.registry import query
 from lectern.plans.text_queries import _BAD, _VISIBLE, _ratio_sql
 from lectern.sources import collections as C, ingest, tables as S
 from lectern.sources.guarded import Guard, guarded
+from lectern.streaming.flow import work_path
 
 
 def joined(column):
@@ -27,6 +28,37 @@ def collection_scan(spark, sf):
     return C.point_lookup(S.owned_items(spark, sf), "user_id", 42).select("id", "score")
 
 
+def _collections(spark, sf):
+    """The given tables as the stored collections."""
+    docs, labels = S.table(spark, sf, "documents"), S.table(spark, sf, "labels")
+    return {
+        "users": S.users(spark, sf), "notes": S.notes(spark, sf), "quizzes": S.owned_items(spark, sf),
+        "flashcards": S.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("front"), F.col("p_type").alias("back"), F.col("p_size").alias("review_count")),
+        "chats": S.chat_turns(spark, sf).select(F.concat_ws("-", "note_id", "turn").alias("id"), "note_id", "question", "answer"),
+        "audit": S.audit_log(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")),
+        "generation_state": docs.select(F.col("doc_id").alias("note_id"), F.col("source").alias("user_id"), F.lit("pending").alias("stage")),
+        "results": labels.select(F.col("doc_id").alias("note_id"), F.lit("complete").alias("stage"), F.col("quality").alias("confidence")),
+    }
+
+
+@query(
+    "collection_scan_typed",
+    f"""WITH {S.CHATS_SQL} SELECT 'users' AS collection, count(*) AS rows, min(CAST(c_custkey AS VARCHAR)) AS first FROM customer UNION ALL SELECT 'notes', count(*), min(CAST(doc_id AS VARCHAR)) FROM documents
+UNION ALL SELECT 'quizzes', count(*), min(CAST(o_orderkey AS VARCHAR)) FROM orders UNION ALL SELECT 'flashcards', count(*), min(CAST(p_partkey AS VARCHAR)) FROM part UNION ALL SELECT 'chats', count(*), min(note_id || '-' || turn) FROM chats
+UNION ALL SELECT 'audit', count(*), min(CAST(event_id AS VARCHAR)) FROM events UNION ALL SELECT 'generation_state', count(*), min(CAST(doc_id AS VARCHAR)) FROM documents UNION ALL SELECT 'results', count(*), min(CAST(doc_id AS VARCHAR)) FROM labels""",
+)
+def collection_scan_typed(spark, sf):
+    """Every collection written in its fixed schema and scanned with it: row count and first key."""
+    found = None
+    for name, df in _collections(spark, sf).items():
+        path = work_path(spark, name)
+        C.append(C.conform(df, name), path)
+        rows = C.scan(spark, path, name)
+        one = rows.agg(F.count("*").alias("rows"), F.min(rows.columns[0]).alias("first")).select(F.lit(name).alias("collection"), "rows", "first")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query(
     "ingest_validate",
     f"""WITH {S.NOTES_SQL} SELECT id,

@@ -7,6 +7,7 @@ location or partition, since Spark tables are replaced rather than edited.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from lectern.schema import COLLECTIONS
 
@@ -16,6 +17,12 @@ def scan(spark: SparkSession, path: str, collection: str, fmt: str = "parquet")
     return spark.read.schema(COLLECTIONS[collection]).format(fmt).load(path)
 
 
+def conform(df: DataFrame, collection: str) -> DataFrame:
+    """Rows in the fixed schema of a collection: its columns in order and type, null where ``df`` has none, others left out."""
+    schema = StructType.fromDDL(COLLECTIONS[collection])
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def point_lookup(df: DataFrame, key: str, value) -> DataFrame:
     return df.filter(F.col(key) == F.lit(value))
 
