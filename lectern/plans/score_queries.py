@@ -132,16 +132,48 @@ def collapse_title_phrases(spark, sf):
     return document_lines(spark, sf).select("doc_id", "line_no", F.get(X.collapse_phrases(F.array(doubled)), F.lit(0)).alias("title"))
 
 
-@query("take_while")
-def take_while(spark, sf):
+@query("take_while_texts")
+def take_while_texts(spark, sf):
     return sectioned(spark, sf).select("doc_id", F.size(X.take_while_other(F.col("sections"))).alias("opening"))
 
 
-@query("adjacent_join")
-def adjacent_join(spark, sf):
+@query("adjacent_join_texts")
+def adjacent_join_texts(spark, sf):
     return sectioned(spark, sf).select("doc_id", F.posexplode(X.joined_candidates(X.fragments(F.col("sections")))).alias("pos", "candidate"))
 
 
+def line_sections(spark, sf):
+    """Every order's lines as sections of two lines each; returned ones have a known title."""
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    lines = S.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("lines"))
+    body = lambda x: F.concat(F.lit("Line of supplier "), x["l_suppkey"].cast("string"), F.lit("\nTotal "), x["l_quantity"].cast("int").cast("string"))
+    section = lambda x: F.struct(F.when(x["l_returnflag"] == "R", "results").otherwise("other").alias("title"), F.concat(F.lit("Part "), x["l_partkey"].cast("string")).alias("heading"), body(x).alias("body"))
+    return lines.select("doc_id", F.transform("lines", section).alias("sections"))
+
+
+_OPEN = """l AS (SELECT *, l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS n FROM lineitem),
+w AS (SELECT *, min(CASE WHEN l_returnflag = 'R' AND n <= 8 THEN n END) OVER (PARTITION BY doc_id) AS stop FROM l), op AS (SELECT * FROM w WHERE n <= 8 AND (stop IS NULL OR n < stop))"""
+
+
+@query("take_while", f"WITH {_OPEN}, k AS (SELECT doc_id, string_agg('Part ' || l_partkey, '|' ORDER BY n) AS opening FROM op GROUP BY 1) SELECT doc_id, coalesce(opening, '') AS opening FROM (SELECT DISTINCT doc_id FROM l) LEFT JOIN k USING (doc_id)")
+def take_while(spark, sf):
+    """Headings of the sections before the first with a known title."""
+    return line_sections(spark, sf).select("doc_id", F.array_join(F.transform(X.take_while_other(F.col("sections")), lambda s: s["heading"]), "|").alias("opening"))
+
+
+@query(
+    "adjacent_join",
+    f"""WITH {_OPEN}, fr AS (SELECT doc_id, n * 10 AS pos, 'Part ' || l_partkey AS f FROM op UNION ALL SELECT doc_id, n * 10 + 1, 'Line of supplier ' || l_suppkey FROM op UNION ALL SELECT doc_id, n * 10 + 2, 'Total ' || CAST(l_quantity AS INTEGER) FROM op),
+fd AS (SELECT doc_id, f, min(pos) AS pos FROM fr GROUP BY 1, 2), fk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM fd), fl AS (SELECT doc_id, list(f ORDER BY rn) FILTER (rn <= 6) AS hs FROM fk GROUP BY 1),
+c AS (SELECT doc_id, 1 AS g, i, array_to_string(hs[i:i + 2], ' ') AS candidate FROM fl, unnest(range(1, len(hs) - 1)) t(i) UNION ALL SELECT doc_id, 2, i, array_to_string(hs[i:i + 1], ' ') FROM fl, unnest(range(1, len(hs))) t(i)
+ UNION ALL SELECT doc_id, 3, rn, f FROM fk WHERE rn <= 10)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, i) - 1 AS INTEGER) AS pos, candidate FROM c WHERE CASE WHEN g = 3 THEN length(candidate) >= 8 ELSE length(candidate) BETWEEN 12 AND 150 END""",
+)
+def adjacent_join(spark, sf):
+    """Title candidates of adjacent headings and lines."""
+    return line_sections(spark, sf).select("doc_id", F.posexplode(X.joined_candidates(X.fragments(F.col("sections")))).alias("pos", "candidate"))
+
+
 @query("resolve_title")
 def resolve_title(spark, sf):
     docs = sectioned(spark, sf).withColumn("file_name", F.concat(F.lit("study_of_"), F.col("doc_id").cast("string"), F.lit("_things.pdf")))

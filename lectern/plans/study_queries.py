@@ -132,8 +132,38 @@ _NO_QUESTIONS = "array<struct<question:string,questionType:string,options:array<
 _NO_CARDS = "array<struct<front:string,back:string,difficulty:string>>"
 
 
-@query("quiz_build")
+def line_questions(spark, sf):
+    """Every order's lines as questions: shipped ones from facts, open ones from the text, returned ones as drafts, some of them without an answer."""
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    lines = S.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("lines"))
+
+    def of(flag):
+        asked = lambda x: F.concat(F.lit("Which supplier sent part "), (x["l_partkey"] % 10).cast("string"), F.lit("?"))
+        answer = lambda x: F.when((x["l_returnflag"] != "R") | (x["l_suppkey"] % 3 != 0), F.concat(F.lit("supplier "), x["l_suppkey"].cast("string"))).otherwise(" ")
+        none = F.array().cast("array<string>")
+        return F.transform(F.filter("lines", lambda x: x["l_returnflag"] == flag), lambda x: U.question(asked(x), "short_answer", none, answer(x), "Said in the order."))
+
+    return lines.select("doc_id", of("A").alias("facts"), of("N").alias("texts"), of("R").alias("drafts"))
+
+
+@query(
+    "quiz_build",
+    """WITH l AS (SELECT *, l_orderkey AS doc_id, 'Which supplier sent part ' || l_partkey % 10 || '?' AS question, CASE WHEN l_returnflag <> 'R' OR l_suppkey % 3 <> 0 THEN 'supplier ' || l_suppkey ELSE ' ' END AS answer,
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, question ORDER BY n) AS d FROM l WHERE l_returnflag <> 'R') WHERE d = 1),
+own AS (SELECT doc_id, question, answer, n FROM o WHERE k <= 4), ev AS (SELECT *, row_number() OVER (PARTITION BY doc_id, question ORDER BY n) AS d FROM (SELECT * FROM own UNION ALL SELECT doc_id, question, answer, n FROM l WHERE l_returnflag = 'R')),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM ev WHERE d = 1 AND answer <> ' '), m AS (SELECT doc_id, count(*) AS made, string_agg(question || ' ' || answer, '|' ORDER BY k) AS questions FROM q WHERE k <= 4 GROUP BY 1),
+s AS (SELECT doc_id, count(*) AS own FROM own GROUP BY 1), r AS (SELECT doc_id, coalesce(made, 0) AS made, coalesce(questions, '') AS questions, coalesce(own, 0) AS own FROM (SELECT DISTINCT doc_id FROM l) LEFT JOIN m USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT doc_id, questions, CASE WHEN own >= made THEN 'symbolic' WHEN own > 0 THEN 'hybrid' ELSE 'ai_fallback' END AS source, CASE WHEN made >= 3 THEN 'ready' WHEN made > 0 THEN 'partial' ELSE 'failed' END AS status FROM r""",
+)
 def quiz_build(spark, sf):
+    """Four questions an order: facts, then text, then drafts."""
+    made = line_questions(spark, sf).select("doc_id", U.build_quiz(F.col("facts"), F.col("texts"), F.col("drafts"), 4, F.lit(0.5)).alias("z"))
+    return made.select("doc_id", F.array_join(F.transform("z.questions", lambda q: F.concat_ws(" ", q["question"], q["answer"])), "|").alias("questions"), "z.source", "z.status")
+
+
+@query("quiz_build_texts")
+def quiz_build_texts(spark, sf):
     pool = F.array(F.lit("other"), F.lit("third"))
     facts = U.questions_from_facts(headline(), pool, 12)
     text = U.questions_from_text(F.col("text"), 12, pattern=DEFINED)
