@@ -17,7 +17,7 @@ from lectern.operators import claims as C
 from lectern.operators import classify as K
 from lectern.operators import cleaning, facts, graph, nlp, ontology as O, scores, sections, study
 from lectern.operators.concepts import is_valid_concept
-from lectern.session import stored
+from lectern.session import cut_lineage, stored
 
 #: Concepts of one document that go into its graph.
 GRAPH_CONCEPTS = 30
@@ -86,7 +86,17 @@ def corpus_ontology(concepts: DataFrame, least: int = 2) -> tuple[DataFrame, Dat
     return ids, aliases, relations.select("src", F.lit("is_a").alias("type"), "dst").distinct()
 
 
-def analyse(documents: DataFrame, terms=None, vocabulary=None, ontology=None) -> Analysis:
+def analyse(documents: DataFrame, terms=None, vocabulary=None) -> DataFrame:
+    """documents(doc_id, raw_text[, pages]) to text, sections, sentences and validated claims, for who needs no more."""
+    clean = cut_lineage(cleaning.clean_documents(documents).select("doc_id", "display_text", "analysis_text", "source_pages", "stats"))
+    parts = cut_lineage(sections.detect_sections(clean))
+    split = parts.select("doc_id", "analysis_text", "sections", sections.section_sentences(F.col("sections")).alias("sentences"))
+    read = cut_lineage(nlp.with_scores(nlp.annotate(split, terms)))
+    found = cut_lineage(read.withColumn("claims", C.extract_claims(F.col("sentences"), vocabulary)))
+    return found.withColumn("claims", C.validate_claims(F.col("claims")))
+
+
+def analyse_corpus(documents: DataFrame, terms=None, vocabulary=None, ontology=None) -> Analysis:
     """documents(doc_id, raw_text[, pages]) to the tables of every stage.
 
     ``ontology`` is (concepts, aliases, relations); without it the corpus suggests one.

@@ -31,7 +31,7 @@ OTHER = "Residual defects cost money in every project. The dynamic bayesian netw
 @pytest.fixture(scope="module")
 def run(spark):
     rows = [(1, PAPER), (2, OTHER), (3, ""), (4, "Too short.")]
-    return analysis.analyse(spark.createDataFrame(rows, "doc_id long, raw_text string"))
+    return analysis.analyse_corpus(spark.createDataFrame(rows, "doc_id long, raw_text string"))
 
 
 def per_document(table):
