@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lectern.functions import text as T
-from lectern.functions.arrays import first_where
+from lectern.functions.arrays import first_where, let
 from lectern.schema import CARD_DRAFT, CLAIM_DRAFT, QUIZ_DRAFT, SUMMARY_DRAFT
 
 QUESTION_TYPES = ("multiple_choice", "true_false", "short_answer")
@@ -25,25 +25,26 @@ def parse_claims(payload: Column) -> Column:
 
 def parse_summary(payload: Column) -> Column:
     """Summary draft with blank list items dropped; null when unreadable."""
-    d = F.from_json(strip_fences(payload), SUMMARY_DRAFT)
-
     def kept(items: Column) -> Column:
         trimmed = F.transform(F.coalesce(items, F.array().cast("array<string>")), T.strip)
         return F.filter(trimmed, lambda s: s.isNotNull() & (s != ""))
 
-    return F.when(
-        d["overview"].isNotNull(),
-        F.struct(
-            T.strip(d["overview"]).alias("overview"),
-            kept(d["keyPoints"]).alias("keyPoints"),
-            kept(d["importantConcepts"]).alias("importantConcepts"),
-            F.filter(
-                F.coalesce(d["keyTerms"], F.from_json(F.lit("[]"), "array<struct<term:string,definition:string>>")),
-                lambda t: t["term"].isNotNull() & t["definition"].isNotNull(),
-            ).alias("keyTerms"),
-            kept(d["unresolvedAssumptions"]).alias("unresolvedAssumptions"),
-        ),
-    )
+    def checked(d: Column) -> Column:
+        return F.when(
+            d["overview"].isNotNull(),
+            F.struct(
+                T.strip(d["overview"]).alias("overview"),
+                kept(d["keyPoints"]).alias("keyPoints"),
+                kept(d["importantConcepts"]).alias("importantConcepts"),
+                F.filter(
+                    F.coalesce(d["keyTerms"], F.from_json(F.lit("[]"), "array<struct<term:string,definition:string>>")),
+                    lambda t: t["term"].isNotNull() & t["definition"].isNotNull(),
+                ).alias("keyTerms"),
+                kept(d["unresolvedAssumptions"]).alias("unresolvedAssumptions"),
+            ),
+        )
+
+    return let(F.from_json(strip_fences(payload), SUMMARY_DRAFT), checked)
 
 
 def parse_quiz(payload: Column) -> Column:

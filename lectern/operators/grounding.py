@@ -95,14 +95,29 @@ def copy_ratio(output: Column, source: Column) -> Column:
     return let(T.compare_form(source), judge)
 
 
+def _first_grounded(points: Column, tokens: Column, n: int) -> Column:
+    """First ``n`` points, trimmed and case-insensitively distinct, that are long enough and have their words in the source.
+
+    A look at all words of the source is the cost of a point, so none is tested once ``n`` stand.
+    """
+
+    def add(acc: Column, p: Column) -> Column:
+        def fresh(t: Column) -> Column:
+            new = (F.char_length(p) >= 18) & (t != "") & ~F.exists(acc, lambda kept: F.lower(kept) == F.lower(t))
+            # Cheap tests first: each branch is looked at only if the one before does not hold.
+            return F.when(~F.coalesce(new, F.lit(False)), acc).when(grounding_ratio(p, tokens) >= POINT_MIN, F.concat(acc, F.array(t))).otherwise(acc)
+
+        return F.when(F.size(acc) >= n, acc).otherwise(let(T.strip(p), fresh))
+
+    return F.aggregate(points, F.array().cast("array<string>"), add)
+
+
 def validate_draft(draft: Column, source: Column) -> Column:
     """Summary draft struct reduced to its grounded parts, or null."""
 
     def check(tokens: Column) -> Column:
         overview = T.strip(draft["overview"])
-        points = unique(
-            F.filter(draft["keyPoints"], lambda p: (F.char_length(p) >= 18) & (grounding_ratio(p, tokens) >= POINT_MIN)), 10
-        )
+        points = _first_grounded(draft["keyPoints"], tokens, 10)
         concepts = unique(F.filter(draft["importantConcepts"], is_valid_concept), 14)
         terms = F.filter(
             draft["keyTerms"],

@@ -1,10 +1,22 @@
 """Work per row that must not be done twice or grow with the square of a row, and tables that are folders."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from lectern.operators import grounding
 from lectern.streaming import flow
 
 
+def test_draft_points_of_a_long_source(spark):
+    points = [f"Sentence about wordnr{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} and thingsof{chr(97 + i % 26)}{chr(97 + i // 676)}x{chr(97 + i // 26 % 26)} here" for i in range(6000)]
+    rows = [("Short", "foreign material unknown elsewhere", *points[:1], points[0].upper() + " ", *points[1:])]
+    docs = spark.createDataFrame([(list(rows[0]), ". ".join(points))], "points array<string>, text string")
+    begin = time.time()
+    got = docs.select(grounding._first_grounded(F.col("points"), grounding.meaningful_tokens(F.col("text")), 10).alias("p")).first()["p"]
+    assert got == points[:10] and time.time() - begin < 20
+
+
 def test_streams_read_tables_that_are_folders(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id bigint, text string")
     rows.repartition(3).write.parquet(f"{tmp_path}/a/documents.parquet")
