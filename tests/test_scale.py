@@ -2,12 +2,35 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import grounding
+from lectern.functions import text as T
+from lectern.operators import finance, grounding
 from lectern.streaming import flow
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_amount_is_searched_once(spark):
+    patterns = [("Seats", "seats", "once", "QQ([0-9]+)")]
+    df = spark.createDataFrame([("It has QQ70 seats.", ["a", "It has qq70 seats."])], "text string, pages array<string>")
+    found = df.select(F.explode(finance.amounts(F.col("text"), patterns, F.col("pages"))).alias("a"))
+    # Once in the text and once in the match, where the number is read.
+    assert plan(found).count("QQ([0-9]+)") == 2
+    assert [(r["a"]["value"], r["a"]["evidence"], r["a"]["page"]) for r in found.collect()] == [(70.0, "It has QQ70 seats.", 2)]
+
+
+@pytest.mark.parametrize("line", ["plain", " a  b\t", "a\x00b\x07", " x　", "x \u0085", "", "\t", "a � b", None])
+def test_tidy_line_leaves_only_tidy_lines_alone(spark, line):
+    x = F.col("l")
+    whole = T.strip(F.regexp_replace(T.drop_unreadable(x), r"[ \t]+", " "))
+    row = spark.createDataFrame([(line,)], "l string").select(T.tidy_line(x).alias("a"), whole.alias("b")).first()
+    assert row["a"] == row["b"]
+
+
 def test_draft_points_of_a_long_source(spark):
     points = [f"Sentence about wordnr{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} and thingsof{chr(97 + i % 26)}{chr(97 + i // 676)}x{chr(97 + i // 26 % 26)} here" for i in range(6000)]
     rows = [("Short", "foreign material unknown elsewhere", *points[:1], points[0].upper() + " ", *points[1:])]
