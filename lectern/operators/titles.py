@@ -19,26 +19,57 @@ SECTION_NAMES = (
 GENERIC_WORDS = ("case", "study", "series", "document", "paper", "report", "chapter", "notes", "untitled")
 
 
+#: Multiplier of the hashes of word runs.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def longest_repeat(numbers: np.ndarray) -> tuple[int, int] | None:
+    """First place and size of the longest run that stands twice in a row, or None.
+
+    A run of at least 2k words holds whole stretches of k words that begin at multiples of k, and each stands again
+    ``size`` words on. Hashes of stretches are compared at those places only, 2n pairs for all sizes from 2k to 4k - 1,
+    and a size is searched in full only where enough of them agree.
+    """
+
+    def place(size: int) -> tuple[int, int] | None:
+        differ = np.flatnonzero(numbers[:-size] != numbers[size:])
+        gaps = np.diff(np.concatenate(([-1], differ, [n - size]))) - 1
+        long = np.flatnonzero(gaps >= size)
+        if len(long):
+            return (int(differ[long[0] - 1]) + 1 if long[0] else 0), size
+        return None
+
+    n = len(numbers)
+    codes, width, levels = (numbers.astype(np.uint64) + np.uint64(1)) * _STEP, 1, []
+    while 4 * width <= n // 2:
+        codes = codes[:-width] * _STEP + (codes[width:] ^ (codes[width:] >> np.uint64(29)))
+        width *= 2
+        levels.append((width, codes))
+    for width, codes in reversed(levels):
+        sizes = np.arange(2 * width, min(4 * width, n // 2 + 1))
+        starts = np.arange(0, len(codes), width)[:, None]
+        again = starts + sizes
+        same = (codes[np.minimum(again, len(codes) - 1)] == codes[starts]) & (again < len(codes))
+        for size in sizes[same.sum(0) >= (sizes + 1) // width - 1][::-1].tolist():
+            if (hit := place(size)) is not None:
+                return hit
+    for size in range(min(3, n // 2), 0, -1):
+        if (hit := place(size)) is not None:
+            return hit
+    return None
+
+
 @pandas_udf(ArrayType(StringType()))
 def collapse_phrases(titles: pd.Series) -> pd.Series:
     """Drop word runs that repeat back to back, longest first, until nothing repeats.
 
-    A run of ``size`` words repeats where that many words in a row equal the word ``size`` further on.
+    Every round searches in about n log n steps, whatever the length of the text (``longest_repeat``).
     """
 
-    def repeated(numbers: np.ndarray) -> tuple[int, int] | None:
-        for size in range(len(numbers) // 2, 0, -1):
-            differ = np.flatnonzero(numbers[:-size] != numbers[size:])
-            gaps = np.diff(np.concatenate(([-1], differ, [len(numbers) - size]))) - 1
-            long = np.flatnonzero(gaps >= size)
-            if len(long):
-                return (int(differ[long[0] - 1]) + 1 if long[0] else 0), size
-        return None
-
     def collapse(title: str) -> str:
-        words = (title or "").split()
-        numbers = pd.factorize(np.array([w.lower() for w in words], object))[0]
-        while (hit := repeated(numbers)) is not None:
+        words, known = (title or "").split(), {}
+        numbers = np.array([known.setdefault(w.lower(), len(known)) for w in words], np.int64)
+        while (hit := longest_repeat(numbers)) is not None:
             at, size = hit
             del words[at + size : at + 2 * size]
             numbers = np.delete(numbers, slice(at + size, at + 2 * size))
