@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm import decontamination, linededup, ngramjoin, packing, quality
 from lectern.llm.queries import tokenizer_path
 from lectern.llm.shared import documents, staged
+from lectern.session import bound_batches
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read by the next stage."""
-    docs = documents(spark, sf_dir)
+    docs = documents(bound_batches(spark), sf_dir)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
