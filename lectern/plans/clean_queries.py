@@ -65,9 +65,13 @@ def first_header_preserve(spark, sf):
     docs = S.documents(spark, sf)
     lines = docs.select(
         "doc_id", "source", F.posexplode(F.split(T.unix_newlines(F.col("text")), "\n")).alias("line_no", "line")
-    ).withColumn("line_key", T.line_key(T.tidy_line(F.col("line")))).drop("line")
+    ).withColumn("line", T.tidy_line(F.col("line"))).withColumn("line_key", C.header_key(F.col("line")))
     headers = C.running_headers(docs, "source", "doc_id", "text", share=0.0)
-    return C.first_header_only(lines, headers, "source", ["doc_id", "line_no"]).select("doc_id", "line_no", "line_key")
+    # Lines too long or too short for a header meet none: they need no exchange.
+    could_be = F.coalesce(F.char_length("line_key").between(C.HEADER_MIN, C.HEADER_MAX), F.lit(False))
+    kept = C.first_header_only(lines.filter(could_be).drop("line"), headers, "source", ["doc_id", "line_no"])
+    others = lines.filter(~could_be).select("doc_id", "line_no", T.line_key(F.col("line")).alias("line_key"))
+    return kept.select("doc_id", "line_no", "line_key").unionByName(others)
 
 
 @query(
