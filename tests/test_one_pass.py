@@ -59,3 +59,19 @@ def test_line_keys_number_only_whole_numbers(spark):
     rows = ["Page 12 of 30", "subpage 3", "page 4a page 5", "a1 1a 22 3_ -4- 5.6", "Page 7", "no digits"]
     keys = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(T.line_key(F.col("x"))).collect()]
     assert keys == ["page # of #", "subpage #", "page 4a page #", "a1 1a # 3_ -#- #.#", "page #", "no digits"]
+
+
+def test_walk_graphs_join_their_tables_once(spark, tmp_path):
+    from lectern.plans.walk_queries import graphs
+
+    spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 4, 5), (1, 4, 5), (3, 5, 6), (2, 2, 9)], "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    nodes, edges = graphs(spark, str(tmp_path))
+    assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, edges.collect())) == sorted(
+        [(7, "order:000000001", "supplier:4")] * 2 + [(7, "supplier:4", "part:5")] * 2 + [(8, "order:000000003", "supplier:5"), (8, "supplier:5", "part:6")]
+    )
+    assert {(r["doc_id"], r["id"], r["type"]) for r in nodes.collect()} == {
+        (7, "order:000000001", "order"), (7, "order:000000002", "order"), (8, "order:000000003", "paper"),
+        (7, "supplier:4", "supplier"), (7, "part:5", "part"), (8, "supplier:5", "supplier"), (8, "part:6", "part"),
+    }
