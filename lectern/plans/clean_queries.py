@@ -177,7 +177,7 @@ def clean_text_reliably(spark, sf):
     )
 
 
-def cleaned(spark, sf):
+def cleaned(spark, sf, judged=False):
     """Documents cleaned with every five lines as one page."""
     lines = F.split(T.unix_newlines(F.col("text")), "\n")
     pages = let(
@@ -187,13 +187,14 @@ def cleaned(spark, sf):
             lambda at, i: F.struct((i + 1).alias("page_no"), F.array_join(F.slice(ls, at + 1, 5), "\n").alias("raw_text")),
         ),
     )
-    return C.clean_documents(S.documents(spark, sf).select("doc_id", "source", F.col("text").alias("raw_text"), pages.alias("pages")))
+    return C.clean_documents(S.documents(spark, sf).select("doc_id", "source", F.col("text").alias("raw_text"), pages.alias("pages")), judged=judged)
 
 
 @query("clean_document")
 def clean_document(spark, sf):
-    docs = cleaned(spark, sf)
-    return docs.select("doc_id", "display_text", "analysis_text", F.size("source_pages").alias("pages"))
+    """Both texts of every document, its pages with their place, texts and quality, and what was removed."""
+    docs = cleaned(spark, sf, judged=True)
+    return docs.select("doc_id", "display_text", "analysis_text", F.size("source_pages").alias("pages"), "source_pages", "stats")
 
 
 @query("cleaning_stats")

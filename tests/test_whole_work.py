@@ -1,5 +1,8 @@
 """Queries that once left out part of their table or of their operator's work."""
 
+from pyspark.sql import functions as F
+
+from lectern.operators import cleaning
 from lectern.plans import catalog
 
 
@@ -13,3 +16,16 @@ def test_bfs_documents_walks_over_every_line(spark, tmp_path):
         (8, "order:000000003", 0), (8, "supplier:3", 1), (8, "part:9", 2),
     }
     assert "% 3" not in catalog.oracles()["bfs_documents"]
+
+
+def test_clean_document_judges_every_page_and_keeps_spans_and_counts(spark, tmp_path):
+    text = "\n".join(["Some plain words stand here.", "12", "More words [3] follow.", "\ufffd\ufffd\ufffd\ufffd broken \ufffd\ufffd\ufffd", "Last line of a page.", "Second page, first line."])
+    spark.createDataFrame([(1, text, "a"), (2, None, "a")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in catalog.queries()["clean_document"](spark, str(tmp_path)).collect()}
+    one, pages = rows[1], rows[1]["source_pages"]
+    assert one["pages"] == len(pages) == 2 and one["stats"]["page_numbers"] == 1 and one["stats"]["citations"] == 1
+    assert [one["display_text"][p["start"] : p["end"]] for p in pages] == [p["display_text"] for p in pages]
+    laid = [(cleaning.normalise_layout(F.lit(t), a)) for t, a in (("\n".join(x for x in text.split("\n")[:5] if x != "12"), False), ("Second page, first line.", False))]
+    want = spark.range(1).select(*[cleaning.reliable(t)["quality"].alias(f"q{i}") for i, t in enumerate(laid)]).first()
+    assert [p["display_quality"] for p in pages] == list(want)
+    assert pages[0]["analysis_quality"]["score"] is not None and "Too little usable text remains after cleaning." in pages[1]["analysis_quality"]["warnings"]
