@@ -26,12 +26,12 @@ VOCABULARY = {
 }
 
 
-def with_numbers(spark, sf):
-    """Annotated sentences in which each "from" and "avec" brings a number, so numeric claims occur."""
+def with_numbers(spark, sf, **read):
+    """Annotated sentences in which each "from" and "avec" brings a number, so numeric claims occur; ``read`` is what else ``nlp.annotate`` adds."""
     text = F.replace(F.replace(F.col("text"), F.lit(" from "), F.lit(" from 37.5% ")), F.lit(" avec "), F.lit(" avec 12 "))
     docs = S.documents(spark, sf).select("doc_id", nlp.plain_sentences(text).alias("sentences"))
     docs = docs.withColumn("sentences", F.transform("sentences", lambda s: s.withField("role", F.lit("background"))))
-    return nlp.annotate(docs, TERMS, scores=True)
+    return nlp.annotate(docs, TERMS, scores=True, **read)
 
 
 def _rows(docs, claims):
@@ -164,17 +164,23 @@ def claims_problem(spark, sf):
     return _problems(spark, sf).select("doc_id", "c.sent_no", "c.object", F.round("c.confidence", 6).alias("confidence"))
 
 
-def extracted(spark, sf):
-    docs = with_numbers(spark, sf)
+def extracted(spark, sf, **read):
+    docs = with_numbers(spark, sf, **read)
     return docs.withColumn("claims", C.extract_claims(F.col("sentences"), VOCABULARY))
 
 
 @query("extract_knowledge")
 def extract_knowledge(spark, sf):
-    docs = extracted(spark, sf).withColumn("h", C.headline(C.validate_claims(F.col("claims"))))
+    """Headline fields, topic, key phrases, concepts and all claims of every document."""
+    docs = extracted(spark, sf, phrases="phrases", words="words").withColumn("h", C.headline(C.validate_claims(F.col("claims"))))
+    docs = docs.withColumn("phrases", F.transform("phrases", lambda p: p["value"])).withColumn("concepts", nlp.concept_candidates(F.col("sentences"), F.col("phrases")))
+    entities = F.transform(F.filter("concepts", lambda c: c["valid"]), lambda c: c["term"])
+    topic = F.coalesce(F.get("phrases", F.lit(0)), F.get("words", F.lit(0))["value"])
     return docs.select(
         "doc_id", F.size("claims").alias("claims"), "h.method", "h.dataset", "h.problem", "h.accuracy", "h.metric",
-        F.size("h.contributions").alias("contributions"),
+        F.size("h.contributions").alias("contributions"), F.array_join("h.contributions", "|").alias("contributed"), "h.limitations", "h.future_work",
+        topic.alias("topic"), F.array_join(F.slice("phrases", 1, 20), "|").alias("keywords"), F.array_join(entities, "|").alias("entities"),
+        F.transform("concepts", lambda c: c.dropFields("first")).alias("concepts"), F.col("claims").alias("claim_list"),
     )
 
 

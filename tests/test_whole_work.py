@@ -29,3 +29,17 @@ def test_clean_document_judges_every_page_and_keeps_spans_and_counts(spark, tmp_
     want = spark.range(1).select(*[cleaning.reliable(t)["quality"].alias(f"q{i}") for i, t in enumerate(laid)]).first()
     assert [p["display_quality"] for p in pages] == list(want)
     assert pages[0]["analysis_quality"]["score"] is not None and "Too little usable text remains after cleaning." in pages[1]["analysis_quality"]["warnings"]
+
+
+def test_extract_knowledge_returns_claims_concepts_and_every_headline_field(spark, tmp_path):
+    text = "We saw that the thing stands in the middle of the road. Nobody in the town was the owner of it. The thing was in the town from the first day of the year. Und die Sache this is what comes in the end."
+    spark.createDataFrame([(1, text, "a"), (2, None, "a"), (3, "", "a")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in catalog.queries()["extract_knowledge"](spark, str(tmp_path)).collect()}
+    one = rows[1]
+    assert one["claims"] == len(one["claim_list"]) > 3 and {"contribution", "limitation", "future_work"} <= {c["type"] for c in one["claim_list"]}
+    first = {k: [c["object"] for c in one["claim_list"] if c["type"] == k] for k in ("method", "data_source", "problem", "limitation", "future_work", "contribution")}
+    assert (one["limitations"], one["future_work"], one["problem"]) == (first["limitation"][0], first["future_work"][0], first["problem"][0])
+    assert one["contributed"].split("|") == first["contribution"] and one["contributions"] == len(first["contribution"])
+    assert one["topic"] and one["keywords"].split("|")[0] == one["topic"]
+    assert "in the" in {c["norm"] for c in one["concepts"]} and one["entities"].split("|") == [c["term"] for c in one["concepts"] if c["valid"]]
+    assert rows[3]["topic"] is None and rows[3]["concepts"] == [] == rows[3]["claim_list"] and rows[3]["claims"] == 0
