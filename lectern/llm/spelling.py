@@ -274,12 +274,14 @@ def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS, filter_bits: int =
     The vocabulary is staged. Both sides of the join are spread by the code of the reduced word; a word has at most
     (2L + 1) * symbols neighbours, of which those that no reduced word matches are left out before the exchange
     by a filter of ``filter_bits`` bits (a power of two). Pairs are verified within the join and go no further.
+    Spark takes neighbours, many to a word, for fewer bytes than the words' file and would send them all to the driver,
+    so the join is a merge whatever it estimates.
     """
     coded = staged(_with_codes(vocabulary, symbols), "reduced-words")
     neighbours = _neighbour_codes(coded, symbols, _filter(coded, filter_bits), filter_bits)
     other = coded.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "code")
     one_edit = F.levenshtein("word", "near", 1) == 1
-    return neighbours.join(other, "code").where((F.abs(F.length("word") - F.length("near")) <= 1) & one_edit).select("word", "near", "near_n")
+    return neighbours.hint("merge").join(other, "code").where((F.abs(F.length("word") - F.length("near")) <= 1) & one_edit).select("word", "near", "near_n")
 
 
 def group_variants(vocabulary: DataFrame, ratio: float = RATIO, symbols: int = SYMBOLS) -> DataFrame:
@@ -302,17 +304,18 @@ def group_variants(vocabulary: DataFrame, ratio: float = RATIO, symbols: int = S
         "forms",
     )
     roots = follow(forms.where("form is not null").select("word", F.col("form").alias("root")))
-    return forms.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def follow(links: DataFrame) -> DataFrame:
     """(word, root) with every chain of links followed to its end; each round doubles the steps taken.
 
     Forms have more occurrences than their words, so chains have no loops and their length is at most a logarithm.
+    Links are many times their file's size in memory, so they are merged and never sent to the driver.
     """
     while True:
         step = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        links = staged(links.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        links = staged(links.join(step.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         moved = bool(links.where("moved").take(1))
         links = links.select("word", "root")
         if not moved:

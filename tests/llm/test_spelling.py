@@ -112,3 +112,10 @@ def test_runs_end_with_their_text():
     for first, n, data, offsets in words.chunks(pa.array(texts)):
         starts, ends, owner = spelling.find_runs(data, offsets)
         assert [(bytes(data[a:b]).decode(), o) for a, b, o in zip(starts, ends, owner, strict=True)] == [("ab", 0), ("cd", 1), ("é", 1), ("Éf", 2), ("g", 5)]
+
+
+def test_neighbours_are_merged_not_sent_to_the_driver(spark):
+    words_of = spark.createDataFrame([("house", 9), ("hause", 3), ("houses", 4)], "word string, n long")
+    plan = spelling.near_words(words_of)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, spelling.near_words(words_of).collect())) == [("hause", "house", 9), ("house", "hause", 3), ("house", "houses", 4), ("houses", "house", 9)]
